@@ -113,10 +113,10 @@ b AS (SELECT d.source, d.h, sum(size) AS n FROM d GROUP BY ALL),
 c AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM b),
 x AS (SELECT c.source, min(c.h) AS h FROM c JOIN r ON c.source IS NOT DISTINCT FROM r.source WHERE c.upto > r.rest GROUP BY c.source),
 y AS (
-  SELECT r.*, x.h AS at, c.n, r.rest - (c.upto - c.n) AS remain
+  SELECT r.*, x.h AS edge, c.n, r.rest - (c.upto - c.n) AS remain
   FROM r LEFT JOIN x ON x.source IS NOT DISTINCT FROM r.source
   LEFT JOIN c ON c.source IS NOT DISTINCT FROM r.source AND c.h = x.h),
-z AS (SELECT *, CASE WHEN at IS NULL THEN (CASE WHEN rest > 0 THEN 'g' ELSE '' END) WHEN n - remain < remain THEN at || 'g' ELSE at END AS bound FROM y)
+z AS (SELECT *, CASE WHEN edge IS NULL THEN (CASE WHEN rest > 0 THEN 'g' ELSE '' END) WHEN n - remain < remain THEN edge || 'g' ELSE edge END AS bound FROM y)
 SELECT d.doc_id, d.size, z.source_size, z.target, d.size * (z.whole + CASE WHEN d.h < z.bound THEN 1 ELSE 0 END) AS taken
 FROM d JOIN z ON d.source IS NOT DISTINCT FROM z.source
 """

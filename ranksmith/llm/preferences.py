@@ -97,13 +97,13 @@ d AS (
   WHERE c.role IS DISTINCT FROM r.role OR c.text IS DISTINCT FROM r.text GROUP BY c.pair_id),
 k AS (SELECT p.*, least(coalesce(d.i - 1, least(nc, nr)), least(nc, nr)) AS k FROM p LEFT JOIN d USING (pair_id)),
 o AS (
-  SELECT t.*, k.k, sum(length(head) + length(body) + 1) OVER (PARTITION BY t.pair_id, side, t.i > k.k ORDER BY t.i) - length(body) - 1 AS at
+  SELECT t.*, k.k, sum(length(head) + length(body) + 1) OVER (PARTITION BY t.pair_id, side, t.i > k.k ORDER BY t.i) - length(body) - 1 AS pos
   FROM t JOIN k USING (pair_id))
 SELECT k.pair_id, any_value(k.k)::BIGINT AS n_prompt, any_value(nc - k.k)::BIGINT AS n_chosen, any_value(nr - k.k)::BIGINT AS n_rejected,
   coalesce(string_agg(head || body || chr(10), '' ORDER BY i) FILTER (side = 0 AND i <= o.k), '') AS prompt,
   coalesce(string_agg(head || body || chr(10), '' ORDER BY i) FILTER (side = 0 AND i > o.k), '') AS chosen,
-  coalesce(string_agg(at::BIGINT || ':' || (at + length(body))::BIGINT, ',' ORDER BY i) FILTER (side = 0 AND i > o.k AND role = 'assistant'), '') AS chosen_mask,
+  coalesce(string_agg(pos::BIGINT || ':' || (pos + length(body))::BIGINT, ',' ORDER BY i) FILTER (side = 0 AND i > o.k AND role = 'assistant'), '') AS chosen_mask,
   coalesce(string_agg(head || body || chr(10), '' ORDER BY i) FILTER (side = 1 AND i > o.k), '') AS rejected,
-  coalesce(string_agg(at::BIGINT || ':' || (at + length(body))::BIGINT, ',' ORDER BY i) FILTER (side = 1 AND i > o.k AND role = 'assistant'), '') AS rejected_mask
+  coalesce(string_agg(pos::BIGINT || ':' || (pos + length(body))::BIGINT, ',' ORDER BY i) FILTER (side = 1 AND i > o.k AND role = 'assistant'), '') AS rejected_mask
 FROM k JOIN o USING (pair_id) GROUP BY k.pair_id
 """
