@@ -18,7 +18,7 @@ _LOWER[0x41:0x5B] += 32
 #: An odd base for the rolling word hash and its inverse modulo 2**64.
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 # --- tables in the shared folder -------------------------------------------------------------

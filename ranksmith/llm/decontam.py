@@ -109,7 +109,7 @@ def _aligned(index: Index, buf: np.ndarray, item: np.ndarray, low: np.ndarray, l
 def find(index: Index, buf: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
     """(row, item, least edits) of every contaminated row and item."""
     best: dict[tuple[int, int], int] = {}
-    for a, b in chunks(offsets):
+    for a, b in chunks(offsets, 4 << 20):
         off = offsets[a : b + 1] - offsets[a]
         raw = _FOLD[buf[offsets[a] : offsets[b]]]
         for i in index.short:
