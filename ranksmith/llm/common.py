@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
@@ -21,6 +22,23 @@ _BASE_INV = pow(_BASE, -1, 1 << 64)
 CHUNK_BYTES = 1 << 20
 
 
+# --- memory of Python workers ---------------------------------------------------------------
+
+try:  # glibc: arrays from 1 MB on are given back when they are freed
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.mallopt(-3, 1 << 20)
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
+
+
+def tidy() -> None:
+    """Give freed memory back to the system. Workers outlive their tasks, and an executor's
+    limit counts what they hold."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 # --- tables in the shared folder -------------------------------------------------------------
 
 

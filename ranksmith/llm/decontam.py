@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import chunks, table, text_buffer
+from .common import chunks, table, text_buffer, tidy
 
 Q, RATE = 8, 0.1
 BLOCK_BYTES = 4 << 20
@@ -109,7 +109,7 @@ def _aligned(index: Index, buf: np.ndarray, item: np.ndarray, low: np.ndarray, l
 def find(index: Index, buf: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
     """(row, item, least edits) of every contaminated row and item."""
     best: dict[tuple[int, int], int] = {}
-    for a, b in chunks(offsets, 4 << 20):
+    for a, b in chunks(offsets, 2 << 20):
         off = offsets[a : b + 1] - offsets[a]
         raw = _FOLD[buf[offsets[a] : offsets[b]]]
         for i in index.short:
@@ -189,6 +189,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RAT
             index = _index(block, q, rate)
             for b in batches:
                 found = find(index, *text_buffer(b.column(1)))
+                tidy()
                 rows = pa.array([r for r, _, _ in found], pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(0).take(rows), pa.array([int(index.ids[i]) for _, i, _ in found], pa.int64()), pa.array([e for _, _, e in found], pa.int64())], names=["doc_id", "item_id", "edits"])
 
@@ -206,6 +207,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: f
             index = _index(block, q, rate)
             for b in batches:
                 bad = {r for r, _, _ in find(index, *text_buffer(b.column(b.schema.get_field_index("text"))))}
+                tidy()
                 yield b.filter(pa.array([i not in bad for i in range(b.num_rows)], pa.bool_()))
 
         return df.mapInArrow(run, docs.schema)

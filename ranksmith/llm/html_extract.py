@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidy
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _LINE = frozenset(
@@ -211,6 +211,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             text = [extract(x.as_py()) for x in b.column(2)]
+            tidy()
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return pages.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidy
 
 PIECES, PIECE_CHARS, SAMPLE_BYTES = 48, 4096, 48 << 10
 SEGMENT, LANES = 1024, 6144
@@ -165,7 +165,7 @@ def classify(texts: list[str | None], samples: dict[str, bytes]) -> tuple[list[s
         a = 0
         while a < len(known):  # groups of bounded size
             b, size, group = a, 0, []
-            while b < len(known) and size < 8 << 20:
+            while b < len(known) and size < 4 << 20:
                 group.append(symbols(texts[known[b]]))
                 size += len(group[-1])
                 b += 1
@@ -186,6 +186,7 @@ def predict(docs: DataFrame, samples: dict[str, bytes], keep: tuple[str, ...] =
     def run(batches):
         for b in batches:
             lang, score = classify(b.column(b.num_columns - 1).to_pylist(), samples)
+            tidy()
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
@@ -198,6 +199,7 @@ def keep_known(docs: DataFrame, samples: dict[str, bytes]) -> DataFrame:
     def run(batches):
         for b in batches:
             lang, _ = classify(b.column(b.schema.get_field_index("text")).to_pylist(), samples)
+            tidy()
             yield b.filter(pa.array([x != "und" for x in lang], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, n_partitions, table, text_buffer, word_hashes
+from .common import mix64, n_partitions, table, text_buffer, tidy, word_hashes
 
 END = np.uint64(0x1F83D9ABFB41BD6B)
 BEGIN = np.uint64(0x5BE0CD19137E2179)
@@ -115,14 +115,18 @@ def _edges(uniq: np.ndarray, shards: int) -> np.ndarray:
 
 
 def _ask(order: int, shards: int):
+    """A block's rows for the shards of each level; shard numbers go on from level to level."""
+
     def ask(t: pa.Table) -> pa.Table:
+        block = t["block"][0].as_py()
         tokens, n = token_stream(*text_buffer(t["text"]))
         train = np.repeat(~t["held_out"].to_numpy(), n)
-        keys = ngram_keys(tokens, n, order)
-        uniq, count = _counted(np.concatenate(keys), np.tile(train, order))
-        cut = _edges(uniq, shards)
-        block = t["block"][0].as_py()
-        rows = [(s, block, _pack(uniq[a:b]), _small(count[a:b])) for s, a, b in zip(range(shards), cut, cut[1:]) if b > a]
+        rows = []
+        for level, keys in enumerate(ngram_keys(tokens, n, order)):
+            uniq, count = _counted(keys, train)
+            cut = _edges(uniq, shards)
+            rows += [(level * shards + s, block, _pack(uniq[a:b]), _small(count[a:b])) for s, a, b in zip(range(shards), cut, cut[1:]) if b > a]
+        tidy()
         return pa.table({k: pa.array([r[i] for r in rows], kind) for i, (k, kind) in enumerate((("shard", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())))})
 
     return ask
@@ -134,6 +138,7 @@ def _answer(t: pa.Table) -> pa.Table:
     _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(inverse, counts).astype(np.int64)[inverse]
     cut = np.cumsum([len(k) for k in keys])[:-1]
+    tidy()
     return pa.table({"block": t["block"], "shard": t["shard"], "totals": pa.array([_small(x) for x in np.split(total, cut)], pa.binary())})
 
 
@@ -169,17 +174,22 @@ def traverse(count: list[np.ndarray], n: np.ndarray, begin_count: int, train_tok
     return root, np.log10(p)
 
 
-def _score(order: int, train_tokens: int, types: int, share: float):
+def _score(order: int, shards: int, train_tokens: int, types: int, share: float):
     def score(docs: pa.Table, totals: pa.Table) -> pa.Table:
         tokens, n = token_stream(*text_buffer(docs["text"]))
-        keys = ngram_keys(tokens, n, order)
-        uniq, where = np.unique(np.concatenate(keys + [np.array([END])]), return_inverse=True)
         by = dict(zip(totals["shard"].to_pylist(), totals["totals"].to_pylist()))
-        total = np.concatenate([_large(by[s]) for s in sorted(by)]) if by else np.zeros(0, np.int64)
-        if len(total) != len(uniq):
-            raise ValueError("a block's answers do not match what it asked for")
-        count = np.split(total[where[:-1]], order)
-        root, own = traverse(count, n, int(total[where[-1]]), train_tokens, types, share)
+        count, begin = [], 0
+        for level, keys in enumerate(ngram_keys(tokens, n, order)):
+            uniq, where = np.unique(keys, return_inverse=True)
+            own = range(level * shards, (level + 1) * shards)
+            total = np.concatenate([_large(by[s]) for s in own if s in by])
+            if len(total) != len(uniq):
+                raise ValueError("a block's answers do not match what it asked for")
+            count.append(total[where])
+            if not level:
+                begin = int(total[np.searchsorted(uniq, END)])
+        root, own = traverse(count, n, begin, train_tokens, types, share)
+        tidy()
         at = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)
         return pa.table(
             {
@@ -229,7 +239,7 @@ def score_texts(docs: DataFrame, order: int = ORDER, share: float = SHARE) -> Da
 
     asked = docs.groupBy("block").applyInArrow(_ask(order, parts), _ASKED)
     answers = asked.groupBy("shard").applyInArrow(_answer, "block int, shard int, totals binary")
-    return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(order, train_tokens, types, share), RESULT)
+    return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(order, parts, train_tokens, types, share), RESULT)
 
 
 def op1_lm_score(spark, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidy
 
 KINDS = ("email", "ip", "card", "phone", "url", "account", "secret")
 BASE_KINDS = 4
@@ -164,6 +164,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for b in batches:
             n: list[list[int]] = [[], [], [], []]
             digest, spans = [], []
+            tidy()
             for text in b.column(1):
                 found = scan(text.as_py() or "")
                 base = [x for x in found if x[1] < BASE_KINDS]
@@ -185,6 +186,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def run(batches):
         for b in batches:
             i = b.schema.get_field_index(text_col)
+            tidy()
             texts = [None if (t := x.as_py()) is None else redacted(t, scan(t)) for x in b.column(i)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, b.schema.field(i).type) if j == i else c for j, c in enumerate(b.columns)], schema=b.schema)
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, local_roots, materialize, n_partitions, table
+from .common import components, local_roots, materialize, n_partitions, table, tidy
 
 SHINGLE, BITS, SEED = 4, 4, 42
 #: Shingle hashes turned into bit counts at a time.
@@ -59,6 +59,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         for b in batches:
             text = b.column(1).cast(pa.binary() if pa.types.is_string(b.column(1).type) else pa.large_binary())
             fp = np.fromiter((fingerprint(x.as_py(), shingle) for x in text), np.uint64, b.num_rows)
+            tidy()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
@@ -126,6 +127,8 @@ def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
             key, fp = np.concatenate(key), np.concatenate(fp)
             order = np.argsort(key, kind="stable")
             u, v = _close(key[order], fp[order].view(np.uint64), bits)
+            del key, fp, order
+            tidy()
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
     return keyed.select("fp", "key").mapInArrow(run, "u bigint, v bigint")

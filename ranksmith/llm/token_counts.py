@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, table, tidy
 
 BLOCK = 1 << 16
 EOD = 50256
@@ -81,6 +81,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, eod: int = EOD, block
                     yield cut(parts, False)
                     parts, size = [tail], len(tail)
             yield cut(parts, False)
+            tidy()
         if len(tail):
             yield cut([tail], True)
 
