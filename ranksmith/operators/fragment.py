@@ -20,7 +20,6 @@ from ..plans.grammar import BadRequest
 KINDS = "pnbrqk"
 BOARDS = tuple(s + k for s in "wb" for k in KINDS)
 _PIECES = re.compile(r"([PNBRQKpnbrqk])([a-h][1-8])$")
-_MATERIAL = re.compile(r"([PNBRQpnbrq])(\d{1,2})?(?:(\.\.)(\d{1,2})?)?$")
 
 
 def _signed(x: int) -> int:

@@ -7,8 +7,9 @@ from functools import partial
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import scalars
+from ..functions import chess, scalars
 from ..operators import explorer, fragment, links, search, suggest
+from ..sources import pgn, synthetic
 from . import adapters
 from .adapters import REC, SEQ
 
@@ -301,12 +302,54 @@ MORE = {
 }
 
 
+#: Node counts of known positions: (FEN, depth).
+PERFT = (
+    (chess.START, 3),
+    ("r3k2r/p1ppqpb1/bn2pnp1/3PN3/1p2P3/2N2Q1p/PPPBBPPP/R3K2R w KQkq - 0 1", 2),
+    ("8/2p5/3p4/KP5r/1R3p1k/8/4P1P1/8 w - - 0 1", 3),
+)
+
+
+def _q_perft(spark, sf_dir):
+    t = spark.createDataFrame(PERFT, "fen string, depth int")
+    count = F.pandas_udf(lambda f, d: f.combine(d, lambda x, n: chess.perft(chess.Board.from_fen(x), n)), "bigint")
+    return t.select("fen", "depth", count("fen", "depth").alias("nodes"))
+
+
+def _generated(spark):
+    lines = synthetic.games(spark, 240, 24)
+    games = lines.select("number", F.element_at(F.array(*map(F.lit, ("white", "draw", "black", "other"))), F.col("number") % 4 + 1).alias("outcome"))
+    return lines, games
+
+
+def _q_explorer_pgn(spark, sf_dir):
+    lines, games = _generated(spark)
+    return explorer.position_counts(explorer.visits(pgn.plies(lines)), games)
+
+
+def _q_fragment_pgn(spark, sf_dir):
+    plies = pgn.plies(_generated(spark)[0])
+    return fragment.search(plies, look="Pe4", exclude="pe5", material_text="P7..8", mirror="horizontal", length=2, game_masks=fragment.masks(plies))
+
+
+def _q_roundtrip(spark, sf_dir):
+    """Games rendered as PGN text and read again by the movetext parser: lines that differ."""
+    lines, _ = _generated(spark)
+    sans = pgn.lines_of_ucis(lines)
+    text = sans.select("number", pgn.render(F.create_map(F.lit("White"), F.lit("A")), F.col("sans"), F.lit("*")).alias("pgn"))
+    again = pgn.lines(text.select("number", F.lit(None).cast("map<string,string>").alias("tags"), F.element_at(F.split("pgn", "\n\n", 2), 2).alias("movetext")))
+    return sans.join(again.select("number", F.col("ucis").alias("read")), "number").select("number", F.size("ucis").alias("plies"), (F.col("ucis") == F.col("read")).alias("same"))
+
+
+CHESS = {"c_perft": _q_perft, "c_explorer_pgn": _q_explorer_pgn, "c_fragment_pgn": _q_fragment_pgn, "c_pgn_roundtrip": _q_roundtrip}
+
+
 def queries() -> dict:
     out = {k: partial(_search, text) for k, (text, _) in SEARCHES.items()}
     for key in ORDERS:
         for way in ("asc", "desc"):
             out[f"o03_sort_{key.lower()}_{way}"] = partial(_sorted, f"-chess960 sort:{key}-{way}")
-    return out | {k: f for k, (f, _) in MORE.items()}
+    return out | {k: f for k, (f, _) in MORE.items()} | CHESS
 
 
 def oracle_sql() -> dict[str, str]:
