@@ -137,7 +137,7 @@ def _q_run(spark, sf_dir):
 
 
 def _bits(cond, spark, sf_dir):
-    return fragment.first_run(_seq(spark, sf_dir)[2], cond, move_number=F.col("ply"))
+    return fragment.first_run(_seq(spark, sf_dir)[2], F.expr(cond), move_number=F.col("ply"))
 
 
 def _q_masks(spark, sf_dir):
@@ -283,9 +283,9 @@ MORE = {
     "u01_union": (lambda s, d: _members(s, d, 3).union(_members(s, d, 5)).distinct(), _e("SELECT DISTINCT number FROM lines WHERE pos_key IN (3, 5) AND ply <= 8")),
     "u02_intersect": (lambda s, d: _members(s, d, 3).intersect(_members(s, d, 5)), _e("SELECT number FROM lines WHERE pos_key = 3 AND ply <= 8 INTERSECT SELECT number FROM lines WHERE pos_key = 5 AND ply <= 8")),
     "u03_complement": (lambda s, d: _members(s, d, 3).join(_members(s, d, 5), "number", "left_anti"), _e("SELECT number FROM lines WHERE pos_key = 3 AND ply <= 8 EXCEPT SELECT number FROM lines WHERE pos_key = 5 AND ply <= 8")),
-    "p22_look": (partial(_bits, F.expr("pos_key & 6 = 6")), _run_sql("(pos_key & 6) = 6")),
-    "p22_or": (partial(_bits, F.expr("pos_key & 9 != 0")), _run_sql("(pos_key & 9) <> 0")),
-    "p22_exclude": (partial(_bits, F.expr("pos_key & 3 = 0 AND ply > 0")), _run_sql("(pos_key & 3) = 0 AND ply > 0")),
+    "p22_look": (partial(_bits, "pos_key & 6 = 6"), _run_sql("(pos_key & 6) = 6")),
+    "p22_or": (partial(_bits, "pos_key & 9 != 0"), _run_sql("(pos_key & 9) <> 0")),
+    "p22_exclude": (partial(_bits, "pos_key & 3 = 0 AND ply > 0"), _run_sql("(pos_key & 3) = 0 AND ply > 0")),
     "p25_run": (_q_run, _run_sql("(pos_key & 1) = 1 AND ply BETWEEN 4 AND 60", 3)),
     "p26_masks": (_q_masked, _run_sql("(pos_key & 12) = 12")),
     "a13_mask_rows": (_q_masks, _e("SELECT number, bit_or(pos_key) AS held, min(bit_count(pos_key))::INT AS least, max(bit_count(pos_key))::INT AS most FROM lines GROUP BY number")),

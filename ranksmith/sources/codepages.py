@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 PAGES = ("cp1252", "cp1251", "cp1250", "cp1253", "cp1254", "cp1257")
 
@@ -35,6 +36,6 @@ def decode(raw: bytes | None, page: str | None = None) -> str | None:
         return raw.decode(page or ("cp1251" if cyrillic(raw) else "cp1252"), "replace")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def decoded(raw: pd.Series) -> pd.Series:
     return raw.map(decode)
