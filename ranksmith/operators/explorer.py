@@ -33,12 +33,37 @@ def visits(plies: DataFrame, max_ply: int | None = None) -> DataFrame:
     return first.select("number", "pos_key", F.col("v.ply").alias("ply"), F.col("v.move").alias("move"))
 
 
+def visits_of_lines(lines: DataFrame, *keep: str) -> DataFrame:
+    """First visits of lines (number, keys array, moves array, one shorter): a position counts
+    where its index is the first of its key. Lines are whole rows, so nothing is shuffled.
+    keep: columns of the game that ride along (outcome, rating, tier, total)."""
+    each = lines.select("number", *keep, "keys", "moves", F.posexplode("keys").alias("ply", "pos_key"))
+    each = each.where(F.array_position("keys", F.col("pos_key")) == F.col("ply") + 1)
+    return each.select("number", "pos_key", F.col("ply").cast("int").alias("ply"), F.get("moves", F.col("ply")).alias("move"), *keep)
+
+
+def index_visits(lines: DataFrame, games: DataFrame, all_games: DataFrame) -> DataFrame:
+    """The visits artefact: first visits with all that the explorer's answers need of a game, so
+    that counts, moves and both top lists are one aggregation each, without a join."""
+    g = games.crossJoin(F.broadcast(anchor(all_games)))
+    total = rating_sum()
+    g = g.select("number", "outcome", average_rating().alias("rating"), tier(calendar_day(), total, F.col("anchor")).cast("int").alias("tier"), total.cast("int").alias("total"))
+    return visits_of_lines(lines.join(g, "number"), "outcome", "rating", "tier", "total")
+
+
+def with_games(visited: DataFrame, games: DataFrame | None, *columns: str) -> DataFrame:
+    """visited with columns of its games, joined unless it carries them."""
+    if games is None or set(columns) <= set(visited.columns):
+        return visited
+    return visited.join(games.select("number", *columns), "number")
+
+
 def _counts() -> list[Column]:
     return [F.count("*").alias("games"), *(F.count_if(F.col("outcome") == o).alias(f"{o}s" if o == "draw" else o) for o in ("white", "draw", "black"))]
 
 
-def position_counts(visited: DataFrame, games: DataFrame) -> DataFrame:
-    return visited.join(games.select("number", "outcome"), "number").groupBy("pos_key").agg(*_counts())
+def position_counts(visited: DataFrame, games: DataFrame | None = None) -> DataFrame:
+    return with_games(visited, games, "outcome").groupBy("pos_key").agg(*_counts())
 
 
 def merge_counts(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
@@ -46,10 +71,10 @@ def merge_counts(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
     return a.unionByName(b).groupBy(*(keys or ("pos_key",))).agg(*(F.sum(c).alias(c) for c in ("games", "white", "draws", "black")))
 
 
-def move_counts(visited: DataFrame, games: DataFrame) -> DataFrame:
+def move_counts(visited: DataFrame, games: DataFrame | None = None) -> DataFrame:
     """Per position and move of the first visit, in order: games descending, then the smallest
     game number. A game that ends at a position adds no move."""
-    m = visited.where("move IS NOT NULL").join(games.select("number", "outcome"), "number")
+    m = with_games(visited.where("move IS NOT NULL"), games, "outcome")
     m = m.groupBy("pos_key", "move").agg(*_counts(), F.min("number").alias("first_number"))
     return m.withColumn("rank", F.row_number().over(Window.partitionBy("pos_key").orderBy(F.col("games").desc(), "first_number")).cast("long"))
 
@@ -59,23 +84,29 @@ def average_rating() -> Column:
     return F.least(F.when((w > 0) & (b > 0), F.floor((w + b) / 2)).otherwise(w + b), F.lit(4095)).cast("int")
 
 
-def _top(visited: DataFrame, scored: DataFrame, *by: Column) -> DataFrame:
+def _top(scored: DataFrame, *by: Column) -> DataFrame:
+    """The first TOP of each position: ranked in the tasks that hold the visits, and what is
+    left of each (at most TOP rows a task and position) again after the shuffle."""
     w = Window.partitionBy("pos_key").orderBy(*by, F.col("number").desc())
-    ranked = visited.select("number", "pos_key").join(scored, "number").withColumn("rank", F.row_number().over(w).cast("long"))
-    return ranked.where(F.col("rank") <= TOP)
+    return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= TOP)
 
 
-def top_games(visited: DataFrame, games: DataFrame) -> DataFrame:
+def top_games(visited: DataFrame, games: DataFrame | None = None) -> DataFrame:
     """(pos_key, rank, number, rating): average rating descending, then number descending."""
-    scored = games.select("number", average_rating().alias("rating"))
-    return _top(visited, scored, F.col("rating").desc()).select("pos_key", "rank", "number", "rating")
+    if "rating" not in visited.columns:
+        visited = visited.select("number", "pos_key").join(games.select("number", average_rating().alias("rating")), "number")
+    return _top(visited.select("pos_key", "number", "rating"), F.col("rating").desc()).select("pos_key", "rank", "number", "rating")
+
+
+def rating_sum() -> Column:
+    rating = lambda c: F.when(F.col(c) <= 0, 1500).otherwise(F.col(c))
+    return F.least(rating("white_elo") + rating("black_elo"), F.lit(131070))
 
 
 def calendar_day() -> Column:
     """yyyymmdd of y, m, d with unknown month or day as 1; null where there is no such day."""
     text = F.format_string("%04d-%02d-%02d", "y", F.when(F.col("m") > 0, F.col("m")).otherwise(1), F.when(F.col("d") > 0, F.col("d")).otherwise(1))
-    day = F.try_to_date(F.when(F.col("y") > 0, text))
-    return day
+    return F.try_to_date(F.when(F.col("y") > 0, text))
 
 
 def anchor(games: DataFrame) -> DataFrame:
@@ -90,14 +121,15 @@ def tier(day: Column, total: Column, newest: Column) -> Column:
     return F.coalesce(out, F.lit(0))
 
 
-def featured_games(visited: DataFrame, games: DataFrame, all_games: DataFrame) -> DataFrame:
+def featured_games(visited: DataFrame, games: DataFrame | None = None, all_games: DataFrame | None = None) -> DataFrame:
     """(pos_key, rank, number, tier, total): tier, then rating sum (unknown 1500), then number,
     all descending. The anchor is one row and is joined by broadcast."""
-    rating = lambda c: F.when(F.col(c) <= 0, 1500).otherwise(F.col(c))
-    g = games.crossJoin(F.broadcast(anchor(all_games)))
-    total = F.least(rating("white_elo") + rating("black_elo"), F.lit(131070))
-    scored = g.select("number", tier(calendar_day(), total, F.col("anchor")).cast("int").alias("tier"), total.cast("int").alias("total"))
-    return _top(visited, scored, F.col("tier").desc(), F.col("total").desc()).select("pos_key", "rank", "number", "tier", "total")
+    if "tier" not in visited.columns:
+        g = games.crossJoin(F.broadcast(anchor(all_games)))
+        scored = g.select("number", tier(calendar_day(), rating_sum(), F.col("anchor")).cast("int").alias("tier"), rating_sum().cast("int").alias("total"))
+        visited = visited.select("number", "pos_key").join(scored, "number")
+    found = _top(visited.select("pos_key", "number", "tier", "total"), F.col("tier").desc(), F.col("total").desc())
+    return found.select("pos_key", "rank", "number", "tier", "total")
 
 
 def games_of_position(plies: DataFrame, key) -> DataFrame:

@@ -99,6 +99,20 @@ def test_featured(plies, games):
     assert [r["number"] for r in sorted(found.where(F.col("pos_key") == start).collect(), key=lambda r: r["rank"])] == want
 
 
+def test_index_visits_equal_visits_of_plies(spark, plies, games):
+    lines = plies.groupBy("number").agg(F.sort_array(F.collect_list(F.struct("ply", "pos_key", "move"))).alias("p"))
+    lines = lines.select("number", F.col("p.pos_key").alias("keys"), F.expr("filter(transform(p, x -> x.move), m -> m IS NOT NULL)").alias("moves"))
+    ok = explorer.eligible(games)
+    index = explorer.index_visits(lines, ok, games).cache()
+    v = explorer.visits(plies.join(ok.select("number"), "number", "left_semi"))
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(index.select("number", "pos_key", "ply", "move")) == rows(v.select("number", "pos_key", "ply", "move"))
+    assert rows(explorer.position_counts(index)) == rows(explorer.position_counts(v, ok))
+    assert rows(explorer.move_counts(index)) == rows(explorer.move_counts(v, ok))
+    assert rows(explorer.top_games(index)) == rows(explorer.top_games(v, ok))
+    assert rows(explorer.featured_games(index)) == rows(explorer.featured_games(v, ok, games))
+
+
 CASES = [
     {"look": "Pe4"},
     {"look": "Pe4", "exclude": "pe5", "mirror": "horizontal"},
