@@ -21,13 +21,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 MOST = 3
 #: Hexadecimal digits of the hash used by each level of histograms.
 DIGITS, LEVELS = 3, 3
+#: Sources up to which their one row each is broadcast; beyond it, they are joined by shuffle.
+BROADCAST_SOURCES = 100_000
 _OWN = "_mix_"
 
 
@@ -49,13 +51,16 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return s.select("source", "source_size", "target", "whole", (F.col("target") - F.col("whole") * F.col("source_size")).alias("rest"))
 
 
-def _thresholds(sized: DataFrame, goal: DataFrame) -> DataFrame:
+def _few(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= BROADCAST_SOURCES else df
+
+
+def _thresholds(sized: DataFrame, goal: DataFrame, n: int) -> DataFrame:
     """(source, bound): rows whose hash prefix is under bound make up the source's rest."""
-    width = DIGITS * LEVELS
     done = goal.select("source", F.col("rest").alias("left"), F.lit("").alias("prefix"))
     for level in range(1, LEVELS + 1):
         rows = sized.withColumn("b", F.substring("h", 1, DIGITS * level)).withColumn("prefix", F.substring("h", 1, DIGITS * (level - 1)))
-        rows = rows.join(F.broadcast(done.select(F.col("source").alias("s"), F.col("prefix").alias("p"), "left")), F.col("source").eqNullSafe(F.col("s")) & (F.col("prefix") == F.col("p")))
+        rows = rows.join(_few(done.select(F.col("source").alias("s"), F.col("prefix").alias("p"), "left"), n), F.col("source").eqNullSafe(F.col("s")) & (F.col("prefix") == F.col("p")))
         hist = rows.groupBy("source", "b", "left").agg(F.sum("size").alias("n"))
         run = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         hist = hist.withColumn("upto", F.sum("n").over(run))
@@ -74,10 +79,12 @@ def mix_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     h = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 1, DIGITS * LEVELS)
     size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
     sized = docs.select("source", size.alias("size"), h.alias("h"))
-    goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most, share)
-    plan = _thresholds(sized, goal)
+    sized = materialize(sized, "sizes")  # texts are measured once, then small rows are read
+    goal = materialize(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most, share), "targets")
+    n = goal.count()
+    plan = _thresholds(sized, goal, n)
     plan = plan.select(F.col("source").alias(f"{_OWN}s"), *(F.col(c).alias(f"{_OWN}{c}") for c in ("source_size", "target", "whole", "bound")))
-    out = docs.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col(f"{_OWN}s")))
+    out = docs.join(_few(plan, n), F.col("source").eqNullSafe(F.col(f"{_OWN}s")))
     keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
     return out.select(
         *keep,
