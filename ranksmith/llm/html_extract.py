@@ -43,15 +43,30 @@ _NEVER = frozenset(
 _CONTENT = ("article", "main")
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form toolbar".split())
-#: Words of a class or id that name page furniture.
-_FURNITURE = (
+#: Words that, first or last in a class or id, name page furniture.
+_FURNITURE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar nav navbar navigation menu topbar "
     "breadcrumb breadcrumbs footer header masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter "
     "subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist "
-    "respond disqus replies widget pagination pager skip toolbar disclaimer"
+    "respond disqus replies widget pagination pager skip toolbar disclaimer".split()
 )
-_WORD = "|".join(_FURNITURE.split())
-_FURNITURE_CLASS = re.compile(rf"(?:^|\s)(?!(?:post|article|entry)[-_]header)(?:(?:site|page|global|main|top|left|right|bottom|post|article|entry|reader|user|cookie|google|js|c|l)[-_])?(?:{_WORD})(?:[-_]?(?:s|box|bar|area|list|block|section|container|wrapper|wrap|links?|item|items|slot|unit|banner|notice|form|thread|body|text|content|inner|top|bottom|left|right|main|primary|secondary|\d+))*(?=\s|$)", re.I)
+#: An article's own header, and words before which a furniture word only describes a layout.
+_OWN, _LAYOUT = frozenset("post article entry story content".split()), frozenset("with has no without main".split())
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+
+
+def _names_furniture(names: str) -> bool:
+    for name in names.split():
+        parts = [p.lower() for p in _PARTS.findall(name) if not p.isdigit()]
+        if not parts or len(parts) > 1 and (parts[0] in _LAYOUT and parts[1] != "menu" or parts[1] == "free"):
+            continue
+        if len(parts) > 1 and parts[0] in _OWN and parts[-1] == "header":
+            continue
+        if parts[0] in _FURNITURE or parts[-1] in _FURNITURE:
+            return True
+    return False
+
+
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPACES = re.compile(r"\s+")
 SIGMA, RADIUS = 1.0, 2
@@ -82,7 +97,7 @@ class _Lines(HTMLParser):
         if (a.get("role") or "").lower() in _ROLES:
             return True
         named = f"{a.get('class') or ''} {a.get('id') or ''}"
-        return tag not in ("html", "body", "main") and bool(named.strip()) and bool(_FURNITURE_CLASS.search(named))
+        return tag not in ("html", "body", "main") and _names_furniture(named)
 
     def _pop(self, to: int) -> None:
         del self.stack[to:]
