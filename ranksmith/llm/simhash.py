@@ -21,13 +21,15 @@ keep_representatives.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, local_roots, materialize, n_partitions, table, tidy
+from .common import components, local_roots, materialize, mix64, n_partitions, table, tidy
 
 SHINGLE, BITS, SEED = 4, 4, 42
 #: Shingle hashes turned into bit counts at a time.
@@ -147,9 +149,144 @@ def dedup(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFram
     return marked.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
-def keep_representatives(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """docs with one row of each component: that of the smallest doc_id."""
-    kept = dedup(docs.select("doc_id", "text"), shingle, bits).where("doc_id <=> component_id")
+# --- near copies by similarity ---------------------------------------------------------------
+#
+# At a shingle similarity of 0.8 two texts differ in some ten of 64 bits, and a cut of 64 bits
+# into segments of which one differs by at most one bit would leave segments of ten bits: no
+# index. So near copies at a similarity are found as follows. LANES fingerprints of 64 bits
+# (of independent hashes of the same shingles) estimate the similarity of two texts; candidates
+# meet under the hash of an equal section, a run of shingles cut where a shingle's hash says
+# so, of which near copies keep many; and the deletion variants above add those within `bits`.
+
+LANES, SECTION, NEAR_SHINGLE, SIMILARITY = 4, 24, 5, 0.8
+
+
+def allowed(similarity: float, width: int) -> int:
+    """Differing bits of `width` up to which two texts count as similar: the expected number at
+    this Jaccard similarity, and three quarters of a standard deviation."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(width * p + 0.75 * math.sqrt(width * p * (1 - p)))
+
+
+def sketch(text: bytes | None, shingle: int = NEAR_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """LANES fingerprints of a text and the keys of its sections (none for an empty text)."""
+    words = (text or b"").lower().split()
+    if not words:
+        return np.zeros(LANES, np.uint64), np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    k = max(1, len(words) - shingle + 1)
+    starts = np.concatenate([[0], ends[:-1] + 1])[:k].tolist()
+    stops = ends[min(shingle, len(words)) - 1 :].tolist()
+    digest = xxhash.xxh64_intdigest
+    h = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, k)
+    lanes = np.zeros(LANES, np.uint64)
+    for lane in range(LANES):
+        count = np.zeros(64, np.int64)
+        for i in range(0, k, _PIECE):
+            x = h[i : i + _PIECE] if lane == 0 else mix64(h[i : i + _PIECE] + np.uint64(lane * 0x9E3779B97F4A7C15 % (1 << 64)))
+            count += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        lanes[lane] = np.packbits(count * 2 > k, bitorder="little").view(np.uint64)[0]
+    cut = np.flatnonzero(h % np.uint64(SECTION) == 0)
+    cut = np.concatenate([[0], cut[cut > 0]])
+    return lanes, np.unique(np.add.reduceat(mix64(h), cut))
+
+
+def _near(key: np.ndarray, node: np.ndarray, lanes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Similar nodes under equal keys (rows sorted by key), as a spanning forest."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
+    run = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    stop = np.append(run[1:], len(key))
+    end = np.repeat(stop, stop - run)
+    rows = np.flatnonzero(np.repeat(stop - run, stop - run) > 1)
+    d = 1
+    while True:
+        rows = rows[rows + d < end[rows]]
+        if not len(rows):
+            break
+        differ = np.bitwise_count(lanes[rows] ^ lanes[rows + d]).sum(1, dtype=np.int64)
+        near = differ <= most
+        if near.any():
+            found.append((node[rows][near], node[rows + d][near]))
+            held += int(near.sum())
+            if held > 1 << 20:
+                nodes, root = local_roots(*(np.concatenate(x) for x in zip(*found)))
+                found, held = [(nodes, root)], len(nodes)
+        d += 1
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    nodes, root = local_roots(*(np.concatenate(x) for x in zip(*found)))
+    return nodes[nodes != root], root[nodes != root]
+
+
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE, bits: int = BITS) -> DataFrame:
+    """(doc_id, component_id) of docs (doc_id, text): components of texts whose shingles are
+    similar. Texts with the same fingerprints are one node; an empty text is one like any other."""
+    parts = n_partitions(docs.sparkSession)
+    most = allowed(similarity, 64 * LANES)
+
+    def sketches(batches):
+        for b in batches:
+            text = b.column(1).cast(pa.binary() if pa.types.is_string(b.column(1).type) else pa.large_binary())
+            lanes, keys = [], []
+            for x in text:
+                one, k = sketch(x.as_py(), shingle)
+                lanes.append(one.tobytes())
+                keys.append(k.view(np.int64))
+            tidy()
+            off = np.cumsum([0, *map(len, keys)])
+            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lanes, pa.binary()), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat, pa.int64()))], names=["doc_id", "lanes", "keys"])
+
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    marked = materialize(src.mapInArrow(sketches, "doc_id bigint, lanes binary, keys array<bigint>").withColumn("node", F.xxhash64("lanes")), "sketches")
+    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("lanes").alias("lanes"), F.first("keys").alias("keys"))
+    nodes = materialize(nodes, "near-nodes")
+    keyed = nodes.select("node", "lanes", F.explode("keys").alias("key")).repartition(parts, "key")
+
+    def run(batches):
+        key, node, lanes = [], [], []
+        for b in batches:
+            key.append(b.column(0).to_numpy(zero_copy_only=False))
+            node.append(b.column(1).to_numpy(zero_copy_only=False))
+            lanes.append(np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint64).reshape(-1, LANES))
+        if key:
+            key, node, lanes = np.concatenate(key), np.concatenate(node), np.concatenate(lanes)
+            order = np.argsort(key, kind="stable")
+            u, v = _near(key[order], node[order], lanes[order], most)
+            del key, node, lanes, order
+            tidy()
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    edges = keyed.select("key", "node", "lanes").mapInArrow(run, "u bigint, v bigint")
+    # The first lane is the fingerprint of dedup(): its links by deletion variants.
+    lane = nodes.select("node", _first_lane().alias("fp"))
+    by_fp = lane.groupBy("fp").agg(F.min("node").alias("low"))
+    close = links(by_fp.select("fp"), bits)
+    low = lambda c: by_fp.select(F.col("fp").alias(c), F.col("low").alias(f"_{c}"))
+    close = close.join(low("u"), "u").join(low("v"), "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
+    same = lane.join(by_fp, "fp").where("node != low").select(F.col("node").alias("u"), F.col("low").alias("v"))
+    roots = components(edges.unionByName(close).unionByName(same), "near-cc")
+    by_root = nodes.select("node", "first_id").join(roots, "node")
+    low_id = by_root.groupBy("root").agg(F.min("first_id").alias("low_id"))
+    linked = by_root.join(low_id, "root").select("node", "low_id")
+    named = nodes.select("node", "first_id").join(linked, "node", "left").select(F.col("node").alias("_n"), F.coalesce("low_id", "first_id").alias("component_id"))
+    return marked.join(named, F.col("node") == F.col("_n")).select("doc_id", "component_id")
+
+
+def _first_lane():
+    """The first eight bytes of `lanes`, little-endian, as a long."""
+    byte = lambda i: F.conv(F.hex(F.substring("lanes", i + 1, 1)), 16, 10).cast("long")
+    out = byte(0)
+    for i in range(1, 8):
+        out = out.bitwiseOR(F.shiftleft(byte(i), 8 * i))
+    return out
+
+
+def keep_representatives(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with one row of each component of near copies: that of the smallest doc_id."""
+    kept = near_copies(docs.select("doc_id", "text"), similarity).where("doc_id <=> component_id")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_id")
     one = docs.select("*", key).join(kept.select(key).distinct(), "_id")
     # Rows that repeat a doc_id: one of them stays, the same one in every run.

@@ -3,7 +3,7 @@
 import corpus_pipeline as cp
 from ranksmith.llm import pii
 
-from .test_queries import fp, groups
+from .test_queries import groups
 
 
 def test_stages(spark, sf_dir, rows):
@@ -14,14 +14,22 @@ def test_stages(spark, sf_dir, rows):
     assert sorted(map(str, (r["doc_id"] for r in one.collect()))) == sorted(str(i) for i, t, *_ in rows if t and any(c.isalpha() for c in t))
 
     two = cp.near_duplicates(spark, docs, sf_dir)
-    f = [fp(t) for _, t, *_ in rows]
-    g = groups(len(rows), [(i, j) for i in range(len(f)) for j in range(i) if (f[i] ^ f[j]).bit_count() <= 4])
-    low = {}
-    for i, r in enumerate(rows):
-        if r[0] is not None:
-            low[g[i]] = min(low.get(g[i], 1 << 60), r[0])
     assert two.columns == docs.columns
-    assert sorted(map(str, (r["doc_id"] for r in two.collect()))) == sorted(str(low.get(x)) for x in set(g))
+    kept = [r["doc_id"] for r in two.collect()]
+    assert len(kept) == len(set(kept))
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else {""}
+
+    s = [shingles(t) for _, t, *_ in rows]
+    near = {(i, j): len(s[i] & s[j]) / len(s[i] | s[j]) for i in range(len(s)) for j in range(i)}
+    g = groups(len(rows), [p for p, x in near.items() if x >= 0.8])
+    for group in set(g):  # of similar texts only the one with the smallest id stays
+        ids = [r[0] for r, x in zip(rows, g) if x == group and r[0] is not None]
+        assert sorted(set(ids) & set(kept)) == ([min(ids)] if ids else [])
+    apart = [i for i in range(len(s)) if all(x < 0.5 for p, x in near.items() if i in p)]
+    assert {rows[i][0] for i in apart} <= set(kept)
 
     three = cp.decontaminate(spark, docs, sf_dir)
     item = rows[10][1][20:220].strip()
