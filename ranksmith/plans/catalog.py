@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chess, scalars
-from ..operators import explorer, fragment, links, search, suggest
+from ..operators import explorer, fragment, links, search, suggest, verify
 from ..sources import pgn, synthetic
 from . import adapters
 from .adapters import REC, SEQ
@@ -296,6 +296,7 @@ MORE = {
     "j09_title_links": (_q_title_links, f"WITH {REC} SELECT i AS link_id, min(number) AS number FROM range(20) AS t(i) JOIN rec ON kind = 'text' AND event = 'Essay ' || i GROUP BY i"),
     "j10_twin_diff": (_q_twins, f"WITH {REC}, a AS (SELECT number, result, nullif(eco, '') AS eco, moves FROM rec), b AS (SELECT number, CASE WHEN number % 50 = 0 THEN '*' ELSE result END AS result, CASE WHEN number % 75 = 0 THEN NULL ELSE eco END AS eco, least(moves, 40) AS moves FROM a WHERE number % 101 <> 0), j AS (SELECT a.number, CASE WHEN b.number IS NULL THEN 'only left' ELSE concat_ws(',', CASE WHEN a.result IS DISTINCT FROM b.result THEN 'result' END, CASE WHEN a.eco IS DISTINCT FROM b.eco THEN 'eco' END, CASE WHEN a.moves IS DISTINCT FROM b.moves THEN 'moves' END) END AS difference FROM a LEFT JOIN b USING (number)) SELECT * FROM j WHERE difference <> ''"),
     "a17_verify": (lambda s, d: links.verify_counts(adapters.tpch(s, d).records), _rec("true", "count(*) AS records, count_if(kind = 'game')::BIGINT AS games, count_if(kind = 'text')::BIGINT AS texts, count_if(kind = 'analysis')::BIGINT AS analyses, count_if(deleted)::BIGINT AS deleted, count_if(chess960)::BIGINT AS chess960, count_if(eco = '')::BIGINT AS no_eco, count_if(contains(date_text, '?'))::BIGINT AS partial_dates, count_if(kind = 'game' AND white_elo <= 0 AND black_elo <= 0)::BIGINT AS unrated, sum(moves)::BIGINT AS full_moves")),
+    "b01_info": (lambda s, d: verify.info(adapters.tpch(s, d)), "SELECT (SELECT count(*) FROM orders) AS records, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS players, (SELECT count(*) FROM part) AS tournaments, (SELECT count(*) FROM nation) AS annotators"),
     "a18_census": (_q_census, "SELECT event_type, hour(ts)::INT AS hour, count(*) AS items FROM events GROUP BY ALL"),
     "f_scalars": (_q_scalars, f"WITH {REC}, x AS (SELECT *, number * 37 % 65536 AS code, number::BIGINT * 613 % 2097152 AS p FROM rec) SELECT number, CASE WHEN code BETWEEN 128 AND 64127 THEN chr((65 + (code // 128 - 1) // 100)::INT) || lpad(((code // 128 - 1) % 100)::VARCHAR, 2, '0') END AS eco_of_code, (CASE WHEN p >> 9 > 0 THEN lpad((p >> 9)::VARCHAR, 4, '0') ELSE '????' END) || '.' || (CASE WHEN ((p >> 5) & 15) > 0 THEN lpad(((p >> 5) & 15)::VARCHAR, 2, '0') ELSE '??' END) || '.' || (CASE WHEN (p & 31) > 0 THEN lpad((p & 31)::VARCHAR, 2, '0') ELSE '??' END) AS date_of_pack, least(CASE WHEN white_elo > 0 AND black_elo > 0 THEN (white_elo + black_elo) // 2 ELSE white_elo + black_elo END, 4095)::INT AS average, nullif(y, 0) AS year, CASE WHEN number % 12 <= 0 THEN '' WHEN number % 5 > 0 THEN (number % 12) || '(' || (number % 5) || ')' ELSE (number % 12)::VARCHAR END AS round_of FROM x"),
     "f_tags": (_q_tags, "WITH x AS (SELECT o_orderkey AS k FROM orders), y AS (SELECT k, CASE WHEN k % 7 IN (0, 1) THEN 0 WHEN k % 7 = 2 THEN k % 9000 ELSE k % 5000 + 60 * (k % 40) END AS total FROM x) SELECT k AS id, CASE WHEN k % 7 = 0 THEN 128 WHEN total > 0 AND total <= 600 THEN 32 WHEN total > 0 AND total < 3600 THEN 64 ELSE 0 END::INT AS bits, CASE WHEN k % 12000 <= 9999 THEN k % 12000 ELSE 0 END::INT AS elo, rtrim(translate(base64(k::VARCHAR::BLOB), '+/', '-_'), '=') AS b64 FROM y"),
@@ -341,7 +342,11 @@ def _q_roundtrip(spark, sf_dir):
     return sans.join(again.select("number", F.col("ucis").alias("read")), "number").select("number", F.size("ucis").alias("plies"), (F.col("ucis") == F.col("read")).alias("same"))
 
 
-CHESS = {"c_perft": _q_perft, "c_explorer_pgn": _q_explorer_pgn, "c_fragment_pgn": _q_fragment_pgn, "c_pgn_roundtrip": _q_roundtrip}
+def _q_verify(spark, sf_dir):
+    return verify.line_counts(pgn.lines_of_ucis(_generated(spark)[0]).withColumn("complete", F.lit(True)))
+
+
+CHESS = {"c_verify": _q_verify, "c_perft": _q_perft, "c_explorer_pgn": _q_explorer_pgn, "c_fragment_pgn": _q_fragment_pgn, "c_pgn_roundtrip": _q_roundtrip}
 
 
 def queries() -> dict:
