@@ -24,9 +24,10 @@ CHUNK_BYTES = 1 << 20
 
 # --- memory of Python workers ---------------------------------------------------------------
 
-try:  # glibc: arrays from 1 MB on are given back when they are freed
+try:  # glibc: arrays of up to 32 MB are reused within a batch, and tidy() gives them back
     _LIBC = ctypes.CDLL("libc.so.6")
-    _LIBC.mallopt(-3, 1 << 20)
+    _LIBC.mallopt(-3, 32 << 20)
+    _LIBC.mallopt(-1, 512 << 20)
 except (OSError, AttributeError):  # another C library
     _LIBC = None
 

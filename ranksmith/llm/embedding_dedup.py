@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, local_roots, materialize, table
+from .common import components, local_roots, materialize, table, tidy
 
 THRESHOLD, TILE, BLOCK, LEAD, SAMPLE, RANGES = 0.9, 4096, 1024, 16, 4096, 16
 _NEAR = 1e-9
@@ -74,11 +74,15 @@ def compare(a: dict, b: dict | None, basis: np.ndarray, threshold: float) -> tup
     gap = np.maximum(0, np.maximum(xa[:, :lead].min(0) - xb[:, :lead].max(0), xb[:, :lead].min(0) - xa[:, :lead].max(0)))
     if (gap**2).sum() > 2 - 2 * threshold + _NEAR:
         return na, nb, None, edges
+    room = [np.empty(BLOCK * BLOCK) for _ in range(2)]  # one pair of buffers for all blocks
     for i in range(0, len(xa), BLOCK):
         for j in range(i if same else 0, len(xb), BLOCK):
             p, q = xa[i : i + BLOCK], xb[j : j + BLOCK]
-            part = p[:, :lead] @ q[:, :lead].T
-            can = part + np.outer(ra[i : i + BLOCK], rb[j : j + BLOCK]) >= threshold - _NEAR
+            part, can = (x[: len(p) * len(q)].reshape(len(p), len(q)) for x in room)
+            np.matmul(p[:, :lead], q[:, :lead].T, out=part)
+            np.multiply(ra[i : i + BLOCK, None], rb[None, j : j + BLOCK], out=can)
+            np.add(part, can, out=can)
+            can = can >= threshold - _NEAR
             r, c = np.flatnonzero(can.any(1)), np.flatnonzero(can.any(0))
             if not len(r):
                 continue
@@ -170,6 +174,7 @@ def link_classes(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         n = [na[na > 0], nb[nb > 0]]
         nodes, root = local_roots(*(np.concatenate(x) for x in zip(*edges))) if edges else (np.zeros(0, np.int64),) * 2
         nodes, root = nodes[nodes != root], root[nodes != root]
+        tidy()
         k = sum(map(len, u))
         none = pa.nulls
         return pa.table(
