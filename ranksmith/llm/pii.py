@@ -102,7 +102,7 @@ def scan(text: str) -> list[tuple[int, int, int]]:
                 ip = _DIGITS.match(text, at).end()
                 if text[ip : ip + 1] == "." and (m := _IP.match(text, at)):
                     ip = m.end()
-                    if all(len(x.lstrip("0")) < 4 and int(x) <= 255 for x in m[0].split(".")):
+                    if all(len(x) < 4 and int(x or "0") <= 255 for x in (y.lstrip("0") for y in m[0].split("."))):
                         out.append((at, 1, ip))
         elif what == "@":
             start = at

@@ -156,6 +156,11 @@ def test_op3(spark, sf_dir, rows):
     assert "account:" in next(r["spans"] for r in out if r["doc_id"] == 231)
 
 
+def test_op3_very_long_numbers():
+    t = "0" * 6000 + "1.2.3.4 " + "9" * 6000 + ".1.1.1 +1" + "2" * 6000
+    assert pii.scan(t) == [(0, 1, 6007)]
+
+
 def test_redaction():
     t = "a mail@x.example.com b token = 'abcdefgh12345678' c"
     assert pii.redacted(t, pii.scan(t)) == "a [EMAIL] b token = '[SECRET]' c"
