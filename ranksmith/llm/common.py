@@ -89,6 +89,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A class with over one row in HOT is joined apart: there are fewer than HOT such classes.
+HOT = 1024
+
+
+def classed(rows: DataFrame, classes: DataFrame, key: str, name: str) -> DataFrame:
+    """rows joined with classes (key, n: its number of rows, ...) on key.
+
+    A class may hold a third of all rows. Those with over 1 in HOT of them number fewer than
+    HOT, so they are broadcast, and their rows stay where they are; all other classes, none of
+    which can fill a task, are joined by a shuffle.
+    """
+    classes = materialize(classes, name)
+    most = (classes.agg(F.sum("n")).first()[0] or 0) / HOT
+    named = classes.withColumnRenamed(key, "_key")
+    hot, cold = (named.where(c).drop("n") for c in (F.col("n") > most, F.col("n") <= most))
+    on, hot = F.col(key) == F.col("_key"), F.broadcast(hot)
+    return rows.join(hot, on).unionByName(rows.join(hot, on, "left_anti").join(cold, on)).drop("_key")
+
+
 # --- words, vectorised -----------------------------------------------------------------------
 
 

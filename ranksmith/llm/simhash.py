@@ -29,11 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, local_roots, materialize, mix64, n_partitions, table, tidy
+from .common import classed, components, local_roots, materialize, mix64, n_partitions, table, tidy
 
 SHINGLE, BITS, SEED = 4, 4, 42
 #: Shingle hashes turned into bit counts at a time.
 _PIECE = 1 << 16
+#: Rows compared as one group; hot keys up to which they are broadcast; rows of a block and of
+#: the stream buffered for one round of comparisons.
+TILE, BROADCAST_KEYS, _ROWS, _BUFFER = 8192, 100_000, 256, 1 << 17
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -86,8 +89,8 @@ def variant_keys(bits: int):
     return keys
 
 
-def _close(key: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among fingerprints under equal keys (rows sorted by key), as a spanning forest."""
+def _close(key: np.ndarray, node: np.ndarray, lanes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links among rows under equal keys (sorted by key), as a spanning forest."""
     found: list[tuple[np.ndarray, np.ndarray]] = []
     held = 0
     run = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
@@ -100,53 +103,137 @@ def _close(key: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.n
         rows = rows[rows + d < end[rows]]
         if not len(rows):
             break
-        a, b = fp[rows], fp[rows + d]
-        near = np.bitwise_count(a ^ b) <= bits
+        near = _differ(lanes, rows, rows + d) <= most
         if near.any():
-            found.append((a[near], b[near]))
+            found.append((node[rows[near]], node[rows[near] + d]))
             held += int(near.sum())
             if held > 1 << 20:
                 nodes, root = local_roots(*(np.concatenate(x) for x in zip(*found)))
                 found, held = [(nodes, root)], len(nodes)
         d += 1
+    return _forest(found)
+
+
+def _across(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the (node, lanes) of tile a and those of tile b, as a spanning forest."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for i in range(0, len(a[0]), _ROWS):
+        differ = np.zeros((len(a[0][i : i + _ROWS]), len(b[0])), np.int16)
+        for lane in range(a[1].shape[1]):
+            differ += np.bitwise_count(a[1][i : i + _ROWS, lane, None] ^ b[1][None, :, lane])
+        r, c = np.nonzero(differ <= most)
+        if len(r):
+            found.append(local_roots(a[0][i + r], b[0][c]))
+    return _forest(found)
+
+
+def _differ(lanes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    n = np.zeros(len(i), np.int16)
+    for lane in range(lanes.shape[1]):
+        n += np.bitwise_count(lanes[i, lane] ^ lanes[j, lane])
+    return n
+
+
+def _forest(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     nodes, root = local_roots(*(np.concatenate(x) for x in zip(*found)))
     return nodes[nodes != root], root[nodes != root]
 
 
-def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
-    """(u, v): links between the distinct fingerprints of nodes (fp), thinned to forests."""
-    parts = n_partitions(nodes.sparkSession)
-    keyed = nodes.select("fp", F.explode(F.array(*variant_keys(bits))).alias("key")).repartition(parts, "key")
+def _columns(t: pa.RecordBatch | pa.Table, names: tuple[str, ...]) -> list[np.ndarray]:
+    """Columns as arrays; `lanes`, where there is none, is the node's own 64 bits."""
+    out = []
+    for name in names:
+        if name != "lanes":
+            out.append(t[name].to_numpy() if isinstance(t, pa.Table) else t[name].to_numpy(zero_copy_only=False))
+        elif name in t.schema.names:
+            out.append(np.frombuffer(b"".join(t[name].to_pylist()), np.uint64).reshape(t.num_rows, -1))
+        else:
+            out.append(out[names.index("node")].view(np.uint64)[:, None])
+    return out
 
-    def run(batches):
-        key, fp = [], []
+
+def meetings(keyed: DataFrame, most: int, name: str, tile: int | None = None) -> DataFrame:
+    """(u, v): the links among rows of keyed (key, node, lanes) that share a key and differ in
+    at most `most` bits, thinned to forests.
+
+    Keys are counted first. Rows whose key has up to `tile` of them meet in a shuffle by key,
+    sorted there by Spark, and are compared group by group as they stream by. A key with more
+    rows is cut in tiles of about that size by the hash of the node, and each pair of its tiles
+    is a group of its own. So no task holds more than two tiles, whatever a key's share of all
+    rows, and no pair is left out.
+    """
+    spark = keyed.sparkSession
+    tile = tile or TILE
+    has = [c for c in ("key", "node", "lanes") if c in keyed.columns]
+    cut = F.ceil(F.col("n") / tile).cast("int")
+    many = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > tile).select(F.col("key").alias("_key"), cut.alias("_tiles"))
+    many = materialize(many, f"{name}-hot")
+    n = many.count()
+    hint = F.broadcast(many) if n <= BROADCAST_KEYS else many
+
+    def cold(batches):
+        held, n, found = [], 0, []
         for b in batches:
-            key.append(b.column(1).to_numpy(zero_copy_only=False))
-            fp.append(b.column(0).to_numpy(zero_copy_only=False))
-        if key:
-            key, fp = np.concatenate(key), np.concatenate(fp)
-            order = np.argsort(key, kind="stable")
-            u, v = _close(key[order], fp[order].view(np.uint64), bits)
-            del key, fp, order
-            tidy()
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+            held.append([x.copy() for x in _columns(b, ("key", "node", "lanes"))])
+            n += b.num_rows
+            if n < _BUFFER:
+                continue
+            rows = [np.concatenate(x) for x in zip(*held)]
+            at = int(np.searchsorted(rows[0], rows[0][-1]))  # the last key can go on
+            found.append(_close(*(x[:at] for x in rows), most))
+            held, n = [[x[at:].copy() for x in rows]], n - at
+            if sum(len(u) for u, _ in found) > 1 << 20:
+                u, v = _forest(found)
+                found = []
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+        if n:
+            found.append(_close(*(np.concatenate(x) for x in zip(*held)), most))
+        u, v = _forest(found)
+        del held, found
+        tidy()
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    rest = keyed.select(*has)
+    if n:
+        rest = rest.join(hint, F.col("key") == F.col("_key"), "left_anti")
+    rest = rest.repartition(n_partitions(spark), "key").sortWithinPartitions("key")
+    out = rest.mapInArrow(cold, "u bigint, v bigint")
+    if not n:
+        return out
+
+    def hot(t: pa.Table) -> pa.Table:
+        side, i, j, node, lanes = _columns(t, ("side", "i", "j", "node", "lanes"))
+        one = side == i
+        a = (node[one], lanes[one])
+        u, v = _across(a, a if i[0] == j[0] else (node[~one], lanes[~one]), most)
+        tidy()
+        return pa.table({"u": pa.array(u), "v": pa.array(v)})
+
+    dealt = keyed.select(*has).join(hint, F.col("key") == F.col("_key"))
+    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("node"), F.col("_tiles")).cast("int"))
+    dealt = dealt.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
+    dealt = dealt.select(*has, "side", F.least("side", "mate").alias("i"), F.greatest("side", "mate").alias("j"))
+    return out.unionByName(dealt.groupBy("key", "i", "j").applyInArrow(hot, "u bigint, v bigint"))
+
 
-    return keyed.select("fp", "key").mapInArrow(run, "u bigint, v bigint")
+def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
+    """(u, v): links between the distinct fingerprints of nodes (fp), thinned to forests."""
+    keyed = nodes.select(F.col("fp").alias("node"), F.explode(F.array(*variant_keys(bits))).alias("key"))
+    return meetings(keyed, bits, "variants")
 
 
 def dedup(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """(doc_id, fp, component_id) of docs (doc_id, text)."""
     marked = materialize(fingerprints(docs, shingle), "fingerprints")
-    nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
+    nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "nodes")
     roots = components(links(nodes, bits))
     by_root = nodes.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "first_id")
     low = by_root.groupBy("root").agg(F.min("first_id").alias("low"))
     linked = by_root.join(low, "root").select("fp", "low")
-    # A fingerprint shared by many documents is one row here; AQE splits its skewed side.
-    named = nodes.join(linked, "fp", "left").select(F.col("fp").alias("_fp"), F.coalesce("low", "first_id").alias("component_id"))
-    return marked.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    named = nodes.join(linked, "fp", "left").select("fp", "n", F.coalesce("low", "first_id").alias("component_id"))
+    return classed(marked, named, "fp", "classes").select("doc_id", "fp", "component_id")
 
 
 # --- near copies by similarity ---------------------------------------------------------------
@@ -192,38 +279,10 @@ def sketch(text: bytes | None, shingle: int = NEAR_SHINGLE) -> tuple[np.ndarray,
     return lanes, np.unique(np.add.reduceat(mix64(h), cut))
 
 
-def _near(key: np.ndarray, node: np.ndarray, lanes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Similar nodes under equal keys (rows sorted by key), as a spanning forest."""
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    held = 0
-    run = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    stop = np.append(run[1:], len(key))
-    end = np.repeat(stop, stop - run)
-    rows = np.flatnonzero(np.repeat(stop - run, stop - run) > 1)
-    d = 1
-    while True:
-        rows = rows[rows + d < end[rows]]
-        if not len(rows):
-            break
-        differ = np.bitwise_count(lanes[rows] ^ lanes[rows + d]).sum(1, dtype=np.int64)
-        near = differ <= most
-        if near.any():
-            found.append((node[rows][near], node[rows + d][near]))
-            held += int(near.sum())
-            if held > 1 << 20:
-                nodes, root = local_roots(*(np.concatenate(x) for x in zip(*found)))
-                found, held = [(nodes, root)], len(nodes)
-        d += 1
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    nodes, root = local_roots(*(np.concatenate(x) for x in zip(*found)))
-    return nodes[nodes != root], root[nodes != root]
-
-
-def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE, bits: int = BITS) -> DataFrame:
-    """(doc_id, component_id) of docs (doc_id, text): components of texts whose shingles are
-    similar. Texts with the same fingerprints are one node; an empty text is one like any other."""
-    parts = n_partitions(docs.sparkSession)
+def _near_classes(docs: DataFrame, similarity: float, shingle: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest, node) of each of docs (doc_id, text), and (node, n, first, component) of
+    each node: texts with the same fingerprints and sections. first is (null id?, doc_id,
+    digest), the least of the node; component is the least first of all that are similar."""
     most = allowed(similarity, 64 * LANES)
 
     def sketches(batches):
@@ -237,29 +296,15 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
             tidy()
             off = np.cumsum([0, *map(len, keys)])
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lanes, pa.binary()), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat, pa.int64()))], names=["doc_id", "lanes", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(lanes, pa.binary()), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat, pa.int64()))], names=["doc_id", "digest", "lanes", "keys"])
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marked = materialize(src.mapInArrow(sketches, "doc_id bigint, lanes binary, keys array<bigint>").withColumn("node", F.xxhash64("lanes")), "sketches")
-    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("lanes").alias("lanes"), F.first("keys").alias("keys"))
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _digest().alias("digest"))
+    marked = src.mapInArrow(sketches, "doc_id bigint, digest bigint, lanes binary, keys array<bigint>")
+    marked = materialize(marked.withColumn("node", F.xxhash64("lanes", "keys")), "sketches")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
+    nodes = marked.groupBy("node").agg(first, F.count("*").alias("n"), F.min("lanes").alias("lanes"), F.min("keys").alias("keys"))
     nodes = materialize(nodes, "near-nodes")
-    keyed = nodes.select("node", "lanes", F.explode("keys").alias("key")).repartition(parts, "key")
-
-    def run(batches):
-        key, node, lanes = [], [], []
-        for b in batches:
-            key.append(b.column(0).to_numpy(zero_copy_only=False))
-            node.append(b.column(1).to_numpy(zero_copy_only=False))
-            lanes.append(np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint64).reshape(-1, LANES))
-        if key:
-            key, node, lanes = np.concatenate(key), np.concatenate(node), np.concatenate(lanes)
-            order = np.argsort(key, kind="stable")
-            u, v = _near(key[order], node[order], lanes[order], most)
-            del key, node, lanes, order
-            tidy()
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
-    edges = keyed.select("key", "node", "lanes").mapInArrow(run, "u bigint, v bigint")
+    edges = meetings(nodes.select("node", "lanes", F.explode("keys").alias("key")), most, "sections")
     # The first lane is the fingerprint of dedup(): its links by deletion variants.
     lane = nodes.select("node", _first_lane().alias("fp"))
     by_fp = lane.groupBy("fp").agg(F.min("node").alias("low"))
@@ -268,11 +313,22 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     close = close.join(low("u"), "u").join(low("v"), "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
     same = lane.join(by_fp, "fp").where("node != low").select(F.col("node").alias("u"), F.col("low").alias("v"))
     roots = components(edges.unionByName(close).unionByName(same), "near-cc")
-    by_root = nodes.select("node", "first_id").join(roots, "node")
-    low_id = by_root.groupBy("root").agg(F.min("first_id").alias("low_id"))
-    linked = by_root.join(low_id, "root").select("node", "low_id")
-    named = nodes.select("node", "first_id").join(linked, "node", "left").select(F.col("node").alias("_n"), F.coalesce("low_id", "first_id").alias("component_id"))
-    return marked.join(named, F.col("node") == F.col("_n")).select("doc_id", "component_id")
+    by_root = nodes.select("node", "first").join(roots, "node")
+    low = by_root.groupBy("root").agg(F.min("first").alias("low"))
+    linked = by_root.join(low, "root").select("node", "low")
+    return marked, nodes.select("node", "n", "first").join(linked, "node", "left").select("node", "n", "first", F.coalesce("low", "first").alias("component"))
+
+
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE, bits: int = BITS) -> DataFrame:
+    """(doc_id, component_id) of docs (doc_id, text): components of texts whose shingles are
+    similar. An empty text is one like any other."""
+    marked, classes = _near_classes(docs, similarity, shingle, bits)
+    named = classes.select("node", "n", F.col("component.doc_id").alias("component_id"))
+    return classed(marked.select("doc_id", "node"), named, "node", "near-classes").select("doc_id", "component_id")
+
+
+def _digest():
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def _first_lane():
@@ -285,12 +341,15 @@ def _first_lane():
 
 
 def keep_representatives(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """docs with one row of each component of near copies: that of the smallest doc_id."""
-    kept = near_copies(docs.select("doc_id", "text"), similarity).where("doc_id <=> component_id")
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_id")
-    one = docs.select("*", key).join(kept.select(key).distinct(), "_id")
-    # Rows that repeat a doc_id: one of them stays, the same one in every run.
-    pick = Window.partitionBy("_id").orderBy(F.xxhash64(*docs.columns))
+    """docs with one row of each component of near copies: that of the smallest doc_id (null:
+    last). Rows are told apart by doc_id and text, so different texts under one doc_id, or none,
+    are each judged."""
+    _, classes = _near_classes(docs.select("doc_id", "text"), similarity, NEAR_SHINGLE, BITS)
+    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_id")
+    kept = classes.where("first = component").select("first.*").select(id_, F.col("digest").alias("_digest"))
+    one = docs.select("*", id_, _digest().alias("_digest")).join(kept, ["_id", "_digest"])
+    # Rows that repeat both: one of them stays, the same one in every run.
+    pick = Window.partitionBy("_id", "_digest").orderBy(F.xxhash64(*docs.columns))
     return one.withColumn("_n", F.row_number().over(pick)).where("_n = 1").select(*docs.columns)
 
 

@@ -333,3 +333,41 @@ def test_op10_furniture():
     <div class="comments"><p>a reader's comment that is rather long and should not be kept at all</p></div></div>
     <aside>side</aside><form><label>Name</label></form><footer>foot</footer><script>if (a < b) x("<p>");</script></body>"""
     assert html_extract.extract(html) == "Title\n\nA long paragraph with a good number of characters in it.\n\nShort.\n\nAnother long paragraph <with> enough characters & more."
+
+
+def test_hot_keys_are_cut_in_tiles(spark):
+    import random
+
+    r = random.Random(5)
+    rows, base = [], [r.getrandbits(64) for _ in range(3)]
+    for i in range(90):  # one key with two thirds of the rows
+        fp = base[i % 3]
+        for b in r.sample(range(64), r.randint(0, 4)):
+            fp ^= 1 << b
+        rows.append((0 if i % 3 else i % 7 + 1, fp - (1 << 64) if fp >> 63 else fp))
+    rows = list(dict.fromkeys(rows))
+    keyed = spark.createDataFrame(rows, "key bigint, node bigint")
+    nodes = sorted({n for _, n in rows})
+    at = {n: i for i, n in enumerate(nodes)}
+    near = [(at[a], at[b]) for k, a in rows for k2, b in rows if k == k2 and a != b and bin((a ^ b) & (1 << 64) - 1).count("1") <= 4]
+    want = groups(len(nodes), near)
+    for tile in (1, 7, 1000):
+        found = [(at[u], at[v]) for u, v in simhash.meetings(keyed, 4, "t", tile).collect()]
+        assert set(found) <= {(u, v) for u in range(len(nodes)) for v in range(len(nodes)) if want[u] == want[v]}
+        assert groups(len(nodes), found) == want
+
+
+def test_hot_classes_are_joined_whole(spark):
+    from ranksmith.llm.common import classed
+
+    rows = spark.createDataFrame([(i, i % 3000 if i % 2 else 0) for i in range(6000)], "id bigint, k bigint")
+    classes = rows.groupBy("k").count().selectExpr("k", "count n", "k * 2 c")
+    out = classed(rows, classes, "k", "t").collect()
+    assert sorted((r["id"], r["k"], r["c"]) for r in out) == [(i, i % 3000 if i % 2 else 0, 2 * (i % 3000 if i % 2 else 0)) for i in range(6000)]
+
+
+def test_representatives_of_rows_that_share_an_id(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta eta", "one two three four five six seven", "north south east west up down left")
+    docs = spark.createDataFrame([(None, a), (None, b), (1, c), (1, a), (2, a), (2, c), (2, c), (None, b)], "doc_id bigint, text string")
+    out = simhash.keep_representatives(docs).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"], r["text"]) for r in out) == [(False, 1, a), (False, 1, c), (True, None, b)]
