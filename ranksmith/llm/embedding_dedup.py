@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, local_roots, materialize, table, tidy
+from .common import classed, components, local_roots, materialize, table, tidy
 
 THRESHOLD, TILE, BLOCK, LEAD, SAMPLE, RANGES = 0.9, 4096, 1024, 16, 4096, 16
 _NEAR = 1e-9
@@ -204,9 +204,9 @@ def dedup(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     named = (
         classes.join(links, F.col("node") == F.col("u"), "left")
         .join(roots.join(low, "root").select(F.col("node").alias("_n"), "low"), F.col("node") == F.col("_n"), "left")
-        .select(F.col("embedding").alias("_e"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("low", "vec_id").alias("component_id"))
+        .select("embedding", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("low", "vec_id").alias("component_id"))
     )
-    linked = valid.join(named, F.col("embedding") == F.col("_e")).select("vec_id", "n_links", "component_id")
+    linked = classed(valid, named, "embedding", "vector-classes").select("vec_id", "n_links", "component_id")
     alone = v.where(~ok).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
