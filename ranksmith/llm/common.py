@@ -210,7 +210,8 @@ def components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> Data
 
     Alternating large-star and small-star rounds: an edge table is rewritten until it is a set
     of stars, in a number of rounds that grows with the logarithm of the longest path. Every
-    round is one table in the shared folder; nothing but two numbers comes to the driver.
+    round is one table in the shared folder; to the driver come two numbers and the hubs, nodes
+    with over 1 in HOT of the edges, which are joined apart.
     """
     spark = edges.sparkSession
     cur = (
@@ -219,14 +220,15 @@ def components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> Data
         .distinct()
     )
     cur = materialize(cur, name)
-    seen = None
+    n, seen = cur.count(), None
     for _ in range(max_rounds):
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        hot = _hubs(both, n)
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _with_least(both, low, hot).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.join(low, "u")
+            _with_least(large, low, hot)
             .where("v != m")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v")))
@@ -235,10 +237,40 @@ def components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> Data
         )
         cur = materialize(small, name)
         now = tuple(cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == seen or now[0] == 0:
+        n = now[0]
+        if now == seen or n == 0:
             break
         seen = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+#: A node with fewer edges than this is no hub, however few edges there are.
+LEAST_HUB = 256
+
+
+def _hubs(both: DataFrame, n: int) -> DataFrame | None:
+    """Nodes (u) that end over 1 in HOT of the n edges, for a broadcast: at most 2 * HOT of
+    them. None where there are none."""
+    ends = both.groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") > max(n / HOT, LEAST_HUB))
+    found = [(r["u"],) for r in ends.select("u").collect()]
+    return F.broadcast(both.sparkSession.createDataFrame(found, "u bigint")) if found else None
+
+
+def _with_least(rows: DataFrame, low: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """rows (u, v) with m of low (u, m). Rows of hubs stay where they are; all others are joined
+    by a shuffle. A node has as many rows in either half of a round as it ends edges, at most."""
+    if hot is None:
+        return rows.join(low, "u")
+    few = F.broadcast(low.join(hot, "u", "left_semi"))
+    return rows.join(few, "u").unionByName(rows.join(hot, "u", "left_anti").join(low, "u"))
+
+
+def named_roots(members: DataFrame, roots: DataFrame, least: str, name: str) -> DataFrame:
+    """(node, low) of the nodes that roots (node, root) holds: low is the least `least` among
+    members (node, least) of the same root. A root may hold a third of all nodes."""
+    held = materialize(members.join(roots, "node"), f"{name}-members")
+    low = held.groupBy("root").agg(F.min(least).alias("low"), F.count("*").alias("n"))
+    return classed(held, low, "root", name).select("node", "low")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import classed, components, local_roots, materialize, table, tidy
+from .common import classed, components, local_roots, materialize, named_roots, table, tidy
 
 THRESHOLD, TILE, BLOCK, LEAD, SAMPLE, RANGES = 0.9, 4096, 1024, 16, 4096, 16
 _NEAR = 1e-9
@@ -199,11 +199,10 @@ def dedup(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     found = materialize(link_classes(classes.select("node", "embedding", "n"), threshold), "links")
     links = found.where("v IS NULL").groupBy("u").agg(F.sum("links").alias("links"))
     roots = components(found.where("v IS NOT NULL").select("u", "v"))
-    ids = classes.select("node", "vec_id")
-    low = ids.join(roots, "node").groupBy("root").agg(F.min("vec_id").alias("low"))
+    low = named_roots(classes.select("node", "vec_id"), roots, "vec_id", "roots").withColumnRenamed("node", "_n")
     named = (
         classes.join(links, F.col("node") == F.col("u"), "left")
-        .join(roots.join(low, "root").select(F.col("node").alias("_n"), "low"), F.col("node") == F.col("_n"), "left")
+        .join(low, F.col("node") == F.col("_n"), "left")
         .select("embedding", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("low", "vec_id").alias("component_id"))
     )
     linked = classed(valid, named, "embedding", "vector-classes").select("vec_id", "n_links", "component_id")

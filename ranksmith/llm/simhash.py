@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import classed, components, local_roots, materialize, mix64, n_partitions, table, tidy
+from .common import classed, components, local_roots, materialize, mix64, n_partitions, named_roots, table, tidy
 
 SHINGLE, BITS, SEED = 4, 4, 42
 #: Shingle hashes turned into bit counts at a time.
@@ -229,9 +229,8 @@ def dedup(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFram
     marked = materialize(fingerprints(docs, shingle), "fingerprints")
     nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "nodes")
     roots = components(links(nodes, bits))
-    by_root = nodes.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "first_id")
-    low = by_root.groupBy("root").agg(F.min("first_id").alias("low"))
-    linked = by_root.join(low, "root").select("fp", "low")
+    linked = named_roots(nodes.select(F.col("fp").alias("node"), "first_id"), roots, "first_id", "roots")
+    linked = linked.withColumnRenamed("node", "fp")
     named = nodes.join(linked, "fp", "left").select("fp", "n", F.coalesce("low", "first_id").alias("component_id"))
     return classed(marked, named, "fp", "classes").select("doc_id", "fp", "component_id")
 
@@ -308,14 +307,14 @@ def _near_classes(docs: DataFrame, similarity: float, shingle: int, bits: int) -
     # The first lane is the fingerprint of dedup(): its links by deletion variants.
     lane = nodes.select("node", _first_lane().alias("fp"))
     by_fp = lane.groupBy("fp").agg(F.min("node").alias("low"))
-    close = links(by_fp.select("fp"), bits)
+    close = materialize(links(by_fp.select("fp"), bits), "close")
     low = lambda c: by_fp.select(F.col("fp").alias(c), F.col("low").alias(f"_{c}"))
-    close = close.join(low("u"), "u").join(low("v"), "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
+    # v is the root of each forest and may be that of very many links; u is in one a group.
+    ends = close.groupBy("v").agg(F.count("*").alias("n")).join(low("v"), "v")
+    close = classed(close, ends, "v", "close-ends").join(low("u"), "u").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
     same = lane.join(by_fp, "fp").where("node != low").select(F.col("node").alias("u"), F.col("low").alias("v"))
     roots = components(edges.unionByName(close).unionByName(same), "near-cc")
-    by_root = nodes.select("node", "first").join(roots, "node")
-    low = by_root.groupBy("root").agg(F.min("first").alias("low"))
-    linked = by_root.join(low, "root").select("node", "low")
+    linked = named_roots(nodes.select("node", "first"), roots, "first", "near-roots")
     return marked, nodes.select("node", "n", "first").join(linked, "node", "left").select("node", "n", "first", F.coalesce("low", "first").alias("component"))
 
 

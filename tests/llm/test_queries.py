@@ -371,3 +371,24 @@ def test_representatives_of_rows_that_share_an_id(spark):
     docs = spark.createDataFrame([(None, a), (None, b), (1, c), (1, a), (2, a), (2, c), (2, c), (None, b)], "doc_id bigint, text string")
     out = simhash.keep_representatives(docs).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"], r["text"]) for r in out) == [(False, 1, a), (False, 1, c), (True, None, b)]
+
+
+@pytest.mark.parametrize("least", [2, 256])
+def test_components_with_hubs(spark, monkeypatch, least):
+    from ranksmith.llm import common
+
+    monkeypatch.setattr(common, "LEAST_HUB", least)
+    monkeypatch.setattr(common, "HOT", 4)
+    r = np.random.default_rng(5)
+    edges = [(5000, i) for i in range(1000, 2200)]  # the hub has the greatest number
+    edges += [(3, i) for i in range(4000, 4800)] + [(4799, 6000), (6000, 6001)]  # and the smallest
+    edges += [(i, i + 1) for i in range(7000, 7060)] + [tuple(map(int, e)) for e in r.integers(8000, 8400, (150, 2))]
+    edges += [(9, 9), (3, 4000), (4000, 3)]
+    nodes = sorted({x for e in edges if e[0] != e[1] for x in e})
+    at = {x: k for k, x in enumerate(nodes)}
+    g = groups(len(nodes), [(at[u], at[v]) for u, v in edges if u != v])
+    least_of = {}
+    for x, k in zip(nodes, g):
+        least_of[k] = min(x, least_of.get(k, x))
+    out = common.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()
+    assert sorted(map(tuple, out)) == [(x, least_of[k]) for x, k in zip(nodes, g)]
