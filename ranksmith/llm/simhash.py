@@ -306,13 +306,13 @@ def _near_classes(docs: DataFrame, similarity: float, shingle: int, bits: int) -
     edges = meetings(nodes.select("node", "lanes", F.explode("keys").alias("key")), most, "sections")
     # The first lane is the fingerprint of dedup(): its links by deletion variants.
     lane = nodes.select("node", _first_lane().alias("fp"))
-    by_fp = lane.groupBy("fp").agg(F.min("node").alias("low"))
+    by_fp = lane.groupBy("fp").agg(F.min("node").alias("low"), F.count("*").alias("n"))
     close = materialize(links(by_fp.select("fp"), bits), "close")
     low = lambda c: by_fp.select(F.col("fp").alias(c), F.col("low").alias(f"_{c}"))
     # v is the root of each forest and may be that of very many links; u is in one a group.
     ends = close.groupBy("v").agg(F.count("*").alias("n")).join(low("v"), "v")
     close = classed(close, ends, "v", "close-ends").join(low("u"), "u").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
-    same = lane.join(by_fp, "fp").where("node != low").select(F.col("node").alias("u"), F.col("low").alias("v"))
+    same = classed(lane, by_fp, "fp", "near-fp").where("node != low").select(F.col("node").alias("u"), F.col("low").alias("v"))
     roots = components(edges.unionByName(close).unionByName(same), "near-cc")
     linked = named_roots(nodes.select("node", "first"), roots, "first", "near-roots")
     return marked, nodes.select("node", "n", "first").join(linked, "node", "left").select("node", "n", "first", F.coalesce("low", "first").alias("component"))
