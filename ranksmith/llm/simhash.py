@@ -25,11 +25,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import classed, components, local_roots, materialize, mix64, n_partitions, named_roots, table, tidy
+from .common import classed, components, local_roots, materialize, mix64, n_partitions, named_roots, table, text_buffer, tidy, word_hashes
 
 SHINGLE, BITS, SEED = 4, 4, 42
 #: Shingle hashes turned into bit counts at a time.
@@ -237,91 +238,228 @@ def dedup(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFram
 
 # --- near copies by similarity ---------------------------------------------------------------
 #
-# At a shingle similarity of 0.8 two texts differ in some ten of 64 bits, and a cut of 64 bits
-# into segments of which one differs by at most one bit would leave segments of ten bits: no
-# index. So near copies at a similarity are found as follows. LANES fingerprints of 64 bits
-# (of independent hashes of the same shingles) estimate the similarity of two texts; candidates
-# meet under the hash of an equal section, a run of shingles cut where a shingle's hash says
-# so, of which near copies keep many; and the deletion variants above add those within `bits`.
+# Two texts are near copies if the Jaccard similarity of their sets of shingles is at least
+# `similarity`, computed from the sets. Candidates come from an exact prefix filter: with all
+# shingles in one order, two sets of similarity t share one of the first n - ceil(t n) + 1
+# shingles of each (n: its size), whatever their sizes, and where they share their first one
+# enough of both is left. Any order gives the same result; common shingles come last in it (by
+# their counts in a sample of texts), so that keys are rare. A key with over GROUP sets is hot:
+# its sets are compared with two of them, and then all pairs that are not yet in one component.
+
+NEAR_SHINGLE, SIMILARITY = 5, 0.8
+#: Texts sampled for the order, the least count there of a common shingle and how many of them
+#: are told apart; sets under a key up to which all its pairs are candidates at once; bits of
+#: the filter that sorts out sets of no candidate.
+ORDER_SAMPLE, COMMON, COMMONS, GROUP, FILTER_BITS = 8192, 4, 1 << 16, 64, 1 << 24
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_EPS = 1e-6
+
+
+def shingle_sets(text: pa.Array, shingle: int = NEAR_SHINGLE) -> list[np.ndarray]:
+    """The sorted hashes of each text's distinct shingles of lower-cased words. A text with fewer
+    words has its whole sequence as its one shingle, an empty one the number 0."""
+    w, counts = word_hashes(*text_buffer(pc.utf8_lower(text)))
+    start = np.cumsum(counts) - counts
+    h, short = w.copy(), {}
+    for k in range(1, shingle):
+        for r in np.flatnonzero(counts == k).tolist():
+            short[r] = h[start[r] : start[r] + 1].copy()
+        m = max(len(w) - k, 0)
+        h[:m] = mix64(h[:m] * _ODD + w[k : k + m])
+    none = np.zeros(1, np.uint64)
+    return [np.unique(h[a : a + n - shingle + 1]) if n >= shingle else short.get(r, none) for r, (a, n) in enumerate(zip(start.tolist(), counts.tolist()))]
+
+
+def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Common shingles (sorted) and their counts in a sample of docs (text, digest)."""
+    every = max(1, docs.count() // ORDER_SAMPLE)
 
-LANES, SECTION, NEAR_SHINGLE, SIMILARITY = 4, 24, 5, 0.8
+    def run(batches):
+        for b in batches:
+            sets = shingle_sets(b.column(0), shingle)
+            yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(sets) if sets else np.zeros(0, np.uint64)).view(np.int64))], names=["h"])
+
+    some = docs.where(F.pmod("digest", F.lit(every)) == 0).select("text").mapInArrow(run, "h bigint")
+    found = some.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "h").limit(COMMONS).collect()
+    h = np.array([r["h"] for r in found], np.int64).view(np.uint64)
+    n = np.array([r["n"] for r in found], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _in_order(sets: list[np.ndarray], common: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
+    """The sets by count, then hash: shingles that are not common come first."""
+    if not len(common) or not sets:
+        return sets
+    h = np.concatenate(sets)
+    at = np.searchsorted(common, h)
+    at[at == len(common)] = 0
+    n = np.where(common[at] == h, count[at], 0)
+    cut = np.cumsum([len(s) for s in sets])[:-1]
+    return [s[np.lexsort((s, c))] if c.any() else s for s, c in zip(sets, np.split(n, cut))]
+
+
+def _enough(n, i, m, j, similarity: float):
+    """Whether sets of n and m shingles whose first common one is at places i and j can be
+    similar; works on arrays and on columns alike (least is theirs)."""
+    least = np.minimum if isinstance(n, np.ndarray) else F.least
+    return least(n - i, m - j) >= (n + m) * (similarity / (1 + similarity)) - _EPS
+
+
+def _pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray, i: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs (u < v), each once, of rows sorted by key."""
+    if not len(key):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    stop = np.append(first[1:], len(key))
+    end = np.repeat(stop, stop - first)
+    rows, found, d = np.arange(len(key)), [], 1
+    while True:
+        rows = rows[rows + d < end[rows]]
+        if not len(rows):
+            break
+        a = rows[_enough(n[rows], i[rows], n[rows + d], i[rows + d], similarity)]
+        found.append(np.stack([np.minimum(node[a], node[a + d]), np.maximum(node[a], node[a + d])], 1))
+        d += 1
+    two = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+    return two[:, 0], two[:, 1]
 
 
-def allowed(similarity: float, width: int) -> int:
-    """Differing bits of `width` up to which two texts count as similar: the expected number at
-    this Jaccard similarity, and three quarters of a standard deviation."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(width * p + 0.75 * math.sqrt(width * p * (1 - p)))
+def _all_pairs(keyed: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): candidate pairs among rows of keyed (key, node, n, i), with repeats."""
 
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            held.append([b.column(c).to_numpy(zero_copy_only=False).copy() for c in range(4)])
+            size += b.num_rows
+            if size < _BUFFER:
+                continue
+            rows = [np.concatenate(x) for x in zip(*held)]
+            at = int(np.searchsorted(rows[0], rows[0][-1]))  # the last key can go on
+            u, v = _pairs(*(x[:at] for x in rows), similarity)
+            held, size = [[x[at:].copy() for x in rows]], size - at
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+        if size:
+            u, v = _pairs(*(np.concatenate(x) for x in zip(*held)), similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+        tidy()
 
-def sketch(text: bytes | None, shingle: int = NEAR_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """LANES fingerprints of a text and the keys of its sections (none for an empty text)."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.zeros(LANES, np.uint64), np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    k = max(1, len(words) - shingle + 1)
-    starts = np.concatenate([[0], ends[:-1] + 1])[:k].tolist()
-    stops = ends[min(shingle, len(words)) - 1 :].tolist()
-    digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, k)
-    lanes = np.zeros(LANES, np.uint64)
-    for lane in range(LANES):
-        count = np.zeros(64, np.int64)
-        for i in range(0, k, _PIECE):
-            x = h[i : i + _PIECE] if lane == 0 else mix64(h[i : i + _PIECE] + np.uint64(lane * 0x9E3779B97F4A7C15 % (1 << 64)))
-            count += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        lanes[lane] = np.packbits(count * 2 > k, bitorder="little").view(np.uint64)[0]
-    cut = np.flatnonzero(h % np.uint64(SECTION) == 0)
-    cut = np.concatenate([[0], cut[cut > 0]])
-    return lanes, np.unique(np.add.reduceat(mix64(h), cut))
-
-
-def _near_classes(docs: DataFrame, similarity: float, shingle: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    rows = keyed.select("key", "node", "n", "i").repartition(n_partitions(keyed.sparkSession), "key").sortWithinPartitions("key")
+    return rows.mapInArrow(run, "u bigint, v bigint")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float, name: str) -> DataFrame:
+    """Those of pairs (u, v) whose sets, of sets (node, set), are similar."""
+    pairs = materialize(pairs.distinct(), f"{name}-pairs")
+    slot = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
+    ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node")))
+    part = 1 << 15  # bits of one bitmap
+    maps = ends.select(slot.alias("s")).groupBy((F.col("s") / part).cast("int").alias("b")).agg(F.bitmap_construct_agg(F.col("s") % part).alias("m"))
+    bits = np.zeros((FILTER_BITS // part, part // 8), np.uint8)
+    for r in maps.collect():
+        bits[r["b"]] = np.frombuffer(r["m"], np.uint8)
+    bits = bits.reshape(-1)
+
+    def some(batches):
+        for b in batches:
+            s = b.column(2).to_numpy(zero_copy_only=False)
+            keep = pa.array((bits[s >> 3] >> (s & 7).astype(np.uint8) & 1).astype(bool))
+            yield b.select([0, 1]).filter(keep)
+        tidy()
+
+    held = sets.select("node", "set", slot.alias("slot")).mapInArrow(some, "node bigint, set binary")
+    held = materialize(held.dropDuplicates(["node"]), f"{name}-sets")
+    right = pairs.groupBy("v").agg(F.count("*").alias("n")).join(held.withColumnRenamed("node", "v"), "v")
+    both = classed(pairs, right, "v", f"{name}-ends").join(held.select(F.col("node").alias("u"), F.col("set").alias("_set")), "u")
+
+    def exact(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both / (len(x) + len(y) - both) >= similarity)
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        tidy()
+
+    return materialize(both.select("u", "v", "set", "_set").mapInArrow(exact, "u bigint, v bigint"), f"{name}-links")
+
+
+def _near_links(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): links that make the components of nodes (node, n, keys: the first shingles)."""
+    spark = nodes.sparkSession
+    keyed = nodes.select("node", F.col("size").alias("n"), F.posexplode("keys").alias("i", "key"))
+    whole = F.struct("node", "n", "i")
+    many = keyed.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > GROUP).withColumnRenamed("key", "_key")
+    many = materialize(many, "near-hot")
+    n_hot = many.count()
+    if not n_hot:
+        return _similar(_all_pairs(keyed, similarity), sets, similarity, "near")
+    hint = F.broadcast(many) if n_hot <= BROADCAST_KEYS else many
+    on = F.col("key") == F.col("_key")
+    hot = materialize(keyed.join(hint, on).drop("_key"), "near-hot-rows")
+    ends = hot.groupBy("key").agg(F.min(whole).alias("a"), F.max(whole).alias("b")).withColumnRenamed("key", "_key")
+    ends = materialize(ends, "near-hot-ends")
+    star = hot.join(F.broadcast(ends) if n_hot <= BROADCAST_KEYS else ends, on).withColumn("p", F.explode(F.array("a", "b")))
+    star = star.where(F.col("node") != F.col("p.node")).where(_enough(F.col("n"), F.col("i"), F.col("p.n"), F.col("p.i"), similarity))
+    first = _all_pairs(keyed.join(hint, on, "left_anti"), similarity).unionByName(star.select(F.col("node").alias("u"), F.col("p.node").alias("v")))
+    links = _similar(first, sets, similarity, "near")
+
+    # What is left of the hot keys: the pairs across components. Those of a key's most frequent
+    # component stay where they are, in tiles; the other rows go to each tile.
+    roots = components(links, "near-first")
+    roots = roots.withColumnRenamed("node", "_node")
+    placed = materialize(hot.join(roots, F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("root", "node")).drop("_node"), "near-placed")
+    main = placed.groupBy("key").agg(F.mode("root").alias("main"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select(F.col("key").alias("_key"), "main")
+    main = materialize(main, "near-main")
+    n_main = main.count()
+    if not n_main:
+        return links
+    left = placed.join(F.broadcast(main) if n_main <= BROADCAST_KEYS else main, on).withColumn("tiles", F.ceil(F.col("rows") / TILE).cast("int"))
+    left = left.select("key", "node", "n", "i", "root", "main", "tiles", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile"))
+    left = materialize(left, "near-left")
+    apart = left.where("root != main").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    o, a = apart.alias("o"), left.alias("a")
+    cross = o.join(a, (F.col("o.key") == F.col("a.key")) & (F.col("o.tile") == F.col("a.tile")) & (F.col("o.root") != F.col("a.root")))
+    # Of two rows that are both apart, one order is enough.
+    cross = cross.where((F.col("a.root") == F.col("a.main")) | (F.col("o.node") < F.col("a.node")))
+    cross = cross.where(_enough(F.col("o.n"), F.col("o.i"), F.col("a.n"), F.col("a.i"), similarity))
+    return links.unionByName(_similar(cross.select(F.col("o.node").alias("u"), F.col("a.node").alias("v")), sets, similarity, "near-rest"))
+
+
+def _near_classes(docs: DataFrame, similarity: float, shingle: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, digest, node) of each of docs (doc_id, text), and (node, n, first, component) of
-    each node: texts with the same fingerprints and sections. first is (null id?, doc_id,
-    digest), the least of the node; component is the least first of all that are similar."""
-    most = allowed(similarity, 64 * LANES)
+    each node: texts with the same shingles. first is (null id?, doc_id, digest), the least of
+    the node; component is the least first of all that are linked."""
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _digest().alias("digest"))
+    common, count = _common(src.select("text", "digest"), shingle)
 
     def sketches(batches):
         for b in batches:
-            text = b.column(1).cast(pa.binary() if pa.types.is_string(b.column(1).type) else pa.large_binary())
-            lanes, keys = [], []
-            for x in text:
-                one, k = sketch(x.as_py(), shingle)
-                lanes.append(one.tobytes())
-                keys.append(k.view(np.int64))
-            tidy()
+            sets = _in_order(shingle_sets(b.column(1), shingle), common, count)
+            keys = [s[: len(s) - math.ceil(similarity * len(s) - _EPS) + 1].view(np.int64) for s in sets]
             off = np.cumsum([0, *map(len, keys)])
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(lanes, pa.binary()), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat, pa.int64()))], names=["doc_id", "digest", "lanes", "keys"])
+            size = pa.array([len(s) for s in sets], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), size, pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat, pa.int64())), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "digest", "size", "keys", "set"])
+            del sets, keys, flat
+            tidy()
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _digest().alias("digest"))
-    marked = src.mapInArrow(sketches, "doc_id bigint, digest bigint, lanes binary, keys array<bigint>")
-    marked = materialize(marked.withColumn("node", F.xxhash64("lanes", "keys")), "sketches")
+    marked = src.mapInArrow(sketches, "doc_id bigint, digest bigint, size int, keys array<bigint>, set binary")
+    marked = materialize(marked.withColumn("node", F.xxhash64("set")), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
-    nodes = marked.groupBy("node").agg(first, F.count("*").alias("n"), F.min("lanes").alias("lanes"), F.min("keys").alias("keys"))
+    nodes = marked.groupBy("node").agg(first, F.count("*").alias("n"), F.min("size").alias("size"), F.min("keys").alias("keys"))
     nodes = materialize(nodes, "near-nodes")
-    edges = meetings(nodes.select("node", "lanes", F.explode("keys").alias("key")), most, "sections")
-    # The first lane is the fingerprint of dedup(): its links by deletion variants.
-    lane = nodes.select("node", _first_lane().alias("fp"))
-    by_fp = lane.groupBy("fp").agg(F.min("node").alias("low"), F.count("*").alias("n"))
-    close = materialize(links(by_fp.select("fp"), bits), "close")
-    low = lambda c: by_fp.select(F.col("fp").alias(c), F.col("low").alias(f"_{c}"))
-    # v is the root of each forest and may be that of very many links; u is in one a group.
-    ends = close.groupBy("v").agg(F.count("*").alias("n")).join(low("v"), "v")
-    close = classed(close, ends, "v", "close-ends").join(low("u"), "u").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
-    same = classed(lane, by_fp, "fp", "near-fp").where("node != low").select(F.col("node").alias("u"), F.col("low").alias("v"))
-    roots = components(edges.unionByName(close).unionByName(same), "near-cc")
+    roots = components(_near_links(nodes, marked.select("node", "set"), similarity), "near-cc")
     linked = named_roots(nodes.select("node", "first"), roots, "first", "near-roots")
     return marked, nodes.select("node", "n", "first").join(linked, "node", "left").select("node", "n", "first", F.coalesce("low", "first").alias("component"))
 
 
-def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE, bits: int = BITS) -> DataFrame:
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE) -> DataFrame:
     """(doc_id, component_id) of docs (doc_id, text): components of texts whose shingles are
     similar. An empty text is one like any other."""
-    marked, classes = _near_classes(docs, similarity, shingle, bits)
+    marked, classes = _near_classes(docs, similarity, shingle)
     named = classes.select("node", "n", F.col("component.doc_id").alias("component_id"))
     return classed(marked.select("doc_id", "node"), named, "node", "near-classes").select("doc_id", "component_id")
 
@@ -330,20 +468,11 @@ def _digest():
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def _first_lane():
-    """The first eight bytes of `lanes`, little-endian, as a long."""
-    byte = lambda i: F.conv(F.hex(F.substring("lanes", i + 1, 1)), 16, 10).cast("long")
-    out = byte(0)
-    for i in range(1, 8):
-        out = out.bitwiseOR(F.shiftleft(byte(i), 8 * i))
-    return out
-
-
 def keep_representatives(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs with one row of each component of near copies: that of the smallest doc_id (null:
     last). Rows are told apart by doc_id and text, so different texts under one doc_id, or none,
     are each judged."""
-    _, classes = _near_classes(docs.select("doc_id", "text"), similarity, NEAR_SHINGLE, BITS)
+    _, classes = _near_classes(docs.select("doc_id", "text"), similarity, NEAR_SHINGLE)
     id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_id")
     kept = classes.where("first = component").select("first.*").select(id_, F.col("digest").alias("_digest"))
     one = docs.select("*", id_, _digest().alias("_digest")).join(kept, ["_id", "_digest"])

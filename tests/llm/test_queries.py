@@ -392,3 +392,56 @@ def test_components_with_hubs(spark, monkeypatch, least):
         least_of[k] = min(x, least_of.get(k, x))
     out = common.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()
     assert sorted(map(tuple, out)) == [(x, least_of[k]) for x, k in zip(nodes, g)]
+
+
+def near_groups(texts):
+    """Components of texts by the exact similarity of their five-word shingles."""
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    s = [shingles(t) for t in texts]
+    return groups(len(texts), [(i, j) for i in range(len(s)) for j in range(i) if len(s[i] & s[j]) / len(s[i] | s[j]) >= 0.8])
+
+
+def same_groups(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = near_groups(texts)
+    low = {}
+    for i, g in enumerate(want):
+        low[g] = min(i, low.get(g, i))
+    assert sorted(map(tuple, simhash.near_copies(docs).collect())) == [(i, low[g]) for i, g in enumerate(want)]
+    return want
+
+
+def test_near_copies_by_exact_similarity(spark):
+    texts = []
+    for k in range(40):  # 100 shingles, of which a change in the middle takes five on each side
+        w = [f"w{k}x{i}" for i in range(104)]
+        texts.append(" ".join(w))
+        if k % 2:  # 90 of 110: 0.82
+            texts.append(" ".join(w[:30] + ["x"] + w[31:70] + ["y"] + w[71:]))
+        else:  # 86 of 114: 0.75
+            texts.append(" ".join(w[:30] + ["x"] + w[31:70] + ["y"] + w[71:100] + ["z"] + w[101:]))
+    g = same_groups(spark, texts)
+    assert len(set(g)) == 60
+
+
+def test_near_copies_of_hot_keys(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(simhash, "GROUP", 3)
+    monkeypatch.setattr(simhash, "TILE", 8)
+    r = random.Random(11)
+    texts = []
+    for k in range(3):  # chains of edits: neighbours are similar, the ends are not
+        w = [f"w{k}x{i}" for i in range(r.randint(40, 70))]
+        for i in range(40):
+            v = list(w)
+            v[r.randrange(len(v))] = f"y{k}x{i}"
+            texts.append(" ".join(v))
+            if r.random() < 0.4:
+                w = v
+    g = same_groups(spark, texts)
+    assert 6 < len(set(g)) < 110 and max(Counter(g).values()) > 12
