@@ -445,3 +445,19 @@ def test_near_copies_of_hot_keys(spark, monkeypatch):
                 w = v
     g = same_groups(spark, texts)
     assert 6 < len(set(g)) < 110 and max(Counter(g).values()) > 12
+
+
+def test_near_copies_of_short_texts(spark):
+    import random
+
+    r = random.Random(9)
+    texts = []
+    for size, more in ((25, 2), (30, 4), (40, 5), (60, 0)):
+        for _ in range(25):
+            w = [f"w{r.getrandbits(40)}" for _ in range(size)]
+            v = w + [f"w{r.getrandbits(40)}" for _ in range(more)]
+            if not more:
+                v[size // 2] = "x"
+            texts += [" ".join(w), " ".join(v)]
+    g = same_groups(spark, texts)
+    assert len(set(g)) == len(texts) // 2
