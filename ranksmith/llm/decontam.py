@@ -1,8 +1,8 @@
 """Benchmark decontamination by the q-gram lemma and banded alignment.
 
 A document is contaminated by a benchmark item of m bytes if some region of it is within an
-edit distance of k = floor(RATE * m) of the item. Both are lower-cased (A-Z), white space
-bytes count as spaces, and distances are over UTF-8 bytes.
+edit distance of k = floor(RATE * m) of the item. In both, case is folded as Unicode does and
+runs of white space are one space; m and distances are over the UTF-8 bytes of that.
 
 An occurrence within k edits keeps at least m - q + 1 - k q of the item's q-grams, on
 diagonals (document place minus item place) that lie at most k apart. So shared q-grams are
@@ -39,6 +39,14 @@ _MUL = np.uint64(0x9E3779B97F4A7C15)
 _BATCH = 256
 
 
+def fold(text: str) -> str:
+    return " ".join(text.casefold().split())
+
+
+def folded(col: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else fold(t) for t in col.to_pylist()], pa.large_string())
+
+
 def budget(m: int, q: int = Q, rate: float = RATE) -> int:
     """Edits allowed for an item of m bytes: the most, up to rate * m, that the lemma can bound."""
     return max(0, min(int(rate * m), (m - q) // q))
@@ -169,7 +177,7 @@ def blocks(benchmark: DataFrame, size: int = BLOCK_BYTES):
     """The benchmark's (item_id, text) in blocks of bounded size."""
     block, n = [], 0
     for r in benchmark.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").toLocalIterator():
-        t = r["text"].strip().encode()
+        t = fold(r["text"]).encode()
         if block and n + len(t) > size:
             yield block
             block, n = [], 0
@@ -188,7 +196,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RAT
         def run(batches):
             index = _index(block, q, rate)
             for b in batches:
-                found = find(index, *text_buffer(b.column(1)))
+                found = find(index, *text_buffer(folded(b.column(1))))
                 tidy()
                 rows = pa.array([r for r, _, _ in found], pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(0).take(rows), pa.array([int(index.ids[i]) for _, i, _ in found], pa.int64()), pa.array([e for _, _, e in found], pa.int64())], names=["doc_id", "item_id", "edits"])
@@ -206,7 +214,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: f
         def run(batches):
             index = _index(block, q, rate)
             for b in batches:
-                bad = {r for r, _, _ in find(index, *text_buffer(b.column(b.schema.get_field_index("text"))))}
+                bad = {r for r, _, _ in find(index, *text_buffer(folded(b.column(b.schema.get_field_index("text")))))}
                 tidy()
                 yield b.filter(pa.array([i not in bad for i in range(b.num_rows)], pa.bool_()))
 

@@ -461,3 +461,12 @@ def test_near_copies_of_short_texts(spark):
             texts += [" ".join(w), " ".join(v)]
     g = same_groups(spark, texts)
     assert len(set(g)) == len(texts) // 2
+
+
+def test_op2_folds_case_and_white_space(spark):
+    item = "Die größte Überraschung: später führte der schöne Weg über die Brücke, wo die Mädchen müde fröhliche Lieder für die Gäste übten und Äpfel schälten."
+    texts = [item.upper(), item.replace(" ", "\n\t  "), item.replace(" ", " \u00a0 ").upper(), "nothing of it"]
+    docs = spark.createDataFrame([(i, "Vorher. " + t + " Nachher.") for i, t in enumerate(texts)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, item), (2, " " + item.upper() + "\n")], "item_id bigint, text string")
+    assert sorted(map(tuple, decontam.matches(docs, items).collect())) == [(d, i, 0) for d in range(3) for i in (1, 2)]
+    assert [tuple(r) for r in decontam.drop_contaminated(docs, items).collect()] == [(3, "Vorher. nothing of it Nachher.")]
