@@ -194,13 +194,18 @@ def predict(docs: DataFrame, samples: dict[str, bytes], keep: tuple[str, ...] =
 
 
 def keep_known(docs: DataFrame, samples: dict[str, bytes]) -> DataFrame:
-    """docs without those whose language can't be told (null, or no letter)."""
+    """docs without those whose language can't be told (null, or no letter). With no samples,
+    that rule alone decides."""
 
     def run(batches):
         for b in batches:
-            lang, _ = classify(b.column(b.schema.get_field_index("text")).to_pylist(), samples)
+            texts = b.column(b.schema.get_field_index("text")).to_pylist()
+            if samples:
+                keep = [x != "und" for x in classify(texts, samples)[0]]
+            else:
+                keep = [bool(t and _LETTER.search(t)) for t in texts]
             tidy()
-            yield b.filter(pa.array([x != "und" for x in lang], pa.bool_()))
+            yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -1,5 +1,7 @@
 """The pipeline's stages, each on its own input."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from ranksmith.llm import pii
 
@@ -50,3 +52,9 @@ def test_run(spark, sf_dir):
     assert {"doc_id", "text", "lang", "source", "copies"} <= set(out.columns)
     assert out.count() > 20
     assert not any("@mail.example.com" in r["text"] for r in out.select("text").collect())
+
+
+def test_language_without_labels(spark, sf_dir, rows):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    out = cp.language(spark, docs.withColumn("lang", F.lit(None).cast("string")), sf_dir)
+    assert sorted(map(str, (r["doc_id"] for r in out.collect()))) == sorted(str(i) for i, t, *_ in rows if t and any(c.isalpha() for c in t))
