@@ -270,6 +270,12 @@ def shingle_sets(text: pa.Array, shingle: int = NEAR_SHINGLE) -> list[np.ndarray
     return [np.unique(h[a : a + n - shingle + 1]) if n >= shingle else short.get(r, none) for r, (a, n) in enumerate(zip(start.tolist(), counts.tolist()))]
 
 
+def _node(shingles: np.ndarray) -> int:
+    """The hash of a sorted set of shingles, as a signed long."""
+    h = xxhash.xxh64_intdigest(shingles.tobytes(), SEED)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Common shingles (sorted) and their counts in a sample of docs (text, digest)."""
     every = max(1, docs.count() // ORDER_SAMPLE)
@@ -301,58 +307,72 @@ def _in_order(sets: list[np.ndarray], common: np.ndarray, count: np.ndarray) ->
 
 def _enough(n, i, m, j, similarity: float):
     """Whether sets of n and m shingles whose first common one is at places i and j can be
-    similar; works on arrays and on columns alike (least is theirs)."""
-    least = np.minimum if isinstance(n, np.ndarray) else F.least
-    return least(n - i, m - j) >= (n + m) * (similarity / (1 + similarity)) - _EPS
+    similar, as columns."""
+    return F.least(n - i, m - j) >= (n + m) * (similarity / (1 + similarity)) - _EPS
 
 
-def _pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray, i: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs (u < v), each once, of rows sorted by key."""
-    if not len(key):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+def _pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray, similarity: float) -> list[np.ndarray]:
+    """Pairs u < v of sizes that can be similar under equal keys of rows sorted by key, each
+    once: u, v, their sizes and the number of keys they share here."""
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     stop = np.append(first[1:], len(key))
     end = np.repeat(stop, stop - first)
-    rows, found, d = np.arange(len(key)), [], 1
+    rows, found, d = np.arange(len(key)), [np.zeros((0, 4), np.int64)], 1
     while True:
         rows = rows[rows + d < end[rows]]
         if not len(rows):
             break
-        a = rows[_enough(n[rows], i[rows], n[rows + d], i[rows + d], similarity)]
-        found.append(np.stack([np.minimum(node[a], node[a + d]), np.maximum(node[a], node[a + d])], 1))
+        m, most = np.minimum(n[rows], n[rows + d]), np.maximum(n[rows], n[rows + d])
+        a = rows[m >= most * similarity - _EPS]
+        swap = node[a] > node[a + d]
+        x, y = np.where(swap, a + d, a), np.where(swap, a, a + d)
+        found.append(np.stack([node[x], node[y], n[x], n[y]], 1))
         d += 1
-    two = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-    return two[:, 0], two[:, 1]
+    all_ = np.concatenate(found)
+    all_ = all_[np.lexsort((all_[:, 1], all_[:, 0]))]
+    new = np.flatnonzero(np.concatenate([[True], (all_[1:, :2] != all_[:-1, :2]).any(1)])) if len(all_) else np.zeros(0, np.int64)
+    return [*all_[new].T, np.diff(np.append(new, len(all_)))]
 
 
-def _all_pairs(keyed: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): candidate pairs among rows of keyed (key, node, n, i), with repeats."""
+def _cold_pairs(keyed: DataFrame, hot: DataFrame | None, similarity: float) -> DataFrame:
+    """(u, v): candidates among rows of keyed (key, node, n), of which hot (node) are under hot
+    keys. Up to where the shorter of two prefixes ends, all common shingles are known: the keys
+    the two share. Past it, at most the rest of one of them is common."""
+    names = ["u", "v", "n", "m", "c"]
 
     def run(batches):
         held, size = [], 0
         for b in batches:
-            held.append([b.column(c).to_numpy(zero_copy_only=False).copy() for c in range(4)])
+            held.append([b.column(c).to_numpy(zero_copy_only=False).copy() for c in range(3)])
             size += b.num_rows
-            if size < _BUFFER:
+            if size < _BUFFER // 2:
                 continue
             rows = [np.concatenate(x) for x in zip(*held)]
             at = int(np.searchsorted(rows[0], rows[0][-1]))  # the last key can go on
-            u, v = _pairs(*(x[:at] for x in rows), similarity)
             held, size = [[x[at:].copy() for x in rows]], size - at
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _pairs(*(x[:at] for x in rows), similarity)], names=names)
         if size:
-            u, v = _pairs(*(np.concatenate(x) for x in zip(*held)), similarity)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _pairs(*(np.concatenate(x) for x in zip(*held)), similarity)], names=names)
         tidy()
 
-    rows = keyed.select("key", "node", "n", "i").repartition(n_partitions(keyed.sparkSession), "key").sortWithinPartitions("key")
-    return rows.mapInArrow(run, "u bigint, v bigint")
-
-
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float, name: str) -> DataFrame:
-    """Those of pairs (u, v) whose sets, of sets (node, set), are similar."""
+    rows = keyed.select("key", "node", F.col("n").cast("long").alias("n")).repartition(n_partitions(keyed.sparkSession), "key").sortWithinPartitions("key")
+    met = rows.mapInArrow(run, "u bigint, v bigint, n bigint, m bigint, c bigint")
+    met = met.groupBy("u", "v").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.sum("c").alias("c"))
+    rest = F.greatest(F.ceil(F.col("n") * similarity - _EPS), F.ceil(F.col("m") * similarity - _EPS)) - 1
+    least = (F.col("n") + F.col("m")) * (similarity / (1 + similarity)) - _EPS - rest
+    if hot is None:
+        return met.where(F.col("c") >= least).select("u", "v")
+    more = hot.groupBy("node").agg(F.count("*").alias("h"))
+    for end in ("u", "v"):
+        met = met.join(more.select(F.col("node").alias(end), F.col("h").alias(f"h{end}")), end, "left")
+    return met.where(F.col("c") + F.least(F.coalesce("hu", F.lit(0)), F.coalesce("hv", F.lit(0))) >= least).select("u", "v")
+
+
+def _similar(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float, name: str) -> DataFrame:
+    """Those of pairs (u, v) of nodes whose sets are similar. Sets are made anew from docs (text)
+    and kept for candidates only: all of them would take more room than the texts."""
     pairs = materialize(pairs.distinct(), f"{name}-pairs")
-    slot = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
+    slot = F.pmod("node", F.lit(FILTER_BITS))
     ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node")))
     part = 1 << 15  # bits of one bitmap
     maps = ends.select(slot.alias("s")).groupBy((F.col("s") / part).cast("int").alias("b")).agg(F.bitmap_construct_agg(F.col("s") % part).alias("m"))
@@ -362,32 +382,71 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float, name: str) ->
     bits = bits.reshape(-1)
 
     def some(batches):
+        seen = set()
         for b in batches:
-            s = b.column(2).to_numpy(zero_copy_only=False)
-            keep = pa.array((bits[s >> 3] >> (s & 7).astype(np.uint8) & 1).astype(bool))
-            yield b.select([0, 1]).filter(keep)
-        tidy()
+            sets = shingle_sets(b.column(0), shingle)
+            node, keep = [_node(x) for x in sets], []
+            for i, x in enumerate(node):
+                if bits[(x % FILTER_BITS) >> 3] >> (x & 7) & 1 and x not in seen:
+                    seen.add(x)
+                    keep.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array([node[i] for i in keep], pa.int64()), pa.array([sets[i].tobytes() for i in keep], pa.binary()), pa.array([_odd(sets[i]) for i in keep], pa.binary())], names=["node", "set", "odd"])
+            del sets
+            tidy()
 
-    held = sets.select("node", "set", slot.alias("slot")).mapInArrow(some, "node bigint, set binary")
-    held = materialize(held.dropDuplicates(["node"]), f"{name}-sets")
-    right = pairs.groupBy("v").agg(F.count("*").alias("n")).join(held.withColumnRenamed("node", "v"), "v")
-    both = classed(pairs, right, "v", f"{name}-ends").join(held.select(F.col("node").alias("u"), F.col("set").alias("_set")), "u")
+    held = materialize(docs.select("text").mapInArrow(some, "node bigint, set binary, odd binary"), f"{name}-sets")
 
-    def exact(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both / (len(x) + len(y) - both) >= similarity)
-            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-        tidy()
+    def chosen(test):
+        def run(batches):
+            for b in batches:
+                yield b.select([0, 1]).filter(pa.array([test(x.as_buffer(), y.as_buffer()) for x, y in zip(b.column(2), b.column(3))], pa.bool_()))
+            tidy()
 
-    return materialize(both.select("u", "v", "set", "_set").mapInArrow(exact, "u bigint, v bigint"), f"{name}-links")
+        return run
+
+    def may(x, y):
+        return _apart(x, y) <= _most(np.frombuffer(x, np.int64, 1)[0] + np.frombuffer(y, np.int64, 1)[0], similarity)
+
+    def exact(x, y):
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return both / (len(x) + len(y) - both) >= similarity
+
+    left = _attached(pairs, held.select("node", F.col("odd").alias("x")).dropDuplicates(["node"]), f"{name}-odd")
+    left = materialize(left.mapInArrow(chosen(may), "u bigint, v bigint"), f"{name}-left")
+    ends = left.select(F.col("u").alias("node")).unionByName(left.select(F.col("v").alias("node"))).distinct()
+    sets = held.join(ends, "node", "left_semi").select("node", F.col("set").alias("x")).dropDuplicates(["node"])
+    return materialize(_attached(left, sets, f"{name}-set").mapInArrow(chosen(exact), "u bigint, v bigint"), f"{name}-links")
+
+
+def _odd(shingles: np.ndarray) -> bytes:
+    """The size of a set, and a bit for each of at least 4 slots a shingle: whether it holds an
+    odd number. Two sets have at least as many shingles apart as bits."""
+    m = max(64, 1 << (4 * len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.int64(len(shingles)).tobytes() + np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _apart(x, y) -> int:
+    """Differing bits of two of _odd, the longer one folded."""
+    x, y = sorted((np.frombuffer(x, np.uint64)[1:], np.frombuffer(y, np.uint64)[1:]), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
+def _most(total: int, similarity: float) -> int:
+    """Shingles apart up to which two sets of `total` in all can be similar."""
+    return int(total - 2 * math.ceil(total * similarity / (1 + similarity) - _EPS))
+
+
+def _attached(pairs: DataFrame, held: DataFrame, name: str) -> DataFrame:
+    """(u, v, x, _x): pairs (u, v) with the x of both, of held (node, x). v may end very many."""
+    right = pairs.groupBy("v").agg(F.count("*").alias("n")).join(held.withColumnRenamed("node", "v"), "v")
+    both = classed(pairs, right, "v", name)
+    return both.join(held.select(F.col("node").alias("u"), F.col("x").alias("_x")), "u").select("u", "v", "x", "_x")
 
 
-def _near_links(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): links that make the components of nodes (node, n, keys: the first shingles)."""
+def _near_links(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(u, v): links that make the components of nodes (node, size, keys: the first shingles)."""
     spark = nodes.sparkSession
     keyed = nodes.select("node", F.col("size").alias("n"), F.posexplode("keys").alias("i", "key"))
     whole = F.struct("node", "n", "i")
@@ -395,7 +454,7 @@ def _near_links(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     many = materialize(many, "near-hot")
     n_hot = many.count()
     if not n_hot:
-        return _similar(_all_pairs(keyed, similarity), sets, similarity, "near")
+        return _similar(_cold_pairs(keyed, None, similarity), docs, shingle, similarity, "near")
     hint = F.broadcast(many) if n_hot <= BROADCAST_KEYS else many
     on = F.col("key") == F.col("_key")
     hot = materialize(keyed.join(hint, on).drop("_key"), "near-hot-rows")
@@ -403,8 +462,8 @@ def _near_links(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     ends = materialize(ends, "near-hot-ends")
     star = hot.join(F.broadcast(ends) if n_hot <= BROADCAST_KEYS else ends, on).withColumn("p", F.explode(F.array("a", "b")))
     star = star.where(F.col("node") != F.col("p.node")).where(_enough(F.col("n"), F.col("i"), F.col("p.n"), F.col("p.i"), similarity))
-    first = _all_pairs(keyed.join(hint, on, "left_anti"), similarity).unionByName(star.select(F.col("node").alias("u"), F.col("p.node").alias("v")))
-    links = _similar(first, sets, similarity, "near")
+    first = _cold_pairs(keyed.join(hint, on, "left_anti"), hot, similarity).unionByName(star.select(F.col("node").alias("u"), F.col("p.node").alias("v")))
+    links = _similar(first, docs, shingle, similarity, "near")
 
     # What is left of the hot keys: the pairs across components. Those of a key's most frequent
     # component stay where they are, in tiles; the other rows go to each tile.
@@ -425,7 +484,7 @@ def _near_links(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     # Of two rows that are both apart, one order is enough.
     cross = cross.where((F.col("a.root") == F.col("a.main")) | (F.col("o.node") < F.col("a.node")))
     cross = cross.where(_enough(F.col("o.n"), F.col("o.i"), F.col("a.n"), F.col("a.i"), similarity))
-    return links.unionByName(_similar(cross.select(F.col("o.node").alias("u"), F.col("a.node").alias("v")), sets, similarity, "near-rest"))
+    return links.unionByName(_similar(cross.select(F.col("o.node").alias("u"), F.col("a.node").alias("v")), docs, shingle, similarity, "near-rest"))
 
 
 def _near_classes(docs: DataFrame, similarity: float, shingle: int) -> tuple[DataFrame, DataFrame]:
@@ -437,21 +496,22 @@ def _near_classes(docs: DataFrame, similarity: float, shingle: int) -> tuple[Dat
 
     def sketches(batches):
         for b in batches:
-            sets = _in_order(shingle_sets(b.column(1), shingle), common, count)
+            sets = shingle_sets(b.column(1), shingle)
+            node = pa.array([_node(s) for s in sets], pa.int64())
+            sets = _in_order(sets, common, count)
             keys = [s[: len(s) - math.ceil(similarity * len(s) - _EPS) + 1].view(np.int64) for s in sets]
             off = np.cumsum([0, *map(len, keys)])
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             size = pa.array([len(s) for s in sets], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), size, pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat, pa.int64())), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "digest", "size", "keys", "set"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), node, size, pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat, pa.int64()))], names=["doc_id", "digest", "node", "size", "keys"])
             del sets, keys, flat
             tidy()
 
-    marked = src.mapInArrow(sketches, "doc_id bigint, digest bigint, size int, keys array<bigint>, set binary")
-    marked = materialize(marked.withColumn("node", F.xxhash64("set")), "sketches")
+    marked = materialize(src.mapInArrow(sketches, "doc_id bigint, digest bigint, node bigint, size int, keys array<bigint>"), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
     nodes = marked.groupBy("node").agg(first, F.count("*").alias("n"), F.min("size").alias("size"), F.min("keys").alias("keys"))
     nodes = materialize(nodes, "near-nodes")
-    roots = components(_near_links(nodes, marked.select("node", "set"), similarity), "near-cc")
+    roots = components(_near_links(nodes, src, shingle, similarity), "near-cc")
     linked = named_roots(nodes.select("node", "first"), roots, "first", "near-roots")
     return marked, nodes.select("node", "n", "first").join(linked, "node", "left").select("node", "n", "first", F.coalesce("low", "first").alias("component"))
 
