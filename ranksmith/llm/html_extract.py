@@ -5,9 +5,9 @@ element), each with its text, the number of tags in it and the containers around
 that never hold article text (scripts, styles, menus, page headers and footers, sidebars,
 notices, adverts, forms, reader comments) are left out by tag, role, class or id. The ratios
 of text to tags are smoothed by a Gaussian and split into two clusters by a threshold; the
-lines above it are the content. The region selected is the innermost element that holds this
-content: the articles (or main element) with content lines if there are any, else the deepest
-container with most of the content's characters. All lines of the region are kept, short ones
+lines above it are the content. The regions selected are all
+articles, else all mains, else the lowest element around all content lines (and more than one
+line). All lines of the region are kept, short ones
 too, in page order: character references decoded, white space runs in a line one space,
 trimmed, joined by two line feeds.
 
@@ -203,19 +203,14 @@ def extract(html: str | None) -> str:
     content = ratio >= _threshold(ratio)
     region: set[int] = set()
     for kind in _CONTENT:
-        region = {i for (_, _, around), c in zip(lines, content) if c for i in around if parser.tags[i] == kind}
-        if not region:
-            region = {i for _, _, around in lines for i in around if parser.tags[i] == kind}
+        region = {i for _, _, around in lines for i in around if parser.tags[i] == kind}
         if region:
             break
     if not region:
-        mass: dict[int, int] = {}
-        for (t, _, around), c in zip(lines, content):
-            for i in around if c else ():
-                mass[i] = mass.get(i, 0) + len(t)
-        total = sum(len(t) for (t, _, _), c in zip(lines, content) if c)
-        inner = [i for i, n in mass.items() if n >= 0.7 * total and parser.tags[i] not in ("p", "span", "b", "i", "a", "li")]
-        region = {max(inner)} if inner else set()
+        # The lowest element around all content lines; of one line, the next that holds others.
+        common = set.intersection(*(set(around) for (_, _, around), c in zip(lines, content) if c))
+        held = [i for i in common if sum(i in around for _, _, around in lines) > 1]
+        region = {max(held or common)} if common else set()
     return "\n\n".join(t for t, _, around in lines if not region or region.intersection(around))
 
 

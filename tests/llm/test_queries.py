@@ -470,3 +470,17 @@ def test_op2_folds_case_and_white_space(spark):
     items = spark.createDataFrame([(1, item), (2, " " + item.upper() + "\n")], "item_id bigint, text string")
     assert sorted(map(tuple, decontam.matches(docs, items).collect())) == [(d, i, 0) for d in range(3) for i in (1, 2)]
     assert [tuple(r) for r in decontam.drop_contaminated(docs, items).collect()] == [(3, "Vorher. nothing of it Nachher.")]
+
+
+def test_op10_without_article():
+    long = "A very long block that holds nearly all of the text of the page. " * 40
+    html = f"<body><nav>menu</nav><div id='all'><h1>The title of it</h1><div class='text'>{long}</div><blockquote>A short quotation of some words, said by one.</blockquote></div></body>"
+    assert html_extract.extract(html) == f"The title of it\n\n{long.strip()}\n\nA short quotation of some words, said by one."
+    html = f"<body><div><p>First short paragraph of the page.</p><em>{long}</em><p>Last short paragraph of the page.</p></div></body>"
+    assert html_extract.extract(html) == f"First short paragraph of the page.\n\n{long.strip()}\n\nLast short paragraph of the page."
+
+
+def test_op10_keeps_short_articles():
+    long = "A very long block that holds nearly all of the text of the page. " * 40
+    out = html_extract.extract(f"<body><article><p>Tiny.</p></article>{'<p><b>x</b></p>' * 12}<article><p>{long}</p></article></body>")
+    assert out == f"Tiny.\n\n{long.strip()}"
