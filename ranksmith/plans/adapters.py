@@ -105,19 +105,20 @@ def sequences(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     after = e.select(F.col("user_id").cast("int").alias("number"), F.row_number().over(w).cast("int").alias("ply"), key.cast("long").alias("pos_key"), F.lead("event_type").over(w).alias("move"))
     first = e.groupBy("user_id").agg(F.min(F.struct("ts", "event_id", "event_type")).alias("f"))
     start = first.select(F.col("user_id").cast("int").alias("number"), F.lit(0).alias("ply"), F.lit(0).cast("long").alias("pos_key"), F.col("f.event_type").alias("move"))
-    n = F.col("number")
     games = first.select(F.col("user_id").cast("int").alias("number"))
+    n, h = F.col("number"), F.md5(F.col("number").cast("string"))
+    draw = lambda i, m: F.conv(F.substring(h, 4 * i + 1, 4), 16, 10).cast("int") % m
     games = games.select(
         n,
-        F.when(n % 13 == 0, "text").otherwise("game").alias("kind"),
-        (n % 17 == 0).alias("deleted"),
-        (n % 29 == 0).alias("chess960"),
-        F.element_at(F.array(*map(F.lit, ("white", "draw", "black", "other"))), n % 4 + 1).alias("outcome"),
-        F.when(n % 7 == 0, 0).otherwise(1500 + n * 37 % 1300).cast("int").alias("white_elo"),
-        F.when(n % 5 == 0, 0).otherwise(1500 + n * 53 % 1400).cast("int").alias("black_elo"),
-        (1990 + n * 7 % 35).cast("int").alias("y"),
-        (n % 14).cast("int").alias("m"),
-        (n % 32).cast("int").alias("d"),
+        F.when(draw(0, 13) == 0, "text").otherwise("game").alias("kind"),
+        (draw(1, 17) == 0).alias("deleted"),
+        (draw(2, 29) == 0).alias("chess960"),
+        F.element_at(F.array(*map(F.lit, ("white", "draw", "black", "other"))), draw(3, 4) + 1).alias("outcome"),
+        F.when(draw(4, 7) == 0, 0).otherwise(1400 + draw(4, 1420)).cast("int").alias("white_elo"),
+        F.when(draw(5, 6) == 0, 0).otherwise(1400 + draw(5, 1420)).cast("int").alias("black_elo"),
+        (1985 + draw(6, 39)).cast("int").alias("y"),
+        draw(7, 14).cast("int").alias("m"),
+        (draw(7, 1000) % 32).cast("int").alias("d"),
     )
     return games, start.unionByName(after)
 
@@ -129,12 +130,13 @@ SEQ = """e AS (SELECT user_id::INT AS number, event_type, row_number() OVER w AS
 plies AS (
   SELECT number, ply::INT AS ply, (c0 % 2 + 2 * (c1 % 2) + 4 * (c2 % 2) + 8 * (c3 % 2))::BIGINT AS pos_key, move FROM e
   UNION ALL SELECT number, 0, 0, event_type FROM e WHERE ply = 1),
+dice AS (SELECT DISTINCT number, list_transform(range(8), lambda i: ('0x' || substr(md5(number::VARCHAR), 4 * i::INT + 1, 4))::INT) AS h FROM e),
 every AS (
-  SELECT DISTINCT number, CASE WHEN number % 13 = 0 THEN 'text' ELSE 'game' END AS kind, number % 17 = 0 AS deleted, number % 29 = 0 AS chess960,
-    CASE number % 4 WHEN 0 THEN 'white' WHEN 1 THEN 'draw' WHEN 2 THEN 'black' ELSE 'other' END AS outcome,
-    CASE WHEN number % 7 = 0 THEN 0 ELSE 1500 + number * 37 % 1300 END AS white_elo,
-    CASE WHEN number % 5 = 0 THEN 0 ELSE 1500 + number * 53 % 1400 END AS black_elo,
-    1990 + number * 7 % 35 AS y, number % 14 AS m, number % 32 AS d FROM e),
+  SELECT number, CASE WHEN h[1] % 13 = 0 THEN 'text' ELSE 'game' END AS kind, h[2] % 17 = 0 AS deleted, h[3] % 29 = 0 AS chess960,
+    CASE h[4] % 4 WHEN 0 THEN 'white' WHEN 1 THEN 'draw' WHEN 2 THEN 'black' ELSE 'other' END AS outcome,
+    CASE WHEN h[5] % 7 = 0 THEN 0 ELSE 1400 + h[5] % 1420 END AS white_elo,
+    CASE WHEN h[6] % 6 = 0 THEN 0 ELSE 1400 + h[6] % 1420 END AS black_elo,
+    1985 + h[7] % 39 AS y, h[8] % 14 AS m, h[8] % 1000 % 32 AS d FROM dice),
 games AS (SELECT * FROM every WHERE kind = 'game' AND NOT deleted AND NOT chess960),
 lines AS (SELECT p.* FROM plies p JOIN games USING (number)),
 visits AS (SELECT number, pos_key, min(ply) AS ply, arg_min(coalesce(move, '-'), ply) AS move FROM lines GROUP BY ALL)"""

@@ -128,7 +128,7 @@ def _q_lookup(spark, sf_dir):
 
 
 def _members(spark, sf_dir, key):
-    return explorer.games_of_position(_seq(spark, sf_dir)[2].where("ply <= 8"), key).select("number")
+    return explorer.games_of_position(_seq(spark, sf_dir)[2], key).select("number")
 
 
 def _q_run(spark, sf_dir):
@@ -225,7 +225,7 @@ def _q_structures(spark, sf_dir):
 
 
 def _q_departures(spark, sf_dir):
-    return explorer.departures(_seq(spark, sf_dir)[2].where("ply <= 40"), F.expr("15 - pos_key"))
+    return explorer.departures(_seq(spark, sf_dir)[2], F.expr("15 - pos_key"))
 
 
 def _q_merged(spark, sf_dir):
@@ -280,9 +280,9 @@ MORE = {
     "j04_narrowed": (_q_narrowed, _e(f"SELECT pos_key, {_COUNTS} FROM visits JOIN games USING (number) WHERE white_elo >= 2000 GROUP BY pos_key")),
     "j06_batch_lookup": (_q_lookup, _e(f", t AS (SELECT unnest([3, 5, 99])::BIGINT AS pos_key), c AS (SELECT pos_key, {_COUNTS} FROM visits JOIN games USING (number) GROUP BY pos_key) SELECT t.pos_key, coalesce(games, 0) AS games, coalesce(white, 0) AS white, coalesce(draws, 0) AS draws, coalesce(black, 0) AS black FROM t LEFT JOIN c USING (pos_key)")),
     "p21_games_of_position": (lambda s, d: explorer.games_of_position(_seq(s, d)[2], 6), _e("SELECT number, min(ply) AS ply FROM lines WHERE pos_key = 6 GROUP BY number")),
-    "u01_union": (lambda s, d: _members(s, d, 3).union(_members(s, d, 5)).distinct(), _e("SELECT DISTINCT number FROM lines WHERE pos_key IN (3, 5) AND ply <= 8")),
-    "u02_intersect": (lambda s, d: _members(s, d, 3).intersect(_members(s, d, 5)), _e("SELECT number FROM lines WHERE pos_key = 3 AND ply <= 8 INTERSECT SELECT number FROM lines WHERE pos_key = 5 AND ply <= 8")),
-    "u03_complement": (lambda s, d: _members(s, d, 3).join(_members(s, d, 5), "number", "left_anti"), _e("SELECT number FROM lines WHERE pos_key = 3 AND ply <= 8 EXCEPT SELECT number FROM lines WHERE pos_key = 5 AND ply <= 8")),
+    "u01_union": (lambda s, d: _members(s, d, 3).union(_members(s, d, 5)).distinct(), _e("SELECT DISTINCT number FROM lines WHERE pos_key IN (3, 5)")),
+    "u02_intersect": (lambda s, d: _members(s, d, 3).intersect(_members(s, d, 5)), _e("SELECT number FROM lines WHERE pos_key = 3 INTERSECT SELECT number FROM lines WHERE pos_key = 5")),
+    "u03_complement": (lambda s, d: _members(s, d, 3).join(_members(s, d, 5), "number", "left_anti"), _e("SELECT number FROM lines WHERE pos_key = 3 EXCEPT SELECT number FROM lines WHERE pos_key = 5")),
     "p22_look": (partial(_bits, "pos_key & 6 = 6"), _run_sql("(pos_key & 6) = 6")),
     "p22_or": (partial(_bits, "pos_key & 9 != 0"), _run_sql("(pos_key & 9) <> 0")),
     "p22_exclude": (partial(_bits, "pos_key & 3 = 0 AND ply > 0"), _run_sql("(pos_key & 3) = 0 AND ply > 0")),
@@ -291,7 +291,7 @@ MORE = {
     "a13_mask_rows": (_q_masks, _e("SELECT number, bit_or(pos_key) AS held, min(bit_count(pos_key))::INT AS least, max(bit_count(pos_key))::INT AS most FROM lines GROUP BY number")),
     "r03_line": (_q_line, _e("SELECT number, string_agg(move, ' ' ORDER BY ply) AS line FROM lines WHERE move IS NOT NULL AND ply < 8 GROUP BY number")),
     "a14_structures": (_q_structures, _e(", s AS (SELECT number, pos_key & 3 AS structure, ply, lag(pos_key & 3) OVER (PARTITION BY number ORDER BY ply) AS b FROM lines WHERE ply > 20) SELECT number, structure, ply FROM s WHERE b IS NULL OR b <> structure")),
-    "w08_departures": (_q_departures, _e(", s AS (SELECT number, ply, lag(15 - pos_key) OVER (PARTITION BY number ORDER BY ply) AS was, 15 - pos_key AS now FROM lines WHERE ply <= 40), g AS (SELECT number, ply, bit FROM s, unnest([0, 1, 2, 3]) AS t(bit) WHERE ((was >> bit) & 1) = 1 AND ((now >> bit) & 1) = 0), f AS (SELECT number, bit, min(ply) AS ply FROM g GROUP BY number, bit) SELECT number, string_agg(bit::VARCHAR, ' ' ORDER BY ply, bit) AS departed FROM f GROUP BY number")),
+    "w08_departures": (_q_departures, _e(", s AS (SELECT number, ply, lag(15 - pos_key) OVER (PARTITION BY number ORDER BY ply) AS was, 15 - pos_key AS now FROM lines), g AS (SELECT number, ply, bit FROM s, unnest([0, 1, 2, 3]) AS t(bit) WHERE ((was >> bit) & 1) = 1 AND ((now >> bit) & 1) = 0), f AS (SELECT number, bit, min(ply) AS ply FROM g GROUP BY number, bit) SELECT number, string_agg(bit::VARCHAR, ' ' ORDER BY ply, bit) AS departed FROM f GROUP BY number")),
     "j08_text_links": (_q_text_links, f"WITH {REC}, l AS (SELECT c_custkey AS link_id, CASE WHEN c_custkey % 3 <> 0 THEN c_name ELSE '' END AS w, CASE WHEN c_custkey % 3 = 0 THEN 'Supplier#' || lpad((c_custkey % 7)::VARCHAR, 9, '0') ELSE '' END AS b FROM customer) SELECT link_id, min(number) AS number FROM l JOIN rec ON kind = 'game' AND number <= 100000 AND (w = '' OR w = white) AND (b = '' OR b = black) GROUP BY link_id"),
     "j09_title_links": (_q_title_links, f"WITH {REC} SELECT i AS link_id, min(number) AS number FROM range(20) AS t(i) JOIN rec ON kind = 'text' AND event = 'Essay ' || i GROUP BY i"),
     "j10_twin_diff": (_q_twins, f"WITH {REC}, a AS (SELECT number, result, nullif(eco, '') AS eco, moves FROM rec), b AS (SELECT number, CASE WHEN number % 50 = 0 THEN '*' ELSE result END AS result, CASE WHEN number % 75 = 0 THEN NULL ELSE eco END AS eco, least(moves, 40) AS moves FROM a WHERE number % 101 <> 0), j AS (SELECT a.number, CASE WHEN b.number IS NULL THEN 'only left' ELSE concat_ws(',', CASE WHEN a.result IS DISTINCT FROM b.result THEN 'result' END, CASE WHEN a.eco IS DISTINCT FROM b.eco THEN 'eco' END, CASE WHEN a.moves IS DISTINCT FROM b.moves THEN 'moves' END) END AS difference FROM a LEFT JOIN b USING (number)) SELECT * FROM j WHERE difference <> ''"),

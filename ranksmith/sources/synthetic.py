@@ -1,31 +1,44 @@
-"""Generated games (B10): legal moves ranked by a hash of game, ply and move, the first picked
-with a falling chance, so that openings are shared and middle games are not."""
+"""Generated games (B10): an opening of a small book, played for a while, and then random moves
+that favour captures, checks and the centre. Game n is the same in every run."""
 
 from __future__ import annotations
 
-import zlib
+import random
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.chess import START, Board
 
-#: (plies up to, share of the time that the best-ranked move of those left is taken)
-PICKS = ((8, 0.55), (16, 0.35), (30, 0.2), (1 << 30, 0.05))
+#: Openings by name, the popular ones first.
+BOOK = {
+    "Italian": "e2e4 e7e5 g1f3 b8c6 f1c4 f8c5 c2c3 g8f6 d2d3 d7d6",
+    "Queen's Gambit Declined": "d2d4 d7d5 c2c4 e7e6 b1c3 g8f6 c1g5 f8e7 e2e3 e8g8",
+    "Najdorf": "e2e4 c7c5 g1f3 d7d6 d2d4 c5d4 f3d4 g8f6 b1c3 a7a6",
+    "Caro-Kann": "e2e4 c7c6 d2d4 d7d5 e4e5 c8f5 g1f3 e7e6 f1e2 c6c5",
+    "King's Indian": "d2d4 g8f6 c2c4 g7g6 b1c3 f8g7 e2e4 d7d6 g1f3 e8g8",
+    "English": "c2c4 e7e5 b1c3 g8f6 g1f3 b8c6 g2g3 d7d5 c4d5 f6d5",
+}
+_LINES = [line.split() for line in BOOK.values()]
+_CENTRE = frozenset("c3 c4 c5 c6 d3 d4 d5 d6 e3 e4 e5 e6 f3 f4 f5 f6".split())
+
+
+def _appeal(b: Board, m) -> int:
+    """How likely a move is against a quiet one at the edge."""
+    return 1 + 4 * (b.cells[m[1]] != ".") + 2 * (b.uci(m)[2:4] in _CENTRE) + 6 * b.played(m).check()
 
 
 def game(number: int, plies: int) -> list[str]:
+    r = random.Random(number)
+    line = r.choices(_LINES, range(len(_LINES), 0, -1))[0]
     b, out = Board.from_fen(START), []
-    for ply in range(plies):
-        legal = sorted(b.legal(), key=lambda m: zlib.crc32(f"{ply}{b.uci(m)}".encode()))
-        if not legal:
-            break
-        share = next(s for upto, s in PICKS if ply < upto)
-        at, dice = 0, zlib.crc32(f"{number}:{ply}".encode())
-        while at + 1 < len(legal) and dice % 1000 >= 1000 * share:
-            at, dice = at + 1, zlib.crc32(dice.to_bytes(4, "little"))
-        out.append(b.uci(legal[at]))
-        b = b.played(legal[at])
+    for text in line[: min(plies, r.randint(2, len(line)))]:
+        out.append(text)
+        b = b.played(b.from_uci(text))
+    while len(out) < plies and (legal := b.legal()):
+        m = r.choices(legal, [_appeal(b, m) for m in legal])[0]
+        out.append(b.uci(m))
+        b = b.played(m)
     return out
 
 

@@ -21,7 +21,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(SQL)[::4])
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, duck, name):
     df = catalog.queries()[name](spark, DATA)
     cols = sorted(df.columns)

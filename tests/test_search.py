@@ -1,23 +1,41 @@
 """The grammar and the search over a ten-record collection, against a plain matcher."""
 
+import random
+from collections import Counter
+
 import pytest
 
 from ranksmith.operators import search, suggest
 from ranksmith.plans import grammar
 
-#: number, kind, white, black, event, date, round, result, eco, moves, elos, annotator, time control
-ROWS = [
-    (1, "game", "Arden, Paul", "Brandt, Adolf", "Lutetia m", (1858, 12, 20), (1, 0), "1-0", "C52", 17, 0, 0, "", "normal"),
-    (2, "game", "Brandt, Adolf", "Arden, Paul", "Lutetia m", (1858, 12, 21), (2, 0), "0-1", "B20", 32, 0, 0, "", "normal"),
-    (3, "game", "Arden, Paul", "Brandt, Adolf", "Lutetia m", (1858, 12, 22), (3, 0), "1/2-1/2", "C51", 45, 0, 0, "Norden, Aron", "normal"),
-    (4, "game", "Stein, Willem", "Laurent, Emil", "Port Royal", (1895, 12, 13), (1, 0), "0-1", "C62", 60, 2640, 2690, "", "rapid"),
-    (5, "game", "Laurent, Emil", "Casares, Jose", "Port Royal", (1914, 4, 21), (1, 2), "1/2-1/2", "D63", 38, 2720, 2725, "Norden, Aron", "rapid"),
-    (6, "game", "Casares, Jose", "laurent, emil", "Port Royal", (1914, 5, 10), (7, 0), "1-0", "C68", 38, 2725, 2720, "", "rapid"),
-    (7, "game", "Tamm, Mikk", "Laurent, Emil", "Harbour Ch", (1951, 0, 0), (0, 0), "*", None, 0, 2300, 0, "", "blitz"),
-    (8, "text", "", "", "London", (0, 0, 0), (0, 0), "*", None, 0, 0, 0, "", None),
-    (9, "deleted", "Arden, Paul", "Stein, Willem", "London", (0, 0, 0), (5, 0), "1-0", "C52", 28, 0, 0, "", "corr"),
-    (10, "game", "Casares, Jose", "Tamm, Mikk", "Harbour Ch", (1951, 7, 1), (2, 0), "0-1", "E60", 50, 2500, 2600, "Tamm, Mikk", "blitz"),
-]
+FIRST = ("Ada", "Bela", "Ciro", "Dana", "ada")
+LAST = ("Okafor", "Quist", "Varga", "Zamora", "okafor")
+EVENTS = ("Lakeside Open", "Night Ladder", "Rook and Pawn Cup", "lakeside open")
+CLASSES = ("normal", "blitz", "rapid", "corr")
+
+
+def _records(seed=17, n=36):
+    """number, kind, white, black, event, date, round, result, eco, moves, elos, annotator, time
+    control: games, deleted ones and texts, with unknown parts, ties and names equal but for case."""
+    r = random.Random(seed)
+    people = [f"{a}, {b}" for a in LAST for b in FIRST][:: r.randint(2, 3)]
+    out = []
+    for i in range(1, n + 1):
+        kind = r.choices(("game", "deleted", "text"), (8, 1, 2))[0]
+        y = r.choice((0, 1974, 1988, 2003))
+        m = r.randint(1, 12) if y and r.random() < 0.8 else 0
+        date = (y, m, r.randint(1, 28) if m and r.random() < 0.8 else 0)
+        if kind == "text":
+            out.append((i, "text", "", "", r.choice(EVENTS), (0, 0, 0), (0, 0), "*", None, 0, 0, 0, "", None))
+            continue
+        rd = r.choice(((0, 0), (r.randint(1, 12), 0), (r.randint(1, 12), r.randint(1, 3))))
+        eco = r.choice((None, f"{r.choice('ABCDE')}{r.randrange(100):02d}"))
+        elos = [r.choice((0, r.randint(1200, 2800))) for _ in "wb"]
+        out.append((i, kind, r.choice(people), r.choice(people), r.choice(EVENTS), date, rd, r.choice(("1-0", "0-1", "1/2-1/2", "*")), eco, r.randint(1, 90), *elos, r.choice(("", *people[:3])), r.choice(CLASSES)))
+    return out
+
+
+ROWS = _records()
 BITS = {"normal": 1, "blitz": 0x20, "rapid": 0x40, "corr": 0x80, None: 0}
 
 
@@ -105,17 +123,32 @@ def brute(text):
     return [r[0] for r in sorted(sorted(out), key=k, reverse=down) if True] if not down else [r[0] for r in sorted(sorted(out, key=lambda r: r[0]), key=k, reverse=True)]
 
 
-QUERIES = """
-arden|ARDEN|white:arden|black:arden|player:arden|-player:arden|player:arden,tamm|-player:arden,tamm|white:casa black:laurent|event:lutetia
-tournament:"port royal"|london|"lutetia m"|#tamm|"#tamm"|foo:bar|Lesson3:rooks|arden result:1-0|result:1-0|result:draw|result:½|result:unknown
--result:1-0 -result:0-1|eco:C5|eco:c5|eco:C60..C69|eco:>=D|eco:>D63|eco:<C51|eco:..B99|-eco:C5|date:1858|date:1858-12-21|date:>=1900
-date:1914-04..1914-05|date:<1859|date:>1951|date:>=1951-07|date:??|round:1|round:"1(2)"|annotator:nord|annotator:tamm|moves:38|moves:>40
-moves:30..45|moves:x|-moves:x|elo:>=2700|elo:2600|elo:<2400|elo:>=2700 elo:<2721|whiteelo:>=2700|whiteelo:2300..2600|whiteelo:<2400
-blackelo:..2600|blackelo:2600..|whiteelo:>=2500 blackelo:>=2600|-whiteelo:>=2700|whiteelo:x|timecontrol:normal|TimeControl:Rapid|tc:blitz|tc:corr
-tc:normal,blitz|-tc:normal|tc:bullet|-tc:bullet|tc:normal moves:>20|arden sort:moves|arden sort:moves-asc|sort:name|sort:number-desc|sort:white
-sort:white-desc|sort:black|sort:black-desc|sort:whiteElo|sort:whiteelo-desc|sort:blackElo|sort:result|sort:result-desc|sort:moves|sort:eco
-sort:eco-desc|sort:tournament|sort:event-desc|sort:date|sort:pgndate-asc|sort:round|sort:round-desc|sort:annotator|sort:annotator-desc|- arden|date:..*
-""".strip().replace("\n", "|").split("|")
+def _queries(seed=23):
+    """One query and more of every production of the grammar, from values that the records have."""
+    r = random.Random(seed)
+    names = sorted({w for x in ROWS for w in (x[2] + " " + x[3]).lower().replace(",", "").split()})
+    elo = lambda: r.randrange(1200, 2800)
+    plain = {
+        "": lambda: r.choice(names), "white": lambda: r.choice(names), "black": lambda: r.choice(names).upper(), "player": lambda: f"{r.choice(names)},{r.choice(names)}",
+        "event": lambda: r.choice(('"rook and"', "lake", "ladder")), "tournament": lambda: "night", "annotator": lambda: r.choice(names), "round": lambda: r.choice(("1", "2(", '"1(1)"')),
+        "result": lambda: r.choice(("1-0", "draw", "½-½", "unknown,0-1")), "eco": lambda: r.choice(("b", "C1", "E,A", "d5")), "date": lambda: r.choice(("1988", "2003-1", "1974/07", "??")),
+        "moves": lambda: str(r.choice(ROWS)[9]), "elo": lambda: str(max(r.choice(ROWS)[10], 1)), "whiteElo": lambda: f"{elo()}..{elo()}", "blackelo": lambda: "soon",
+        "timecontrol": lambda: r.choice(CLASSES).title(), "tc": lambda: r.choice(("bullet", "blitz,rapid", "correspondence")),
+    }
+    ranges = {"eco": lambda: r.choice("ABCDE") + str(r.randrange(10)), "date": lambda: r.choice(("1974", "1988-06", "1996", "2003-02-11")), "moves": lambda: str(r.randrange(90)), "elo": lambda: str(elo()), "whiteelo": lambda: str(elo()), "blackelo": lambda: str(elo())}
+    out = []
+    for field, value in plain.items():
+        name = f"{field}:" if field else ""
+        out += [name + value(), "-" + name + value(), f"{name}{value()} -event:open"]
+    for field, value in ranges.items():
+        out += [f"{field}:{op}{value()}" for op in ("<", "<=", ">", ">=")]
+        out += [f"{field}:{value()}..{value()}", f"{field}:{value()}..*", f"-{field}:..{value()}", f"{field}:..*"]
+    for key in ("number", "white", "black", "whiteElo", "blackElo", "result", "moves", "eco", "tournament", "event", "date", "pgndate", "round", "annotator", "nothing"):
+        out += [f"sort:{key}", f"sort:{key}-asc", f"{r.choice(names)} sort:{key}-desc"]
+    return [*out, f'"#{names[0]}"', f"#{names[0]}", "Chapter2:ends", f"- {names[1]}", f"elo:>={elo()} elo:<{elo()} -tc:blitz"]
+
+
+QUERIES = _queries()
 
 
 def test_corpus(db):
@@ -151,7 +184,7 @@ def test_limits():
 
 def test_window(db):
     found, by = search.search(db, "", "date")
-    assert [r["number"] for r in search.window(found, by, 2, 3).collect()] == [6, 5, 4]
+    assert [r["number"] for r in search.window(found, by, 2, 3).collect()] == brute("sort:date")[2:5]
     with pytest.raises(grammar.BadRequest, match="limit"):
         search.window(found, by, 0, 501)
     with pytest.raises(grammar.BadRequest, match="sort"):
@@ -159,14 +192,21 @@ def test_window(db):
 
 
 def test_members_and_rows(db, spark):
-    some = spark.createDataFrame([(4,), (9,), (9,), (77,)], "number int")
-    found, by = search.search(db, "-result:0-1", members=some, wanted={"white", "black", "event", "annotator"})
-    assert [(r["number"], r["white"], r["date"]) for r in search.rows(found).collect()] == [(9, "Arden, Paul", "????.??.??")]
+    some = [ROWS[i][0] for i in range(0, len(ROWS), 5)]
+    members = spark.createDataFrame([(n,) for n in [*some, some[0], 777]], "number int")
+    found, by = search.search(db, "-result:0-1", members=members, wanted={"white", "black", "event", "annotator"})
+    want = [(r[0], r[2], date_text(*r[5])) for r in ROWS if r[0] in some and r[1] != "text" and r[7] != "0-1"]
+    assert sorted((r["number"], r["white"], r["date"]) for r in search.rows(found).collect()) == want
 
 
 def test_suggest(db):
+    def want(cols, prefix):
+        n = Counter(x for r in ROWS if r[1] != "text" for x in {r[c] for c in cols} if x)
+        hit = [(x, k) for x, k in n.items() if x.lower().startswith(prefix) or cols != (4,) and x.lower().split(", ")[-1].startswith(prefix)]
+        return sorted(hit, key=lambda x: (-x[1], x[0].lower(), x[0]))[:20]
+
     names = lambda f, p: [(r["name"], r["games"]) for r in sorted(suggest.suggest(db, f, p).collect(), key=lambda r: r["rank"])]
-    assert names("player", "mik") == [("Tamm, Mikk", 2)]
-    assert names("player", "l") == [("Laurent, Emil", 3), ("laurent, emil", 1)]
-    assert names("event", "lon") == [("London", 1)]
-    assert names("annotator", "") == [("Norden, Aron", 2), ("Tamm, Mikk", 1)]
+    assert names("player", "da") == want((2, 3), "da") != []
+    assert names("player", "ok") == want((2, 3), "ok")
+    assert names("event", "lake") == want((4,), "lake")
+    assert names("annotator", "") == want((12,), "")
