@@ -6,9 +6,7 @@ from . import decontam, embedding_dedup, html_extract, langid, lm_score, mixing,
 
 
 def queries() -> dict:
-    import corpus_pipeline
-
-    found = {
+    return {
         f.__name__: f
         for f in (
             lm_score.op1_lm_score,
@@ -23,7 +21,6 @@ def queries() -> dict:
             html_extract.op10_html_extract,
         )
     }
-    return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

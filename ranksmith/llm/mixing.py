@@ -9,11 +9,15 @@ source's threshold. Thresholds come from nested histograms: words are summed by
 the first 12 bits of the hash, the bucket where the running sum crosses the source's rest is
 the boundary bucket, and only its documents are summed again by the next 12 bits, and then by
 the last 12. Nothing is sorted but histograms of at most 4,096 rows a source, and the rows are
-only filtered. The hash is of the doc_id, so reruns agree.
+only filtered. The hash is of the doc_id and the text, and of a number among rows that repeat
+both within a source, so each of such rows is judged on its own and reruns agree: the numbers of
+n like rows are 0 to n - 1, whichever gets which. They are counted within the files of the
+measured table and offset by the files before, so like rows may be a third of all.
 
 Defined results: a null text has size 0; sources go by code point with null last; a source
-without words has target 0; rows that share a doc_id share its fate, and a null doc_id counts
-as the text "null"; an empty table gives an empty result; other columns are kept by mix_rows.
+without words has target 0; a null doc_id counts as the text "null"; an empty table gives an
+empty result; other columns are kept by mix_rows, one that is named like one of its own under
+its name and `_input` (as often as it takes).
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import classed, materialize, table
 
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
@@ -30,7 +34,6 @@ MOST = 3
 DIGITS, LEVELS = 3, 3
 #: Sources up to which their one row each is broadcast; beyond it, they are joined by shuffle.
 BROADCAST_SOURCES = 100_000
-_OWN = "_mix_"
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, share: float = 1.0) -> DataFrame:
@@ -74,37 +77,67 @@ def _thresholds(sized: DataFrame, goal: DataFrame, n: int) -> DataFrame:
     return goal.join(bound, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "whole", F.coalesce("bound", full).alias("bound"))
 
 
-def mix_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, share: float = 1.0) -> DataFrame:
-    """docs (doc_id, text, source, ...) with size, source_size, target and copies added."""
-    h = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 1, DIGITS * LEVELS)
+def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """keep's columns of docs (doc_id, text, source, ...) with, under names of our own, the source,
+    the size, the hash and the copy number: texts are measured once, into a table."""
+    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce(F.md5("text"), F.lit("null"))))
     size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
-    sized = docs.select("source", size.alias("size"), h.alias("h"))
-    sized = materialize(sized, "sizes")  # texts are measured once, then small rows are read
+    own = [F.col("source").alias("source"), size.alias("size"), key.alias("key"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("rid")]
+    kept = F.struct(*(docs[f"`{c}`"] for c in keep)).alias("row")
+    all_ = materialize(docs.select(kept, *own), "measured")
+    twins = all_.groupBy("key", "source").agg(F.count("*").alias("n")).where("n > 1")
+    # A source is part of the key: its hash tells null from any text.
+    of = F.xxhash64("key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")))
+    like = classed(all_.select(of.alias("k"), "part", "rid"), twins.select(of.alias("k"), "n"), "k", "twins").select("k", "part", "rid")
+    like = materialize(like, "like")
+    n = like.count()
+    per = like.groupBy("k", "part").agg(F.count("*").alias("n"))
+    base = F.coalesce(F.sum("n").over(Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = per.select("k", "part", base.alias("base"))
+    ordinal = F.row_number().over(Window.partitionBy("k", "part").orderBy("rid")) - 1
+    numbered = like.withColumn("i", ordinal).join(per, ["k", "part"]).select(F.col("rid").alias("_r"), (F.col("base") + F.col("i")).alias("i")).where("i > 0")
+    if n:
+        all_ = all_.join(_few(numbered, n), F.col("rid") == F.col("_r"), "left")
+    else:
+        all_ = all_.withColumn("i", F.lit(0))
+    h = F.md5(F.concat_ws(":", "key", F.coalesce("i", F.lit(0)).cast("string")))
+    return all_.select("row", "source", "size", F.substring(h, 1, DIGITS * LEVELS).alias("h"))
+
+
+def _free(name: str, taken: set[str]) -> str:
+    while name.lower() in taken:
+        name += "_input"
+    taken.add(name.lower())
+    return name
+
+
+def mix_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, share: float = 1.0, keep: list[str] | None = None) -> DataFrame:
+    """docs (doc_id, text, source, ...), or keep's columns of it, with size, source_size, target
+    and copies added."""
+    keep = docs.columns if keep is None else keep
+    rows = measured(docs, keep)
+    sized = rows.select("source", "size", "h")
     goal = materialize(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most, share), "targets")
     n = goal.count()
     plan = _thresholds(sized, goal, n)
-    plan = plan.select(F.col("source").alias(f"{_OWN}s"), *(F.col(c).alias(f"{_OWN}{c}") for c in ("source_size", "target", "whole", "bound")))
-    out = docs.join(_few(plan, n), F.col("source").eqNullSafe(F.col(f"{_OWN}s")))
-    keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
-    return out.select(
-        *keep,
-        size.alias("size"),
-        F.col(f"{_OWN}source_size").alias("source_size"),
-        F.col(f"{_OWN}target").alias("target"),
-        (F.col(f"{_OWN}whole") + (h < F.col(f"{_OWN}bound")).cast("long")).alias("copies"),
-    )
+    plan = plan.select(F.col("source").alias("_s"), "source_size", "target", "whole", "bound")
+    out = rows.join(_few(plan, n), F.col("source").eqNullSafe(F.col("_s")))
+    copies = (F.col("whole") + (F.col("h") < F.col("bound")).cast("long")).alias("copies")
+    taken = {"size", "source_size", "target", "copies"}
+    return out.select(*(F.col(f"row.`{c}`").alias(_free(c, taken)) for c in keep), "size", "source_size", "target", copies)
 
 
 def op9_mix(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
-    return mix_rows(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    return mix_rows(docs, keep=["doc_id"]).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 #: The same in DuckDB: the boundary is the first 36-bit bucket that goes beyond the rest.
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 9) AS h
+         substr(md5(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(md5(text), 'null')) || ':' ||
+                    (row_number() OVER (PARTITION BY doc_id, text, source) - 1)), 1, 9) AS h
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS i FROM d GROUP BY source),
 w AS (SELECT *, ((i - 1) % 3 + 1)::DOUBLE AS w, source_size * 3.0::DOUBLE AS cap FROM s),

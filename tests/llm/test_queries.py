@@ -9,9 +9,10 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from ranksmith.llm import catalog, decontam, html_extract, langid, lm_score, pii, simhash, token_counts
 
-Q = catalog.queries()
+Q = catalog.queries() | {"pipeline": corpus_pipeline.run}
 
 
 def got(spark, sf_dir, name):
@@ -316,6 +317,57 @@ def test_op9_near_targets(spark, sf_dir):
     assert math.isclose(sum({(r["source_size"], r["target"]) for r in out} and [t for _, t in {(r["source_size"], r["target"]) for r in out}]), sum(r["size"] for r in out), rel_tol=1e-9)
 
 
+def test_op9_meets_targets_with_null_and_repeated_rows(spark):
+    import random
+
+    from ranksmith.llm import mixing
+
+    r = random.Random(8)
+    text = lambda: " ".join("w" * r.randint(1, 9) for _ in range(r.randint(1, 60)))
+    rows = [(None, text(), "a", 1, 7) for _ in range(900)] + [(None, "one and the same text", "b", 2, 7)] * 1500
+    rows += [(5, text(), None, 3, 7) for _ in range(600)] + [(i, text(), "c", 4, 7) for i in range(700)] + [(9, None, "c", 5, 7)] * 4
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n int, SIZE int").repartition(7)
+    mixed = mixing.mix_rows(docs)
+    assert mixed.columns == ["doc_id", "text", "source", "n", "SIZE_input", "size", "source_size", "target", "copies"]
+    out = [x.asDict() for x in mixed.collect()]
+    assert len(out) == len(rows) and {x["SIZE_input"] for x in out} == {7}
+    taken, target = Counter(), {}
+    for x in out:
+        taken[x["source"]] += x["size"] * x["copies"]
+        target[x["source"]] = x["target"]
+        assert 0 <= x["copies"] <= 3
+    assert sorted(target, key=lambda s: (s is None, s)) == ["a", "b", "c", None]
+    assert all(abs(taken[s] - target[s]) <= 60 for s in target), (taken, target)
+    again = [x.asDict() for x in mixing.mix_rows(docs.repartition(3)).collect()]
+    digest = lambda rows: sorted((str(x["doc_id"]), str(x["text"]), str(x["source"]), x["copies"]) for x in rows)
+    assert digest(again) == digest(out)
+
+
+def test_op6_pairs_share_all_but_the_last_reply(spark, sf_dir):
+    out = {r["pair_id"]: r for r in got(spark, sf_dir, "op6_preference_format")}
+    for i in range(8):
+        assert out[i]["n_prompt"] >= 3 and out[i]["prompt"].startswith("<|im_start|>system\nbe kind<|im_end|>\n")
+    assert out[8]["n_chosen"] == 0 == out[8]["n_rejected"] and out[8]["n_prompt"] == 2
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"{c}/{t}") for c in range(50) for t in range(2 + 2 * (c % 3))]
+    conv = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    from ranksmith.llm import preferences
+
+    for bucket in (4, 4096):
+        pairs = preferences.formatted(preferences.reply_pairs(conv, bucket)).collect()
+        assert len(pairs) == 50
+        dealt = Counter()
+        for p in pairs:
+            turns = 2 + 2 * (p["pair_id"] % 3)
+            alone = p["rejected"] == ""
+            assert p["n_prompt"] == turns - (not alone)
+            if not alone:
+                assert p["chosen"] == f"<|im_start|>assistant\n{p['pair_id']}/{turns - 1}<|im_end|>\n" != p["rejected"]
+                a, b = map(int, p["rejected_mask"].split(":"))
+                assert p["rejected"][a:b].endswith("<|im_end|>")
+                dealt[p["rejected"]] += 1
+        assert max(dealt.values()) == 1 and len(dealt) >= 40
+
+
 def test_op10(spark, sf_dir):
     out = got(spark, sf_dir, "op10_html_extract")
     assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in out) == [
