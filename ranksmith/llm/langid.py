@@ -2,11 +2,15 @@
 
 A suffix automaton of labelled text per language tells, at any place of a text, how far the
 text goes on as something seen in that language. Cross-parsing cuts the text greedily into
-such longest matches; the language that needs the fewest phrases a symbol wins.
+such longest matches. Phrases grow with the logarithm of the labelled text they are looked up
+in, so a language's entropy is its phrases a symbol times the logarithm of the size of its
+labelled text: the language of the least entropy wins, however much of each was to be had.
 
 Fitting takes a bounded sample (parameters PIECES and PIECE_CHARS: pieces of at most
 PIECE_CHARS characters at hash-chosen places of about PIECES hash-chosen distinct texts a
-language, and of these SAMPLE_BYTES bytes); only this sample comes to the driver. Prediction
+language, and of these SAMPLE_BYTES bytes, but at most TOTAL_BYTES for all languages; the LANGUAGES
+labels with most texts); only this sample comes to the driver, and it bounds what a worker
+holds: two states a byte, a row of next states each, over a language's own symbols. Prediction
 reads every text whole: all texts of a batch are cut in segments of SEGMENT symbols and all
 segments are parsed in lockstep, one table lookup a symbol and language, so a very long text
 is many lanes, not one slow row. A segment's end ends a phrase, alike for every language.
@@ -15,7 +19,8 @@ Symbols are the bytes of the lower-cased text; ASCII other than letters counts a
 runs of spaces as one. A text that is null or has no letter is `und` with score 0. Ties go to
 the language first by code point. Rows without label or text are not learnt from; with no
 labelled row all are `und`. Repeated rows are each predicted. Extra columns are ignored by
-predict and kept by keep_known.
+predict and kept by label_known, which gives every row that it keeps the language predicted
+(its own label where there was nothing to learn from) and drops only null and letterless texts.
 """
 
 from __future__ import annotations
@@ -31,6 +36,7 @@ from pyspark.sql import functions as F
 from .common import table, tidy
 
 PIECES, PIECE_CHARS, SAMPLE_BYTES = 48, 4096, 48 << 10
+TOTAL_BYTES, LANGUAGES = 1 << 20, 512
 SEGMENT, LANES = 1024, 6144
 _FOLD = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 _LETTER = re.compile(r"[^\W\d_]")
@@ -44,9 +50,10 @@ def fit(docs: DataFrame) -> dict[str, bytes]:
     """Labelled sample text of each language from docs (text, lang)."""
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("text").alias("h"))
     distinct = labelled.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n"))
-    n = {r["lang"]: r["n"] for r in distinct.collect()}
+    n = {r["lang"]: r["n"] for r in distinct.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not n:
         return {}
+    most = min(SAMPLE_BYTES, TOTAL_BYTES // len(n))
     # A text is in the sample if its hash is under its language's share of the hash range.
     mark = F.create_map(*(x for k, v in n.items() for x in (F.lit(k), F.lit(min(1.0, 1.3 * PIECES / v)))))
     part = F.pmod(F.col("h"), F.lit(1 << 31)) / F.lit(float(1 << 31))
@@ -57,9 +64,9 @@ def fit(docs: DataFrame) -> dict[str, bytes]:
     out: dict[str, bytes] = {}
     for r in sorted(got.collect(), key=lambda r: (r["lang"], r["h"])):
         have = out.get(r["lang"], b"")
-        if len(have) < SAMPLE_BYTES:
+        if len(have) < most:
             out[r["lang"]] = have + b" " * bool(have) + symbols(r["piece"])
-    return {k: out.get(k, b"")[:SAMPLE_BYTES] for k in sorted(n)}
+    return {k: out[k][:most] for k in sorted(out) if out[k]}
 
 
 def suffix_automaton(text: bytes) -> list[dict[int, int]]:
@@ -93,37 +100,33 @@ def suffix_automaton(text: bytes) -> list[dict[int, int]]:
 
 
 class CrossParser:
-    """The automata of all languages in one flat table of next states (multiplied by the
-    alphabet's size). Where a match can't go on, the table has the bitwise complement of the
+    """An automaton a language as a flat table of next states (multiplied by the size of the
+    language's alphabet). Where a match can't go on, the table has the bitwise complement of the
     state in which the next phrase starts."""
 
     def __init__(self, samples: dict[str, bytes]):
         self.langs = sorted(samples)
-        seen = sorted(set(b"".join(samples.values())))
-        self.width = len(seen) + 1  # class 0: bytes not in any sample
-        self.cls = np.zeros(256, np.uint8)
-        for i, c in enumerate(seen):
-            self.cls[c] = i + 1
-        tables, self.roots, base = [], [], 0
+        #: What a phrase of each language costs.
+        self.cost = np.log2([len(samples[k]) + 2 for k in self.langs])
+        self.classes, self.tables = [], []
         for lang in self.langs:
+            seen = sorted(set(samples[lang]))
+            cls, width = np.zeros(256, np.int32), len(seen) + 1  # class 0: bytes not in the sample
+            cls[seen] = np.arange(1, width)
             states = suffix_automaton(samples[lang])
             row = np.repeat(np.arange(len(states)), [len(s) for s in states])
-            col = self.cls[np.fromiter((c for s in states for c in s), np.uint8, len(row))]
-            to = np.fromiter((x for s in states for x in s.values()), np.int64, len(row))
-            goto = np.full((len(states), self.width), -1, np.int64)
-            goto[row, col] = to * self.width + base
-            start = np.where(goto[0] >= 0, goto[0], base)
-            tables.append(np.where(goto >= 0, goto, ~start[None, :]).astype(np.int32).ravel())
-            self.roots.append(base)
-            base += goto.size
-            if base >= 1 << 31:
-                raise ValueError("too many languages for one table")
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+            col = cls[np.fromiter((c for s in states for c in s), np.uint8, len(row))]
+            to = np.fromiter((x for s in states for x in s.values()), np.int32, len(row))
+            goto = np.full((len(states), width), -1, np.int32)
+            goto[row, col] = to * width
+            start = np.maximum(goto[0], 0)
+            self.classes.append(cls)
+            self.tables.append(np.where(goto >= 0, goto, ~start[None, :]).ravel())
 
     def phrases(self, texts: list[bytes]) -> np.ndarray:
         """Phrases of each text (rows) in each language (columns)."""
         sizes = np.array([len(t) for t in texts], np.int64)
-        buf = self.cls[np.frombuffer(b"".join(texts), np.uint8)].astype(np.int32)
+        buf = np.frombuffer(b"".join(texts), np.uint8)
         first = np.cumsum(sizes) - sizes
         per = -(-sizes // SEGMENT)
         of = np.repeat(np.arange(len(texts)), per)
@@ -135,15 +138,16 @@ class CrossParser:
             order = a + np.argsort(-lens[a : a + LANES], kind="stable")
             n, at = lens[order], starts[order]
             left = np.searchsorted(-n, -np.arange(1, SEGMENT + 1), "right")  # lanes longer than j
-            state = np.repeat(np.array(self.roots, np.int32)[:, None], len(order), 1)
-            count = np.ones(state.shape, np.int32)
-            for j in range(int(n[0])):
-                m = int(left[j])
-                got = self.table[state[:, :m] + buf[at[:m] + j]]
-                failed = got >> 31
-                count[:, :m] -= failed
-                state[:, :m] = got ^ failed
-            np.add.at(out, of[order], count.T)
+            for i, (cls, table) in enumerate(zip(self.classes, self.tables)):
+                state = np.zeros(len(order), np.int32)
+                count = np.ones(len(order), np.int32)
+                for j in range(int(n[0])):
+                    m = int(left[j])
+                    got = table[state[:m] + cls[buf[at[:m] + j]]]
+                    failed = got >> 31
+                    count[:m] -= failed
+                    state[:m] = got ^ failed
+                np.add.at(out[:, i], of[order], count)
         return out
 
 
@@ -169,10 +173,10 @@ def classify(texts: list[str | None], samples: dict[str, bytes]) -> tuple[list[s
                 group.append(symbols(texts[known[b]]))
                 size += len(group[-1])
                 b += 1
-            n = parser.phrases(group)
+            n = parser.phrases(group) * parser.cost
             best = n.argmin(1)
             two = np.sort(n, 1)[:, :2]
-            margin = 1 - two[:, 0] / np.maximum(two[:, 1], 1) if n.shape[1] > 1 else np.ones(len(group))
+            margin = 1 - two[:, 0] / np.maximum(two[:, 1], 1.0) if n.shape[1] > 1 else np.ones(len(group))
             for i, j in enumerate(known[a:b]):
                 lang[j] = parser.langs[best[i]]
                 score[j] = margin[i] if len(group[i]) else 0.0
@@ -193,15 +197,19 @@ def predict(docs: DataFrame, samples: dict[str, bytes], keep: tuple[str, ...] =
     return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
-def keep_known(docs: DataFrame, samples: dict[str, bytes]) -> DataFrame:
-    """docs without those whose language can't be told (null, or no letter). With no samples,
-    that rule alone decides."""
+def label_known(docs: DataFrame, samples: dict[str, bytes], lang_col: str = "lang") -> DataFrame:
+    """docs without those whose language can't be told (null, or no letter), with lang_col, where
+    docs has one, the language predicted. With no samples labels stay and that rule decides."""
 
     def run(batches):
         for b in batches:
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
+            i = b.schema.get_field_index(lang_col)
             if samples:
-                keep = [x != "und" for x in classify(texts, samples)[0]]
+                lang = classify(texts, samples)[0]
+                keep = [x != "und" for x in lang]
+                if i >= 0:
+                    b = b.set_column(i, b.schema.field(i), pa.array(lang, b.schema.field(i).type))
             else:
                 keep = [bool(t and _LETTER.search(t)) for t in texts]
             tidy()

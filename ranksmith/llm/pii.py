@@ -11,8 +11,12 @@ leftmost non-overlapping matches of
     card   [0-9]([\\x20-]?[0-9])+                         12 to 19 digits, Luhn
     phone  \\+[0-9][\\x20().0-9-]+[0-9]                    9 to 15 digits
 
-and a match that fails its test is consumed and dropped. Cues add the kinds url, account and
-secret. Positions are code points, ends exclusive. One pass, no shuffle.
+and a match that fails its test is consumed and dropped. Cues, in any case, add the kinds url
+(with credentials), account and secret. A secret's value must look generated: a digit and a
+letter, or letters of both cases and one of !@#$%^&*?~, and MIN_BITS bits of entropy a
+character, closing punctuation apart. An account number needs a label (`no`, a colon) before 6
+digits or more, or else 9 digits; dates and spans of years are none; an IBAN must pass its check
+sum. Positions are code points, ends exclusive. One pass, no shuffle.
 
 Null and empty texts have no spans. Repeated rows are each searched; null ids are kept; other
 columns are ignored by find_spans and kept by redact. Work is linear in a text's length.
@@ -21,7 +25,9 @@ columns are ignored by find_spans and kept by redact. Work is linear in a text's
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 
 import ahocorasick
 import pyarrow as pa
@@ -39,11 +45,13 @@ _IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _USERINFO = re.compile(r"[^\s/@:?#]+:[^\s/@?#]+@[^\s/?#]+[^\s]*")
-_ACCOUNT = re.compile(r"(?: ?(?:no|nr|number|nummer|num)\.?)?[ :#=]{1,3}([A-Z]{0,2}[0-9][A-Z0-9 -]{4,32}[0-9])")
+_ACCOUNT = re.compile(r"((?: ?(?:no|nr|number|nummer|num)\b\.?)?[ :#=]{1,3})([A-Z]{0,2}[0-9][A-Z0-9 -]{4,32}[0-9])(?![A-Za-z0-9])", re.I)
+_DATES = re.compile(r"(?:19|20)[0-9]{2}[ /-]+(?:19|20)[0-9]{2}$|[0-9]{4}-[0-9]{2}-[0-9]{2}$|[0-9]{2}-[0-9]{2}-[0-9]{4}$")
 _IBAN = re.compile(r"[ :#=]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?)(?![A-Za-z0-9])")
 _SECRET = re.compile(r"[\"']? ?[:=] ?[\"']?([^\s\"']{8,})")
+MIN_BITS = 2.5
 
-#: Cues, written in lower case; each is searched for in lower, title and upper case.
+#: Cues, written in lower case; texts are searched in lower case.
 ACCOUNT_CUES = ("account", "acct", "konto", "kontonummer", "compte", "cuenta", "passport", "ssn", "social security")
 IBAN_CUES = ("iban",)
 SECRET_CUES = ("api_key", "apikey", "api-key", "secret_key", "access_key", "secret", "password", "passwd", "token")
@@ -58,8 +66,7 @@ def _automaton() -> ahocorasick.Automaton:
     a.add_word("+", ("+", 1))
     for tag, cues in (("s", SECRET_CUES), ("a", ACCOUNT_CUES), ("i", IBAN_CUES), ("u", SCHEMES)):
         for cue in cues:
-            for form in {cue, cue.title(), cue.upper()}:
-                a.add_word(form, (tag, len(form)))
+            a.add_word(cue, (tag, len(cue)))
     a.make_automaton()
     return a
 
@@ -82,6 +89,29 @@ def _iban_ok(s: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+_A_TO_Z = {c: c + 32 for c in range(0x41, 0x5B)}
+
+
+def _lower(text: str) -> str:
+    """In lower case, every character in its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(_A_TO_Z)
+
+
+def _generated(value: str) -> bool:
+    """Whether a value looks like a key or a password rather than a word of the language."""
+    digit, upper, lower = (any(f(c) for c in value) for f in (str.isdigit, str.isupper, str.islower))
+    if not (digit and (upper or lower) or upper and lower and any(c in "!@#$%^&*?~" for c in value)):
+        return False
+    n = Counter(value)
+    return -sum(k / len(value) * math.log2(k / len(value)) for k in n.values()) >= MIN_BITS
+
+
+def _starts_word(text: str, at: int) -> bool:
+    """Whether a cue at `at` is the start of a word, or of a part of a camel-case name."""
+    return not at or not text[at - 1].isalnum() or text[at - 1].islower() and text[at].isupper()
+
+
 def scan(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of all spans, in order; kind indexes KINDS."""
     if not _SHARED:
@@ -89,7 +119,7 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     out: list[tuple[int, int, int]] = []
     mail = ip = card = phone = 0  # where each kind's search goes on
     taken = -1  # end of the last added span
-    for at, (what, n) in _SHARED[0].iter(text):
+    for at, (what, n) in _SHARED[0].iter(_lower(text)):
         if what == "d":
             if at >= card:
                 m = _CARD.match(text, at)
@@ -118,19 +148,20 @@ def scan(text: str) -> list[tuple[int, int, int]]:
                     out.append((at, 3, phone))
         else:
             start = at - n + 1
-            if start and text[start - 1].isalnum() or at < taken:
+            if not _starts_word(text, start) or at < taken:
                 continue
             if what == "u":
                 if m := _USERINFO.match(text, at + 1):
                     out.append((start, 4, taken := m.end()))
             elif what == "s":
-                if m := _SECRET.match(text, at + 1):
-                    out.append((m.start(1), 6, taken := m.end(1)))
+                if (m := _SECRET.match(text, at + 1)) and len(value := m[1].rstrip(".,;:!?)")) >= 8 and _generated(value):
+                    out.append((m.start(1), 6, taken := m.start(1) + len(value)))
             elif m := _IBAN.match(text, at + 1):
                 if _iban_ok(m[1]):
                     out.append((m.start(1), 5, taken := m.end(1)))
-            elif what == "a" and (m := _ACCOUNT.match(text, at + 1)) and sum(c.isdigit() for c in m[1]) >= 6:
-                out.append((m.start(1), 5, taken := m.end(1)))
+            elif what == "a" and (m := _ACCOUNT.match(text, at + 1)) and not _DATES.match(m[2]):
+                if sum(c.isdigit() for c in m[2]) >= (6 if m[1].strip(" ") else 9):
+                    out.append((m.start(2), 5, taken := m.end(2)))
     return sorted(set(out))
 
 

@@ -15,6 +15,12 @@ def test_stages(spark, sf_dir, rows):
     assert one.columns == docs.columns
     assert sorted(map(str, (r["doc_id"] for r in one.collect()))) == sorted(str(i) for i, t, *_ in rows if t and any(c.isalpha() for c in t))
 
+    told = {r["doc_id"]: r["lang"] for r in one.collect()}
+    assert all(told[i] == lang for i, t, lang, *_ in rows if lang and t and len(t) > 80 and i != 231)
+    hidden = docs.withColumn("lang", F.when(F.col("doc_id") % 5 != 0, F.col("lang")))
+    told = {r["doc_id"]: r["lang"] for r in cp.language(spark, hidden, sf_dir).collect()}
+    assert all(told[i] == lang for i, t, lang, *_ in rows if lang and t and len(t) > 80 and i != 231)
+
     two = cp.near_duplicates(spark, docs, sf_dir)
     assert two.columns == docs.columns
     kept = [r["doc_id"] for r in two.collect()]

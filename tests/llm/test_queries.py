@@ -109,6 +109,60 @@ def test_op2_against_dynamic_programming():
     assert min(seen.values()) > 10
 
 
+def test_op2_of_repetitive_items():
+    import random
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = random.Random(6)
+    items = ["=" * 60 + " Results of the run " + "=" * 60, "-" * 90, "ab" * 50, "x = 1; " * 14, "= - " * 30 + "end of it all"]
+    index = decontam.Index([(i, t.encode()) for i, t in enumerate(items)], decontam.Q, decontam.RATE)
+    assert {i for i, _ in index.repetitive} >= {1, 2, 3}
+
+    def least(p, t):
+        prev = np.zeros(len(t) + 1, int)
+        for i, a in enumerate(p):
+            cur = np.minimum(prev[1:] + 1, prev[:-1] + np.array([a != b for b in t], int))
+            cur = np.concatenate([[i + 1], cur])
+            prev = np.minimum.accumulate(cur - np.arange(len(cur))) + np.arange(len(cur))
+        return int(prev.min())
+
+    seen = Counter()
+    for n in range(60):
+        s = list(items[n % len(items)])
+        for _ in range(r.randint(0, 12)):
+            p = r.randrange(len(s))
+            s[p : p + r.randint(0, 1)] = r.choice(("", "q", "=", "-"))
+        text = "".join(r.choice("ab=-x") for _ in range(r.randint(0, 40))) + "".join(s) + "=" * r.randint(0, 50)
+        found = decontam.find(index, *decontam.text_buffer(pa.array([text, "nothing"])))
+        want = [(0, i, e) for i, t in enumerate(items) if (e := least(t, text)) <= index.k[i]]
+        assert found == want
+        seen[bool(want)] += 1
+    assert seen[True] > 10
+
+    rulers = [f"{'=' * 40} item {i} of the list, said {i * 7919 % 1000} times over {'=' * 40}" for i in range(50)]
+    index = decontam.Index([(i, t.encode()) for i, t in enumerate(rulers)], decontam.Q, decontam.RATE)
+    texts = pa.array(["=" * 1_000_000, " " * 1_000_000, rulers[7]])
+    tracemalloc.start()
+    found = decontam.find(index, *decontam.text_buffer(decontam.folded(texts)))
+    assert tracemalloc.get_traced_memory()[1] < 500 << 20
+    tracemalloc.stop()
+    assert (2, 7, 0) in found and {r for r, _, _ in found} == {2}
+
+
+def test_op2_makes_pairs_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    words = "one two three four five six seven eight nine ten eleven twelve".split()
+    items = [" ".join(words[i:] + words[:i] + [f"tail{i}"]) for i in range(12)]
+    index = decontam.Index([(i, t.encode()) for i, t in enumerate(items)], decontam.Q, decontam.RATE)
+    buf = decontam.text_buffer(pa.array([items[3] + " and " + items[8], None, items[0]]))
+    want = decontam.find(index, *buf)
+    monkeypatch.setattr(decontam, "PAIRS", 5)
+    assert decontam.find(index, *buf) == want and {(0, 3), (0, 8), (2, 0)} <= {x[:2] for x in want}
+
+
 def test_op2(spark, sf_dir, rows):
     item = rows[10][1][20:220].strip()
     want = {i for i, t, *_ in rows if t and item in t}
@@ -167,6 +221,15 @@ def test_redaction():
     assert pii.redacted(t, pii.scan(t)) == "a [EMAIL] b token = '[SECRET]' c"
 
 
+def test_secrets_and_accounts_are_validated():
+    clean = ["The secret: everything happens", "password: required.", "token: authentication", "Account 2024-2025", "account: 2024-05-31", "Password: Required-Field", "account 123456", "Token = TokenStream"]
+    for t in clean:
+        assert not [x for x in pii.scan(t) if x[1] >= 4], t
+    found = {"API_Key: a8f3k2m9x7": "a8f3k2m9x7", "userToken=9f8e7d6c5b4a3210.": "9f8e7d6c5b4a3210", "PASSWORD = 'hunter2!Xy9'": "hunter2!Xy9", "Account no. 123456": "123456", "ACCOUNT: 00123456": "00123456", "konto 123456789": "123456789", "ſecret\u0130 token: ab12cd34ef": "ab12cd34ef"}
+    for t, value in found.items():
+        assert [t[a:b] for a, k, b in pii.scan(t) if k >= 4] == [value], t
+
+
 def test_op4(spark, sf_dir, rows):
     out = {r["doc_id"]: r for r in got(spark, sf_dir, "op4_langid")}
     for i, t, lang, *_ in rows:
@@ -199,6 +262,30 @@ def test_cross_parsing_against_brute_force():
             assert p.phrases([t])[0][j] == n
 
 
+def test_op4_with_unequal_samples():
+    import random
+
+    from .conftest import WORDS
+
+    r = random.Random(12)
+    text = lambda lang, n: " ".join(r.choice(WORDS[lang]) for _ in range(n))
+    for small in (1000, 2000, 8000):
+        samples = {"de": langid.symbols(text("de", 12000))[: 48 << 10], "en": langid.symbols(text("en", 4000))[:small]}
+        texts = [text("en", 40) for _ in range(100)] + [text("de", 40) for _ in range(100)]
+        lang = langid.classify(texts, samples)[0]
+        assert sum(a == b for a, b in zip(lang, ["en"] * 100 + ["de"] * 100)) >= 196
+
+
+def test_op4_fit_is_bounded_and_of_the_texts(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"Text number {i} of {i % 7}! " * (i % 40 + 1), ("aa", "bb", "cc")[i % 3]) for i in range(400)] + [(None, "aa"), ("lost", None), ("!!", "dd")], "text string, lang string")
+    monkeypatch.setattr(langid, "TOTAL_BYTES", 3000)
+    got = langid.fit(docs)
+    assert set(got) == {"aa", "bb", "cc"} and all(0 < len(v) <= 750 for v in got.values())
+    assert got == langid.fit(docs.repartition(5))
+    every = {k: b" ".join(langid.symbols(r["text"]) for r in docs.where(f"lang = '{k}'").collect() if r["text"]) for k in got}
+    assert all(set(v.split()[1:-1]) <= set(every[k].split()) for k, v in got.items())
+
+
 def groups(n, links):
     root = list(range(n))
 
