@@ -611,6 +611,67 @@ def test_op2_folds_case_and_white_space(spark):
     assert [tuple(r) for r in decontam.drop_contaminated(docs, items).collect()] == [(3, "Vorher. nothing of it Nachher.")]
 
 
+def _page(r):
+    """A random page and its text: content in an article or a main, with furniture in and around."""
+    import html as escapes
+
+    want = []
+    words = lambda a, b: " ".join(r.choice(("alpha", "b&eta", "<gamma>", "délta", "eps'", "zeta")) for _ in range(r.randint(a, b)))
+    spaced = lambda t: escapes.escape(t).replace(" ", r.choice((" ", "  ", "\n\t ", "&nbsp;")))
+
+    def inline(t):
+        cut = r.randint(0, len(t))
+        a, b = escapes.escape(t[:cut]), escapes.escape(t[cut:])
+        return r.choice((f"{a}<b>{b}</b>", f"<i><b>{a}</i>{b}", f"<a href='/x?a=1&b=<2'>{a}</a>{b}", f"<span class=ad-hoc>{a}</span>{b}"))
+
+    def furniture():
+        return r.choice(("<nav><ul><li>{0}<li>{0}</ul></nav>", "<div class='ad'>{0}</div>", "<aside><p>{0}</p></aside>", "<script>if (a<b) '{0}'</script>", "<form><p>{0}</p></form>", "<div id=comments><p>{0}</p></div>", "<ul class='share-buttons'><li>{0}</ul>", "<!-- {0} -->", "<div style='display: none'>{0}</div>", "<div role=dialog>{0}</div>", "<section class='cookie-notice box'><p>{0}</p></section>")).format(escapes.escape(words(1, 12)))
+
+    def block(depth):
+        k = r.random()
+        if k < 0.2:
+            return furniture()
+        if k < 0.4 and depth < 4:
+            tag = r.choice(("div", "section", "blockquote", "div class='alert-text'", "section class='story share'", "div class=post"))
+            return f"<{tag}>{''.join(block(depth + 1) for _ in range(r.randint(1, 3)))}</{tag.split()[0]}>"
+        t = words(1, 25)
+        want.append(" ".join(t.split()))
+        tag = r.choice(("p", "p class=related", "h2 id=share", "pre", "p class='ad-hoc notice'"))
+        return f"<{tag}>{r.choice((inline, spaced))(t)}</{tag.split()[0]}>"
+
+    body = "".join(block(0) for _ in range(r.randint(1, 6)))
+    tag = r.choice(("article", "main", "article class=share"))
+    around = lambda: "".join(furniture() for _ in range(r.randint(0, 3)))
+    inner = f"<{tag}>{body}</{tag.split()[0]}>"
+    return f"<html><head><title>x</title></head><body><header><h1>{words(1, 3).replace('<', '')}</h1></header>{around()}<div class=wrapper>{inner}</div>{around()}<footer>foot</footer></body></html>", "\n\n".join(want)
+
+
+def test_op10_random_pages():
+    import random
+
+    r = random.Random(14)
+    for _ in range(400):
+        page, want = _page(r)
+        have = html_extract.extract(page).replace("\u00a0", " ")
+        assert have == want, page
+
+
+def test_op10_of_pages_without_content_and_of_hostile_ones():
+    import time
+
+    assert html_extract.extract("<div>Home</div><div>About</div><div>Login</div><div>Copyright 2020</div>") == ""
+    text = "A sentence that says something at length. " * 4
+    page = f"<body><ul><li>Home<li>About<li>Login</ul><h1>Title</h1><p>{text}<p>Go.<p>{text}<div>Copyright 2020</div>"
+    assert html_extract.extract(page) == f"Title\n\n{text.strip()}\n\nGo.\n\n{text.strip()}"
+    for part in ("<div>a", "<font>a<div>b</div>", "<ul><li>x", "<p>x<b>y", "<!--", "<a ", "<a href='", "</p>", "<b><i></b>", "<!x", "<script></x"):
+        times = []
+        for n in (20_000, 80_000):
+            t = time.process_time()
+            html_extract.extract(part * (n // len(part)))
+            times.append(time.process_time() - t)
+        assert times[1] < 0.05 + 8 * times[0], part
+
+
 def test_op10_without_article():
     long = "A very long block that holds nearly all of the text of the page. " * 40
     html = f"<body><nav>menu</nav><div id='all'><h1>The title of it</h1><div class='text'>{long}</div><blockquote>A short quotation of some words, said by one.</blockquote></div></body>"
