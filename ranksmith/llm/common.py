@@ -222,10 +222,11 @@ def components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> Data
     cur = materialize(cur, name)
     n, seen = cur.count(), None
     for _ in range(max_rounds):
+        few = lambda df: df.coalesce(max(1, -(-n // EDGES)))  # noqa: E731, B023
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         hot = _hubs(both, n)
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = _with_least(both, low, hot).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = few(_with_least(both, low, hot)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             _with_least(large, low, hot)
@@ -235,7 +236,7 @@ def components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> Data
             .where("u != v")
             .distinct()
         )
-        cur = materialize(small, name)
+        cur = materialize(few(small), name)
         now = tuple(cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         n = now[0]
         if now == seen or n == 0:
@@ -247,6 +248,8 @@ def components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> Data
     return roots.unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+#: Edges of one task in a round of components: with few edges there are few tasks.
+EDGES = 1 << 18
 #: A node with fewer edges than this is no hub, however few edges there are.
 LEAST_HUB = 256
 

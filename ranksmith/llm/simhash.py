@@ -244,13 +244,16 @@ def dedup(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFram
 # shingles of each (n: its size), whatever their sizes, and where they share their first one
 # enough of both is left. Any order gives the same result; common shingles come last in it (by
 # their counts in a sample of texts), so that keys are rare. A key with over GROUP sets is hot:
-# its sets are compared with two of them, and then all pairs that are not yet in one component.
+# its sets are compared with a few leaders, in turns, and then all pairs that are not yet in one
+# component.
 
 NEAR_SHINGLE, SIMILARITY = 5, 0.8
 #: Texts sampled for the order, the least count there of a common shingle and how many of them
 #: are told apart; sets under a key up to which all its pairs are candidates at once; bits of
 #: the filter that sorts out sets of no candidate.
-ORDER_SAMPLE, COMMON, COMMONS, GROUP, FILTER_BITS = 8192, 4, 1 << 16, 64, 1 << 24
+ORDER_SAMPLE, COMMON, COMMONS, GROUP, FILTER_BITS = 8192, 4, 1 << 16, 16, 1 << 24
+#: Leaders of a hot key, turns of them, and the pairs a row at which no turn is needed any more.
+LEADERS, TURNS, AFEW = 8, 4, 4
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _EPS = 1e-6
 
@@ -445,11 +448,25 @@ def _attached(pairs: DataFrame, held: DataFrame, name: str) -> DataFrame:
     return both.join(held.select(F.col("node").alias("u"), F.col("x").alias("_x")), "u").select("u", "v", "x", "_x")
 
 
+def _leaders(rows: DataFrame, salt: int) -> DataFrame:
+    """(key, p) of rows (key, node, n, i, score): p (node, n, i) of the first LEADERS of each key by
+    score, then hash. A text that others were made of has the most hot keys: its own are theirs."""
+    by = Window.partitionBy("key").orderBy(F.col("score").desc(), F.xxhash64("node", F.lit(salt)), "node")
+    top = rows.withColumn("_place", F.row_number().over(by)).where(F.col("_place") <= LEADERS)
+    return top.select(F.col("key").alias("_key"), F.struct("node", "n", "i").alias("p"))
+
+
+def _star(rows: DataFrame, leaders: DataFrame, n_keys: int, similarity: float) -> DataFrame:
+    """(u, v): each of rows (key, node, n, i) with the leaders of its key."""
+    hint = F.broadcast(leaders) if n_keys * LEADERS <= BROADCAST_KEYS else leaders
+    star = rows.join(hint, F.col("key") == F.col("_key")).where(F.col("node") != F.col("p.node"))
+    star = star.where(_enough(F.col("n"), F.col("i"), F.col("p.n"), F.col("p.i"), similarity))
+    return star.select(F.least("node", "p.node").alias("u"), F.greatest("node", "p.node").alias("v")).distinct()
+
+
 def _near_links(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(u, v): links that make the components of nodes (node, size, keys: the first shingles)."""
-    spark = nodes.sparkSession
     keyed = nodes.select("node", F.col("size").alias("n"), F.posexplode("keys").alias("i", "key"))
-    whole = F.struct("node", "n", "i")
     many = keyed.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > GROUP).withColumnRenamed("key", "_key")
     many = materialize(many, "near-hot")
     n_hot = many.count()
@@ -458,26 +475,28 @@ def _near_links(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: flo
     hint = F.broadcast(many) if n_hot <= BROADCAST_KEYS else many
     on = F.col("key") == F.col("_key")
     hot = materialize(keyed.join(hint, on).drop("_key"), "near-hot-rows")
-    ends = hot.groupBy("key").agg(F.min(whole).alias("a"), F.max(whole).alias("b")).withColumnRenamed("key", "_key")
-    ends = materialize(ends, "near-hot-ends")
-    star = hot.join(F.broadcast(ends) if n_hot <= BROADCAST_KEYS else ends, on).withColumn("p", F.explode(F.array("a", "b")))
-    star = star.where(F.col("node") != F.col("p.node")).where(_enough(F.col("n"), F.col("i"), F.col("p.n"), F.col("p.i"), similarity))
-    first = _cold_pairs(keyed.join(hint, on, "left_anti"), hot, similarity).unionByName(star.select(F.col("node").alias("u"), F.col("p.node").alias("v")))
+    score = hot.groupBy("node").agg(F.sum("rows").alias("score"))
+    hot = materialize(hot.join(score, "node"), "near-hot-scored")
+    first = _cold_pairs(keyed.join(hint, on, "left_anti"), hot, similarity).unionByName(_star(hot, _leaders(hot, 0), n_hot, similarity))
     links = _similar(first, docs, shingle, similarity, "near")
 
-    # What is left of the hot keys: the pairs across components. Those of a key's most frequent
-    # component stay where they are, in tiles; the other rows go to each tile.
-    roots = components(links, "near-first")
-    roots = roots.withColumnRenamed("node", "_node")
-    placed = materialize(hot.join(roots, F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("root", "node")).drop("_node"), "near-placed")
-    main = placed.groupBy("key").agg(F.mode("root").alias("main"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select(F.col("key").alias("_key"), "main")
-    main = materialize(main, "near-main")
-    n_main = main.count()
-    if not n_main:
-        return links
-    left = placed.join(F.broadcast(main) if n_main <= BROADCAST_KEYS else main, on).withColumn("tiles", F.ceil(F.col("rows") / TILE).cast("int"))
-    left = left.select("key", "node", "n", "i", "root", "main", "tiles", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile"))
-    left = materialize(left, "near-left")
+    # What is left of the hot keys: the pairs across components. While those are many, leaders of
+    # a key's most frequent component meet its other rows, and leaders of these all of its rows.
+    for turn in range(1, TURNS + 1):
+        left, n_main, pairs, rows = _apart_rows(hot, links, turn)
+        if not n_main:
+            return links
+        if turn == TURNS or pairs <= AFEW * rows:
+            break
+        main, other = left.where("root = main"), left.where("root != main")
+        more = _star(other, _leaders(main, turn), n_main, similarity).unionByName(_star(left, _leaders(other, turn), n_main, similarity))
+        found = _similar(more, docs, shingle, similarity, f"near-{turn}")
+        if not found.limit(1).count():
+            break
+        links = links.unionByName(found)
+
+    # Rows of the most frequent component stay where they are, in tiles; the others go to each.
+    left = left.withColumn("tiles", F.ceil(F.col("rows") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     apart = left.where("root != main").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     o, a = apart.alias("o"), left.alias("a")
     cross = o.join(a, (F.col("o.key") == F.col("a.key")) & (F.col("o.tile") == F.col("a.tile")) & (F.col("o.root") != F.col("a.root")))
@@ -487,6 +506,22 @@ def _near_links(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: flo
     return links.unionByName(_similar(cross.select(F.col("o.node").alias("u"), F.col("a.node").alias("v")), docs, shingle, similarity, "near-rest"))
 
 
+def _apart_rows(hot: DataFrame, links: DataFrame, turn: int) -> tuple[DataFrame, int, int, int]:
+    """The rows of hot whose key has more than one component of links, with root and main (the
+    key's most frequent root); how many such keys there are, their pairs across main and the rest,
+    and their rows."""
+    roots = components(links, f"near-cc{turn}").withColumnRenamed("node", "_node")
+    placed = materialize(hot.join(roots, F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("root", "node")).drop("_node"), "near-placed")
+    each = placed.groupBy("key", "root").agg(F.count("*").alias("c"))
+    main = each.groupBy("key").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("all")).where("m.c < all")
+    main = materialize(main.select(F.col("key").alias("_key"), F.col("m.root").alias("main"), (F.col("all") - F.col("m.c")).alias("others"), "all"), "near-main")
+    n, pairs, rows = main.agg(F.count("*"), F.sum(F.col("others") * F.col("all")), F.sum("all")).first()
+    if not n:
+        return hot, 0, 0, 0
+    left = placed.join(F.broadcast(main) if n <= BROADCAST_KEYS else main, F.col("key") == F.col("_key"))
+    return materialize(left.select("key", "node", "n", "i", "score", "rows", "root", "main"), "near-left"), n, pairs, rows
+
+
 def _near_classes(docs: DataFrame, similarity: float, shingle: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, digest, node) of each of docs (doc_id, text), and (node, n, first, component) of
     each node: texts with the same shingles. first is (null id?, doc_id, digest), the least of
@@ -533,12 +568,13 @@ def keep_representatives(docs: DataFrame, similarity: float = SIMILARITY) -> Dat
     last). Rows are told apart by doc_id and text, so different texts under one doc_id, or none,
     are each judged."""
     _, classes = _near_classes(docs.select("doc_id", "text"), similarity, NEAR_SHINGLE)
-    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_id")
-    kept = classes.where("first = component").select("first.*").select(id_, F.col("digest").alias("_digest"))
-    one = docs.select("*", id_, _digest().alias("_digest")).join(kept, ["_id", "_digest"])
+    own = F.struct("*").alias("row")  # the columns of docs can have any names
+    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id")
+    kept = classes.where("first = component").select("first.*").select(id_, "digest")
+    one = docs.select(own, id_, _digest().alias("digest"), F.xxhash64(*docs.columns).alias("h")).join(kept, ["id", "digest"])
     # Rows that repeat both: one of them stays, the same one in every run.
-    pick = Window.partitionBy("_id", "_digest").orderBy(F.xxhash64(*docs.columns))
-    return one.withColumn("_n", F.row_number().over(pick)).where("_n = 1").select(*docs.columns)
+    pick = Window.partitionBy("id", "digest").orderBy("h")
+    return one.withColumn("place", F.row_number().over(pick)).where("place = 1").select("row.*")
 
 
 def op8_simhash_dedup(spark, sf_dir: str) -> DataFrame:

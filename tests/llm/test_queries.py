@@ -508,6 +508,8 @@ def test_hot_classes_are_joined_whole(spark):
 def test_representatives_of_rows_that_share_an_id(spark):
     a, b, c = ("alpha beta gamma delta epsilon zeta eta", "one two three four five six seven", "north south east west up down left")
     docs = spark.createDataFrame([(None, a), (None, b), (1, c), (1, a), (2, a), (2, c), (2, c), (None, b)], "doc_id bigint, text string")
+    docs = docs.selectExpr("*", "1 AS _id", "2 AS _digest", "3 AS _n", "4 AS row", "5 AS place", "6 AS id", "7 AS digest", "8 AS h")
+    assert simhash.keep_representatives(docs).columns == docs.columns
     out = simhash.keep_representatives(docs).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"], r["text"]) for r in out) == [(False, 1, a), (False, 1, c), (True, None, b)]
 
@@ -572,6 +574,8 @@ def test_near_copies_of_hot_keys(spark, monkeypatch):
 
     monkeypatch.setattr(simhash, "GROUP", 3)
     monkeypatch.setattr(simhash, "TILE", 8)
+    monkeypatch.setattr(simhash, "LEADERS", 1)
+    monkeypatch.setattr(simhash, "AFEW", 0.2)
     r = random.Random(11)
     texts = []
     for k in range(3):  # chains of edits: neighbours are similar, the ends are not
