@@ -28,48 +28,56 @@ def words(t):
     return (t or "").encode().lower().split()
 
 
-def test_op1(spark, sf_dir, rows):
+@pytest.mark.parametrize("small", [False, True])
+def test_op1(spark, sf_dir, rows, monkeypatch, small):
+    if small:  # many blocks, and segments of three tokens
+        monkeypatch.setattr(lm_score, "BLOCK_BYTES", 3000)
+        monkeypatch.setattr(lm_score, "SEGMENT", 3)
     held = lambda i: i is None or zlib.crc32(str(i).encode()) % 10 == 0
-    c, c2 = Counter(), Counter()
+    order = lm_score.ORDER
+    c, reads = Counter(), []
     for i, t, *_ in rows:
         if not held(i):
-            seq = [*words(t), None]
-            c.update(seq)
-            c2.update(zip(["<s>", *seq], seq))
-    n, v = sum(c.values()), len(c)
-    c["<s>"] = c[None]
-    out = got(spark, sf_dir, "op1_lm_score")
-    assert len(out) == len(rows)
+            seq = ["<s>", *words(t), None]
+            for at in range(1, len(seq)):
+                for k in range(1, order + 1):
+                    if at - k + 1 >= 0:
+                        c[tuple(seq[at - k + 1 : at + 1])] += 1
+                        reads.append(tuple(seq[at - k + 1 : at + 1]))
+    c[("<s>",)] = sum(not held(i) for i, *_ in rows)
+    n, v = sum(x for g, x in c.items() if len(g) == 1 and g != ("<s>",)), sum(len(g) == 1 for g in c) - 1
+    fits, singles = Counter(), Counter()
+    for g in reads:
+        if len(g) > 1:
+            key = len(g) - 1, int(math.log2(c[g[:-1]]))
+            fits[key] += 1
+            singles[key] += c[g] == 1
+    fail = {k: (singles[k] + 0.5) / (fits[k] + 1) for k in fits}
+
+    def p(context, w):
+        """The automaton itself: states with arcs and a failure arc to the context without its first."""
+        if not context:
+            return (c.get((w,), 0) + 0.1) / (n + 0.1 * (v + 1))
+        short = p(context[1:], w)
+        if not c.get(context):
+            return short
+        b = fail[len(context), int(math.log2(c[context]))]
+        return (1 - b) * c.get((*context, w), 0) / c[context] + b * short
 
     def score(t):
-        """The automaton itself: states with arcs and a failure arc, one step a token."""
-        state, base, total = "<s>", 0.0, 0.0
-        for w in [*words(t), None]:
-            p1 = (c.get(w, 0) + 0.1) / (n + 0.1 * (v + 1))
-            p = p1
-            if c.get(state):
-                fail = float(lm_score.failure_weight(np.array([c[state]]), n, v, lm_score.SHARE)[0])
-                p = (1 - fail) * c2.get((state, w), 0) / c[state] + fail * p1
-            base, total, state = base + math.log10(p1), total + math.log10(p), w
-        return base, total
-
-    want = sorted((i is None, i or 0, held(i), len(words(t)) + 1, sum(c.get(w, 0) > 0 for w in [*words(t), None]), *score(t)) for i, t, *_ in rows)
+        seq = ["<s>", *words(t), None]
+        return sum(math.log10(p((), w)) for w in seq[1:]), sum(math.log10(p(tuple(seq[max(0, at - order + 1) : at]), seq[at])) for at in range(1, len(seq)))
+
+    assert math.isclose(sum(p(("of", "the"), g[0]) for g in c if len(g) == 1 and g != ("<s>",)) + p(("of", "the"), "unseen"), 1.0)
+    out = got(spark, sf_dir, "op1_lm_score")
+    want = sorted((i is None, i or 0, held(i), len(words(t)) + 1, sum(c.get((w,), 0) > 0 for w in [*words(t), None]), *score(t)) for i, t, *_ in rows)
     have = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["held_out"], r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in out)
+    assert len(have) == len(want)
     for a, b in zip(want, have):
         assert a[:5] == b[:5] and np.allclose(a[5:], b[5:], rtol=1e-9)
     assert {r["train_tokens"] for r in out} == {n}
 
 
-def test_op1_probabilities_sum_to_one():
-    # p over a vocabulary of 3 known types and the unknown one, after a state seen 4 times
-    n, v = 10, 3
-    unigram = np.array([6, 3, 1, 0])
-    after = np.array([3, 1, 0, 0])
-    count = [np.stack([np.full(4, 4), unigram], 1).ravel(), np.stack([np.zeros(4, int), after], 1).ravel()]
-    _, p = lm_score.traverse(count, np.full(4, 2), 0, n, v, 0.5)
-    assert math.isclose((10 ** p[1::2]).sum(), 1.0)
-
-
 def test_op2_against_dynamic_programming():
     import random
 
