@@ -22,7 +22,8 @@ shard that owns that key range; the shard sums over blocks and answers every blo
 in the order asked. The block then holds exactly the arcs its texts can use, keeps their counts a
 token, and is walked when the classes' weights are known. Blocks and shards (SHARD_BYTES of text
 each) grow in number, not in size; a hot word is one key a block, so no shard is hot. Keys are
-hashes of as many bits as keep an n-gram's chance to share its key near one in 2**20, 64 at most.
+hashes: of 63 bits for words, and for longer n-grams of as many as keep the chance that one shares
+its key with another near one in 2**18, 63 at most.
 
 Nulls and empty texts are one end token. A null doc_id is never trained on (held_out true).
 Repeated rows are scored, and counted, each. Extra columns are ignored. An empty table gives
@@ -33,6 +34,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +46,7 @@ BEGIN = np.uint64(0x5BE0CD19137E2179)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 ADD = 0.1
 ORDER, SEGMENT = 3, 512
-BLOCK_BYTES, SHARD_BYTES = 12 << 20, 24 << 20
+BLOCK_BYTES, SHARD_BYTES = 10 << 20, 24 << 20
 #: Classes of context counts.
 CLASSES = 64
 
@@ -78,39 +80,44 @@ def ngram_keys(tokens: np.ndarray, n: np.ndarray, order: int) -> list[np.ndarray
     return keys
 
 
+_ZSTD = {"level": 1}
+
+
 def _pack(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences: one byte for the width, then as many bytes a difference."""
+    """Sorted keys as differences, their bytes plane by plane: the high ones compress."""
     d = np.diff(keys, prepend=np.uint64(0))
-    width = max(1, (int(d[1:].max(initial=0)).bit_length() + 7) // 8)
-    return bytes([width]) + (keys[:1].tobytes()) + d[1:].view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    width = max(1, (int(d.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + zstandard.compress(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes(), **_ZSTD)
 
 
 def _unpack(blob: bytes) -> np.ndarray:
-    if len(blob) < 9:
-        return np.zeros(0, np.uint64)
     width = blob[0]
-    d = np.frombuffer(blob, np.uint8, offset=9).reshape(-1, width)
-    full = np.zeros((len(d) + 1, 8), np.uint8)
-    full[1:, :width] = d
-    out = full.view(np.uint64).ravel()
-    out[0] = np.frombuffer(blob, np.uint64, 1, 1)[0]
-    return np.cumsum(out, dtype=np.uint64)
+    planes = np.frombuffer(zstandard.decompress(blob[1:]), np.uint8).reshape(width, -1)
+    full = np.zeros((planes.shape[1], 8), np.uint8)
+    full[:, :width] = planes.T
+    return np.cumsum(full.view(np.uint64).ravel(), dtype=np.uint64)
 
 
 def _small(x: np.ndarray) -> bytes:
     kind = next(k for k in ("u1", "u2", "u4", "u8") if int(x.max(initial=0)) < 1 << 8 * int(k[1]))
-    return kind.encode() + x.astype(kind).tobytes()
+    return kind.encode() + zstandard.compress(x.astype(kind).tobytes(), **_ZSTD)
 
 
 def _large(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, blob[:2].decode(), offset=2).astype(np.int64)
+    return np.frombuffer(zstandard.decompress(blob[2:]), blob[:2].decode()).astype(np.int64)
 
 
 def _counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order and how many of each are training tokens."""
-    own = np.sort(keys[train])
-    uniq = np.unique(np.concatenate([own, np.unique(keys[~train])])) if not train.all() else own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own
-    return uniq, np.searchsorted(own, uniq, "right") - np.searchsorted(own, uniq, "left")
+    """Distinct keys (of 63 bits at most) in order and how many of each are training tokens."""
+    both = np.sort(keys << np.uint64(1) | (~train).astype(np.uint64))
+    key = both >> np.uint64(1)
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[new], np.add.reduceat(1 - (both & np.uint64(1)).astype(np.int64), new)
+
+
+def _bits(level: int, bits: int) -> int:
+    """Bits of the keys of a level: words have all that there is room for."""
+    return bits if level else 63
 
 
 def _edges(uniq: np.ndarray, shards: int, bits: int) -> np.ndarray:
@@ -165,8 +172,8 @@ def _ask(order: int, shards: int, bits: int):
         train = np.repeat(~texts["held_out"].to_numpy(), n)
         rows = []
         for level, keys in enumerate(ngram_keys(tokens, n, order)):
-            uniq, count = _counted(keys >> np.uint64(64 - bits), train)
-            cut = _edges(uniq, shards, bits)
+            uniq, count = _counted(keys >> np.uint64(64 - _bits(level, bits)), train)
+            cut = _edges(uniq, shards, _bits(level, bits))
             rows += [(level * shards + s, block, _pack(uniq[a:b]), _small(count[a:b])) for s, a, b in zip(range(shards), cut, cut[1:]) if b > a]
         tidy()
         return pa.table({k: pa.array([r[i] for r in rows], kind) for i, (k, kind) in enumerate((("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())))})
@@ -261,13 +268,13 @@ def _count(order: int, shards: int, bits: int):
         by = dict(zip(totals["shard"].to_pylist(), totals["totals"].to_pylist()))
         found, ends = [], 0
         for level, keys in enumerate(ngram_keys(tokens, n, order)):
-            uniq, where = np.unique(keys >> np.uint64(64 - bits), return_inverse=True)
+            uniq, where = np.unique(keys >> np.uint64(64 - _bits(level, bits)), return_inverse=True)
             total = np.concatenate([_large(by[s]) for s in range(level * shards, (level + 1) * shards) if s in by])
             if len(total) != len(uniq):
                 raise ValueError("a block's answers do not match what it asked for")
             found.append(total[where])
             if not level:
-                ends = int(total[np.searchsorted(uniq, END >> np.uint64(64 - bits))])
+                ends = int(total[np.searchsorted(uniq, END >> np.uint64(1))])
         train = np.repeat(~texts["held_out"].to_numpy(), n)
         stats = statistics(found, n, ends, train)
         sink = pa.BufferOutputStream()
@@ -312,7 +319,7 @@ def score_texts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(n_partitions(spark), -(-size // SHARD_BYTES))
-    bits = min(64, max(48, size.bit_length() + 20))
+    bits = min(63, max(40, (size // 6).bit_length() + 18))  # a token is 6 bytes or so
     packed = docs.mapInArrow(_blocks, "block bigint, data binary")
     asked = packed.groupBy("block").applyInArrow(_ask(order, shards, bits), _ASKED)
     answers = asked.groupBy("shard").applyInArrow(_answer, "block bigint, shard int, totals binary")
