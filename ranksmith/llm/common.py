@@ -70,7 +70,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/ranksmith-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._ranksmith_path = path
+    _MADE.append(path)
+    return out
+
+
+_MADE: list[str] = []
+
+
+def release(spark: SparkSession, since: int, *but: DataFrame) -> None:
+    """Delete the tables made since len(_MADE) was `since`, but for those of `but`. What has not
+    been run yet must not need them."""
+    keep = [df._ranksmith_path for df in but]
+    for path in _MADE[since:]:
+        if path not in keep:
+            _delete(spark, path)
+    _MADE[since:] = keep
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -219,6 +235,7 @@ def components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> Data
         .where("u != v")
         .distinct()
     )
+    since = len(_MADE)
     cur = materialize(cur, name)
     n, seen = cur.count(), None
     for _ in range(max_rounds):
@@ -239,6 +256,7 @@ def components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> Data
         cur = materialize(few(small), name)
         now = tuple(cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         n = now[0]
+        release(spark, since, cur)
         if now == seen or n == 0:
             break
         seen = now

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import classed, components, local_roots, materialize, mix64, n_partitions, named_roots, table, text_buffer, tidy, word_hashes
+from .common import _MADE, classed, components, local_roots, materialize, mix64, n_partitions, named_roots, release, table, text_buffer, tidy, word_hashes
 
 SHINGLE, BITS, SEED = 4, 4, 42
 #: Shingle hashes turned into bit counts at a time.
@@ -253,7 +253,7 @@ NEAR_SHINGLE, SIMILARITY = 5, 0.8
 #: the filter that sorts out sets of no candidate.
 ORDER_SAMPLE, COMMON, COMMONS, GROUP, FILTER_BITS = 8192, 4, 1 << 16, 16, 1 << 24
 #: Leaders of a hot key, turns of them, and the pairs a row at which no turn is needed any more.
-LEADERS, TURNS, AFEW = 8, 4, 4
+LEADERS, TURNS, AFEW = 8, 3, 64
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _EPS = 1e-6
 
@@ -374,6 +374,7 @@ def _cold_pairs(keyed: DataFrame, hot: DataFrame | None, similarity: float) -> D
 def _similar(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float, name: str) -> DataFrame:
     """Those of pairs (u, v) of nodes whose sets are similar. Sets are made anew from docs (text)
     and kept for candidates only: all of them would take more room than the texts."""
+    since = len(_MADE)
     pairs = materialize(pairs.distinct(), f"{name}-pairs")
     slot = F.pmod("node", F.lit(FILTER_BITS))
     ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node")))
@@ -419,7 +420,9 @@ def _similar(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float,
     left = materialize(left.mapInArrow(chosen(may), "u bigint, v bigint"), f"{name}-left")
     ends = left.select(F.col("u").alias("node")).unionByName(left.select(F.col("v").alias("node"))).distinct()
     sets = held.join(ends, "node", "left_semi").select("node", F.col("set").alias("x")).dropDuplicates(["node"])
-    return materialize(_attached(left, sets, f"{name}-set").mapInArrow(chosen(exact), "u bigint, v bigint"), f"{name}-links")
+    found = materialize(_attached(left, sets, f"{name}-set").mapInArrow(chosen(exact), "u bigint, v bigint"), f"{name}-links")
+    release(docs.sparkSession, since, found)
+    return found
 
 
 def _odd(shingles: np.ndarray) -> bytes:
@@ -466,6 +469,7 @@ def _star(rows: DataFrame, leaders: DataFrame, n_keys: int, similarity: float) -
 
 def _near_links(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(u, v): links that make the components of nodes (node, size, keys: the first shingles)."""
+    spark = nodes.sparkSession
     keyed = nodes.select("node", F.col("size").alias("n"), F.posexplode("keys").alias("i", "key"))
     many = keyed.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > GROUP).withColumnRenamed("key", "_key")
     many = materialize(many, "near-hot")
@@ -476,7 +480,9 @@ def _near_links(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: flo
     on = F.col("key") == F.col("_key")
     hot = materialize(keyed.join(hint, on).drop("_key"), "near-hot-rows")
     score = hot.groupBy("node").agg(F.sum("rows").alias("score"))
-    hot = materialize(hot.join(score, "node"), "near-hot-scored")
+    scored = materialize(hot.join(score, "node"), "near-hot-scored")
+    release(spark, len(_MADE) - 2, scored)
+    hot = scored
     first = _cold_pairs(keyed.join(hint, on, "left_anti"), hot, similarity).unionByName(_star(hot, _leaders(hot, 0), n_hot, similarity))
     links = _similar(first, docs, shingle, similarity, "near")
 
@@ -542,7 +548,7 @@ def _near_classes(docs: DataFrame, similarity: float, shingle: int) -> tuple[Dat
             del sets, keys, flat
             tidy()
 
-    marked = materialize(src.mapInArrow(sketches, "doc_id bigint, digest bigint, node bigint, size int, keys array<bigint>"), "sketches")
+    marked = src.mapInArrow(sketches, "doc_id bigint, digest bigint, node bigint, size int, keys array<bigint>")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
     nodes = marked.groupBy("node").agg(first, F.count("*").alias("n"), F.min("size").alias("size"), F.min("keys").alias("keys"))
     nodes = materialize(nodes, "near-nodes")

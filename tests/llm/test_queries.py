@@ -584,6 +584,7 @@ def test_near_copies_of_hot_keys(spark, monkeypatch):
     monkeypatch.setattr(simhash, "TILE", 8)
     monkeypatch.setattr(simhash, "LEADERS", 1)
     monkeypatch.setattr(simhash, "AFEW", 0.2)
+    monkeypatch.setattr(simhash, "TURNS", 2)
     r = random.Random(11)
     texts = []
     for k in range(3):  # chains of edits: neighbours are similar, the ends are not
