@@ -1,4 +1,4 @@
-"""Scalar functions as Columns."""
+"""Scalar functions as Columns."""
 
 from __future__ import annotations
 

@@ -1,13 +1,17 @@
-"""Edits of a game collection as new snapshots.
+"""Edits of a game collection as new snapshots.
 
 A collection is a folder of numbered generations, each a Parquet table of games (number, tags,
-movetext), and a pointer to the newest. An edit names the generation it was made against, is
-refused if that is no longer the newest, writes the next generation and then moves the pointer:
-readers see the old or the new one, and a job that dies halfway leaves the old one in place.
+movetext). An edit names the generation it was made against and is refused if that is no longer
+the newest. It writes the whole next generation to a folder of its own and then renames that to
+the next number, which fails if another writer was there first: readers see the old generation or
+the new one, and a job that dies halfway leaves a folder that nobody looks at.
 """
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +46,18 @@ def _write(games: DataFrame, path: str, base: int) -> int:
     spark = games.sparkSession
     if generation(spark, path) != base:
         raise GenerationChanged(path)
-    games.write.mode("error").parquet(f"{path}/g{base + 1:09d}")
+    draft = f"{path}/draft-{uuid.uuid4().hex}"
+    games.write.mode("error").parquet(draft)
+    fs, new = _versions(spark, path)
+    sc, jvm = spark.sparkContext, spark.sparkContext._jvm
+    plain = sc._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)  # no overwriting
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), sc._jsc.hadoopConfiguration()).rename(new(draft), new(f"{path}/g{base + 1:09d}"), plain)
+    except Py4JJavaError as e:
+        fs.delete(new(draft), True)
+        if "FileAlreadyExists" in str(e.java_exception):
+            raise GenerationChanged(path) from e
+        raise
     return base + 1
 
 

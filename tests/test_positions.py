@@ -307,3 +307,20 @@ def test_links(spark):
     games = spark.createDataFrame([(3, "game", "A  B", "C", "E"), (1, "text", "A B", "C", "E"), (2, "game", "X", "C", "E")], "number int, kind string, white string, black string, event string")
     ln = spark.createDataFrame([(1, " A B", None, ""), (2, "", "C", ""), (3, "", "", ""), (4, "X", "C", "E"), (5, "X", "D", "")], "link_id int, white string, black string, event string")
     assert sorted((r["link_id"], r["number"]) for r in links.game_links(ln, games).collect()) == [(1, 3), (2, 2), (4, 2)]
+
+
+def test_interrupted_and_concurrent_edits(spark, tmp_path):
+    path = str(tmp_path / "games")
+    games = spark.createDataFrame([(1, {"White": "A"}, "1. e4 *"), (2, {"White": "B"}, "1. d4 *")], "number int, tags map<string,string>, movetext string")
+    assert snapshots.create(games, path) == 1
+    (tmp_path / "games" / "draft-dead").mkdir()  # a job that died halfway
+    (tmp_path / "games" / "draft-dead" / "part-0.parquet").write_bytes(b"half")
+    assert snapshots.delete(spark, path, 1, 1) == 2
+    with pytest.raises(snapshots.GenerationChanged):
+        snapshots.delete(spark, path, 1, 2)
+    late = tmp_path / "games" / "g000000003"  # another writer gets there between check and rename
+    late.mkdir()
+    with pytest.raises(snapshots.GenerationChanged):
+        snapshots.delete(spark, path, 2, 1)
+    assert not any(x.name != "draft-dead" and x.name.startswith("draft-") for x in (tmp_path / "games").iterdir())
+    assert [(r["number"], r["tags"]["White"]) for r in snapshots.read(spark, path).collect()] == [(1, "B")]
