@@ -122,7 +122,8 @@ def mix_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     plan = _thresholds(sized, goal, n)
     plan = plan.select(F.col("source").alias("_s"), "source_size", "target", "whole", "bound")
     out = rows.join(_few(plan, n), F.col("source").eqNullSafe(F.col("_s")))
-    copies = (F.col("whole") + (F.col("h") < F.col("bound")).cast("long")).alias("copies")
+    # Rows without words weigh nothing, so their hash may be under the bound of a source in full.
+    copies = F.least(F.col("whole") + (F.col("h") < F.col("bound")).cast("long"), F.lit(most)).alias("copies")
     taken = {"size", "source_size", "target", "copies"}
     return out.select(*(F.col(f"row.`{c}`").alias(_free(c, taken)) for c in keep), "size", "source_size", "target", copies)
 
