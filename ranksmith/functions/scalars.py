@@ -1,4 +1,4 @@
-"""Scalar functions as Columns."""
+"""Scalar functions as Columns."""
 
 from __future__ import annotations
 
@@ -87,3 +87,39 @@ def base64url(c: Column) -> Column:
 
 def percent_encoded(c: Column) -> Column:
     return F.replace(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")), F.lit("%7E"), F.lit("~"))
+
+
+def move_code(uci: Column) -> Column:
+    """A move in 14 bits: from, to, and the promotion (queen, rook, bishop, knight as 0 to 3);
+    0 is no move."""
+    at = lambda i: F.ascii(F.substring(uci, i, 1)) - 97 + 8 * (F.ascii(F.substring(uci, i + 1, 1)) - 49)
+    promotion = F.greatest(F.instr(F.lit("qrbn"), F.substring(uci, 5, 1)) - 1, F.lit(0))
+    return F.when(uci.isNull(), 0).otherwise(at(1) + 64 * at(3) + 4096 * promotion).cast("int")
+
+
+def _byte(raw: Column, i: int) -> Column:
+    return F.conv(F.hex(F.substring(raw, i + 1, 1)), 16, 10).cast("int")
+
+
+def time_spent(raw: Column) -> tuple[Column, Column, Column]:
+    """(hours, minutes, seconds) of a four-byte record: an unused byte, seconds, minutes, hours;
+    nulls if it is of another length or holds no time."""
+    valid = (F.octet_length(raw) == 4) & (_byte(raw, 1) < 60) & (_byte(raw, 2) < 60)
+    return tuple(F.when(valid, _byte(raw, i)) for i in (3, 2, 1))
+
+
+def profile_value(flag: Column, value: Column) -> Column:
+    """An entry of an evaluation profile: centipawns (flag 0) as they are, a mate in n plies
+    (flag 1) as 30000 less n with its side's sign, 32767 for none."""
+    mate = F.when(value > 0, 30000 - value).when(value < 0, -30000 - value)
+    return F.coalesce(F.when(flag == 0, value).when(flag == 1, mate), F.lit(32767)).cast("int")
+
+
+def mate_in_moves(flag: Column, value: Column) -> Column:
+    """Moves to mate of an entry in plies, signed; null if it holds no mate."""
+    return F.when((flag == 1) & (value != 0), F.signum(value) * F.ceil(F.abs(value) / 2)).cast("int")
+
+
+def digests(raw: Column) -> tuple[Column, Column]:
+    """(CRC-32, SHA-256 in hex) of bytes."""
+    return F.crc32(raw), F.sha2(raw, 256)

@@ -1,4 +1,5 @@
-"""Position statistics over first visits.
+"""Position statistics over first visits (W1-W8, A2-A6, A14, A15, J4, J6, J7,
+P21, P27, P29, P30, R6, U4).
 
 plies(number, ply, pos_key, move): ply 0 is the start, move is what was played from there and
 null at a line's end. games(number, outcome, white_elo, black_elo, y, m, d, ...): outcome is
@@ -15,8 +16,17 @@ TOP = 12
 TIERS = ((1, 5400), (3, 5200), (5, 4800))
 
 
+#: Longest move record that is indexed, in bytes.
+MAX_RECORD = 2 << 20
+
+
 def eligible(games: DataFrame) -> DataFrame:
-    return games.where("kind = 'game' AND NOT deleted AND NOT chess960")
+    """Games that are indexed; where the source tells, only those with a readable move record
+    (`readable`) of at most MAX_RECORD bytes (`record_bytes`)."""
+    games = games.where("kind = 'game' AND NOT deleted AND NOT chess960")
+    if "readable" in games.columns:
+        games = games.where("readable")
+    return games.where(F.col("record_bytes") <= MAX_RECORD) if "record_bytes" in games.columns else games
 
 
 def plies_of(lines: DataFrame, key: str = "number", at: tuple[str, ...] = ("ply",), move: str = "move") -> DataFrame:
@@ -45,10 +55,13 @@ def visits_of_lines(lines: DataFrame, *keep: str) -> DataFrame:
 def index_visits(lines: DataFrame, games: DataFrame, all_games: DataFrame) -> DataFrame:
     """The visits artefact: first visits with all that the explorer's answers need of a game, so
     that counts, moves and both top lists are one aggregation each, without a join."""
-    g = games.crossJoin(F.broadcast(anchor(all_games)))
-    total = rating_sum()
-    g = g.select("number", "outcome", average_rating().alias("rating"), tier(calendar_day(), total, F.col("anchor")).cast("int").alias("tier"), total.cast("int").alias("total"))
-    return visits_of_lines(lines.join(g, "number"), "outcome", "rating", "tier", "total")
+    return visits_of_lines(lines.join(carried(games, all_games), "number"), "outcome", "rating", "tier", "total")
+
+
+def carried(games: DataFrame, all_games: DataFrame) -> DataFrame:
+    """(number, outcome, rating, tier, total): what a visit carries of its game."""
+    g, total = games.crossJoin(F.broadcast(anchor(all_games))), rating_sum()  # one row
+    return g.select("number", "outcome", average_rating().alias("rating"), tier(calendar_day(), total, F.col("anchor")).cast("int").alias("tier"), total.cast("int").alias("total"))
 
 
 def with_games(visited: DataFrame, games: DataFrame | None, *columns: str) -> DataFrame:
@@ -71,12 +84,13 @@ def merge_counts(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
     return a.unionByName(b).groupBy(*(keys or ("pos_key",))).agg(*(F.sum(c).alias(c) for c in ("games", "white", "draws", "black")))
 
 
-def move_counts(visited: DataFrame, games: DataFrame | None = None) -> DataFrame:
-    """Per position and move of the first visit, in order: games descending, then the smallest
-    game number. A game that ends at a position adds no move."""
+def move_counts(visited: DataFrame, games: DataFrame | None = None, code: Column | None = None) -> DataFrame:
+    """Per position and move of the first visit, in order: games descending, then the move's code
+    (an answer of the index), or without one the smallest game number (an answer narrowed to
+    some games). A game that ends at a position adds no move."""
     m = with_games(visited.where("move IS NOT NULL"), games, "outcome")
     m = m.groupBy("pos_key", "move").agg(*_counts(), F.min("number").alias("first_number"))
-    return m.withColumn("rank", F.row_number().over(Window.partitionBy("pos_key").orderBy(F.col("games").desc(), "first_number")).cast("long"))
+    return m.withColumn("rank", F.row_number().over(Window.partitionBy("pos_key").orderBy(F.col("games").desc(), F.col("first_number") if code is None else code)).cast("long"))
 
 
 def average_rating() -> Column:
@@ -158,3 +172,30 @@ def departures(plies: DataFrame, bits: Column) -> DataFrame:
     each = gone.select("number", "ply", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit"), "_gone").where(F.getbit("_gone", F.col("bit")) == 1)
     first = each.groupBy("number", "bit").agg(F.min("ply").alias("ply"))
     return first.groupBy("number").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ply", "bit"))), lambda x: x["bit"].cast("string")), " ").alias("departed"))
+
+
+def allows(departed: Column, home: int, width: int = 16) -> Column:
+    """Whether a line that lost its home pawns in this order (an array of bit numbers) can reach
+    a position whose home pawns are `home`: the first it lost are exactly those that home lacks."""
+    missing = [i for i in range(width) if not home >> i & 1]
+    if not missing:
+        return F.lit(True)
+    return F.sort_array(F.slice(departed, 1, len(missing))) == F.array(*map(F.lit, missing))
+
+
+def structure_buckets(plies: DataFrame) -> DataFrame:
+    """(structure, number): which games hold a structure, each once. plies has `structure`."""
+    return plies.select("structure", "number").distinct()
+
+
+def games_by_structure(plies: DataFrame, buckets: DataFrame, targets: DataFrame) -> DataFrame:
+    """(pos_key, number, ply): games that reach the targets (pos_key, structure) and where first.
+    Candidates are the games of the target's bucket; only their lines are compared by key."""
+    candidates = targets.select("pos_key", "structure").distinct().join(buckets, "structure").select("pos_key", "number")
+    return plies.join(candidates, ["number", "pos_key"]).groupBy("pos_key", "number").agg(F.min("ply").alias("ply"))
+
+
+def acknowledged(members: DataFrame, found: DataFrame) -> DataFrame:
+    """One row: games of the position or fragment before the search, and the total with it."""
+    kept = found.select("number", F.lit(True).alias("_kept"))
+    return members.select("number").join(kept, "number", "left").agg(F.count("*").alias("games"), F.count_if("_kept").alias("total"))

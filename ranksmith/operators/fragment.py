@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from ..plans.grammar import BadRequest
 
 KINDS = "pnbrqk"
+#: Counts of a mask row end here: as many or more.
+MOST = 15
 BOARDS = tuple(s + k for s in "wb" for k in KINDS)
 _PIECES = re.compile(r"([PNBRQKpnbrqk])([a-h][1-8])$")
 
@@ -136,10 +138,11 @@ def first_run(plies: DataFrame, hit: Column, length: int = 1, first: int = 1, la
 
 
 def masks(plies: DataFrame) -> DataFrame:
-    """One row a game: union of each board over its line, least and most of each kind."""
+    """One row a game: union of each board over its line, least and most of each kind, 15 being
+    15 or more."""
     aggs = []
     for b in BOARDS:
-        aggs += [F.bit_or(b).alias(b), F.min(F.bit_count(b)).cast("tinyint").alias(f"least_{b}"), F.max(F.bit_count(b)).cast("tinyint").alias(f"most_{b}")]
+        aggs += [F.bit_or(b).alias(b), *(F.least(f(F.bit_count(b)), F.lit(MOST)).cast("tinyint").alias(f"{n}_{b}") for n, f in (("least", F.min), ("most", F.max)))]
     return plies.groupBy("number").agg(*aggs)
 
 
@@ -151,7 +154,7 @@ def possible(patterns: list[Pattern], ranges: dict[str, tuple[int, int]]) -> Col
         if p.any_of:
             parts.append(reduce(or_, (_on(b, s) != 0 for b, s in p.any_of.items())))
         one.append(reduce(and_, parts, F.lit(True)))
-    m = [(F.col(f"least_{b}") <= hi) & (F.col(f"most_{b}") >= lo) for b, (lo, hi) in ranges.items()]
+    m = [(F.col(f"least_{b}") <= hi) & (F.col(f"most_{b}") >= min(lo, MOST)) for b, (lo, hi) in ranges.items()]
     return reduce(and_, m, reduce(or_, one))
 
 
@@ -161,3 +164,9 @@ def search(plies: DataFrame, look="", no_white="", no_black="", any_of="", exclu
     if game_masks is not None:
         plies = plies.join(game_masks.where(possible(ps, ranges)).select("number"), "number", "left_semi")
     return first_run(plies, matches(ps, ranges), length, first, last, F.col("move_number") if "move_number" in plies.columns else None)
+
+
+def structure() -> Column:
+    """A hash of what only a pawn move or a capture changes: each side's pawns, and its pieces by
+    kind. Equal structures have equal hashes; an answer compares positions too."""
+    return F.xxhash64("wp", "bp", *(F.bit_count(side + kind) for kind in "nbrq" for side in "wb"))

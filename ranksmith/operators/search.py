@@ -1,4 +1,4 @@
-"""Records joined with their dimensions, searched, sorted and listed (S3, S4, J1-J5, R1, R2, R7,
+"""Records joined with their dimensions, searched, sorted and listed (S2-S4, J1-J5, R8, R1, R2, R7,
 O1-O12, U1-U3, A1)."""
 
 from __future__ import annotations
@@ -128,3 +128,23 @@ def rows(found: DataFrame) -> DataFrame:
         *(F.when(game, F.greatest(F.col(c), F.lit(0))).otherwise(0).alias(c) for c in ("white_elo", "black_elo")),
         F.when(dated, F.col("moves")).otherwise(0).alias("moves"),
     )
+
+
+#: Widths of a head's fields: those of any record, and those of games.
+HEAD = {"annotator_id": "int"}
+GAME_HEAD = {"white_id": "int", "black_id": "int", "tournament_id": "int", "white_elo": "smallint", "black_elo": "smallint", "round": "smallint", "subround": "smallint"}
+
+
+def heads(records: DataFrame) -> DataFrame:
+    """The slim projection of records that a pass over all of them reads, with `fits`: whether
+    every value of the record's kind fits its field and reads back the same. A collection with
+    a record that does not is searched over its full records."""
+    game, dated = F.col("kind") == "game", F.col("kind") != "text"
+    slim = lambda c, t: F.col(c).try_cast(t)
+    same = lambda c, t: slim(c, t).eqNullSafe(F.col(c))
+    fits = same("moves", "smallint") | ~dated
+    for c, t in HEAD.items():
+        fits = fits & same(c, t)
+    for c, t in GAME_HEAD.items():
+        fits = fits & (same(c, t) | ~game)
+    return records.select("number", "kind", "deleted", *(slim(c, t).alias(c) for c, t in (HEAD | GAME_HEAD | {"moves": "smallint"}).items()), "y", "m", "d", "eco", "result", fits.alias("fits"))

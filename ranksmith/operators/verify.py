@@ -1,8 +1,8 @@
-"""Verification of replayed lines and counts of a database."""
+"""Verification of replayed lines and counts of a database."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .search import Database, rows
@@ -39,6 +39,26 @@ def failures(lines: DataFrame, limit: int = FAILURES) -> DataFrame:
     return lines.where("NOT complete").select("number", F.size("ucis").alias("ply")).orderBy("number").limit(limit)
 
 
+#: States of a listed database, in the order in which they are reported.
+STATES = ("ready", "opening", "missing", "cloudOnly", "downloading", "unsupported", "unreadable")
+
+
+def state_counts(databases: DataFrame) -> DataFrame:
+    """One row: how many databases are in each state."""
+    return databases.agg(*(F.count_if(F.col("state") == s).alias(s) for s in STATES))
+
+
+def latencies(times: DataFrame, label: str, value: str) -> DataFrame:
+    """(label, n, median, p95, max): the values at places n // 2 and n * 95 // 100 in order, from
+    0. Values are counted first, so that only distinct ones are put in order. Nulls are left out."""
+    each = times.where(F.col(value).isNotNull()).groupBy(label, value).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(label)
+    each = each.withColumn("_to", F.sum("_c").over(w.orderBy(value))).withColumn("n", F.sum("_c").over(w))
+    at = lambda place: F.min(F.when(F.col("_to") > place, F.col(value)))
+    n = F.col("n")
+    return each.groupBy(label, "n").agg(at(F.floor(n / 2)).alias("median"), at(F.floor(n * 95 / 100)).alias("p95"), F.max(value).alias("max"))
+
+
 def json_rows(found: DataFrame) -> DataFrame:
     """List rows as JSON objects."""
     r = rows(found)

@@ -140,3 +140,26 @@ every AS (
 games AS (SELECT * FROM every WHERE kind = 'game' AND NOT deleted AND NOT chess960),
 lines AS (SELECT p.* FROM plies p JOIN games USING (number)),
 visits AS (SELECT number, pos_key, min(ply) AS ply, arg_min(coalesce(move, '-'), ply) AS move FROM lines GROUP BY ALL)"""
+
+
+def boards(plies: DataFrame) -> DataFrame:
+    """plies with made-up pieces: a position is its key and its ply modulo 16, and each board has
+    one square by a multiple of that number and at times a second one. A square may have several."""
+    from ..operators.fragment import BOARDS, structure
+
+    key = F.col("pos_key") * 16 + F.col("ply") % 16
+    out = plies.select("number", "ply", key.alias("pos_key"))
+    for i, board in enumerate(BOARDS):
+        k = "pos_key"
+        out = out.withColumn(board, F.expr(f"shiftleft(1L, int(({k} * 7 + {11 * i}) % 63)) | ((({k} >> {4 + i % 4}) & 1) * shiftleft(1L, int(({k} * {2 * i + 3} + {5 * i}) % 63)))"))
+    return out.withColumn("structure", structure())
+
+
+_BOARDS = ", ".join(
+    f"(1::BIGINT << ((pos_key * 7 + {11 * i}) % 63)::INT) | (((pos_key >> {4 + i % 4}) & 1) * (1::BIGINT << ((pos_key * {2 * i + 3} + {5 * i}) % 63)::INT)) AS {side + kind}"
+    for i, (side, kind) in enumerate((side, kind) for side in "wb" for kind in "pnbrqk")
+)
+#: Continues SEQ.
+PIECES = f""",
+k AS (SELECT number, ply, pos_key * 16 + ply % 16 AS pos_key FROM lines),
+b AS (SELECT number, ply, pos_key, {_BOARDS} FROM k)"""

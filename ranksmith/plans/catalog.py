@@ -7,22 +7,30 @@ from functools import partial
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import chess, scalars
+from ..functions import chess, scalars, signs
 from ..operators import explorer, fragment, links, search, suggest, verify
-from ..sources import pgn, synthetic
+from ..sources import databases, pgn, synthetic
 from . import adapters
-from .adapters import REC, SEQ
+from .adapters import PIECES, REC, SEQ
+from .store import stored
 
 LISTED = {"white", "black", "event", "annotator"}
 
 
+def _db(spark, sf_dir: str) -> search.Database:
+    db = adapters.tpch(spark, sf_dir)
+    made = db.records
+    db.records = stored(spark, sf_dir, "records", ("orders", "lineitem", "customer", "supplier"), lambda: made, ("number",))
+    return db
+
+
 def _search(text: str, spark, sf_dir: str) -> DataFrame:
-    found, _ = search.search(adapters.tpch(spark, sf_dir), text)
+    found, _ = search.search(_db(spark, sf_dir), text)
     return found.select("number")
 
 
 def _sorted(text: str, spark, sf_dir: str) -> DataFrame:
-    return search.ranked(*search.search(adapters.tpch(spark, sf_dir), text)).select("number", "rank")
+    return search.ranked(*search.search(_db(spark, sf_dir), text)).select("number", "rank")
 
 
 def _rec(where: str, select: str = "number", tail: str = "") -> str:
@@ -84,31 +92,38 @@ ORDERS = {
 
 
 def _seq(spark, sf_dir):
-    every, plies = adapters.sequences(spark, sf_dir)
+    """(all games, those indexed, their plies by game, their visits by position)."""
+    all_games, all_plies = adapters.sequences(spark, sf_dir)
+    every = stored(spark, sf_dir, "games", ("events",), lambda: all_games, ("number",))
     games = explorer.eligible(every)
-    plies = plies.join(games.select("number"), "number", "left_semi")
-    return every, games, plies, explorer.visits(plies)
+    plies = stored(spark, sf_dir, "plies", ("events",), lambda: all_plies.join(games.select("number"), "number", "left_semi"), ("number", "ply"))
+    index = stored(spark, sf_dir, "visits", ("events",), lambda: explorer.visits(plies).join(explorer.carried(games, every), "number"), ("pos_key", "number"))
+    return every, games, plies, index
+
+
+def _pieces(spark, sf_dir):
+    return adapters.boards(_seq(spark, sf_dir)[2])
 
 
 def _q_window(spark, sf_dir):
-    found, by = search.search(adapters.tpch(spark, sf_dir), "result:1-0 sort:date", wanted=LISTED)
+    found, by = search.search(_db(spark, sf_dir), "result:1-0 sort:date", wanted=LISTED)
     return search.ranked(search.rows(search.window(found, by, 50, 100)), [F.col("date").desc(), F.col("number")]).select("number", "white", "black", "event", "date")
 
 
 def _q_rows(spark, sf_dir):
-    return search.rows(search.resolved(adapters.tpch(spark, sf_dir), LISTED))
+    return search.rows(search.resolved(_db(spark, sf_dir), LISTED))
 
 
 def _q_point(spark, sf_dir):
-    return adapters.tpch(spark, sf_dir).records.where("number = 42").select("number", "kind", "date_text")
+    return _db(spark, sf_dir).records.where("number = 42").select("number", "kind", "date_text")
 
 
 def _q_range(spark, sf_dir):
-    return adapters.tpch(spark, sf_dir).records.where("number BETWEEN 1000 AND 1199").select("number", "kind", "moves")
+    return _db(spark, sf_dir).records.where("number BETWEEN 1000 AND 1199").select("number", "kind", "moves")
 
 
 def _q_total(spark, sf_dir):
-    return search.search(adapters.tpch(spark, sf_dir), "elo:>2000 -tc:blitz")[0].agg(F.count("*").alias("total"))
+    return search.search(_db(spark, sf_dir), "elo:>2000 -tc:blitz")[0].agg(F.count("*").alias("total"))
 
 
 def _q_featured(spark, sf_dir):
@@ -119,7 +134,16 @@ def _q_featured(spark, sf_dir):
 def _q_narrowed(spark, sf_dir):
     _, games, _, v = _seq(spark, sf_dir)
     some = games.where("white_elo >= 2000")
-    return explorer.position_counts(v, some)
+    return explorer.position_counts(v.join(some.select("number"), "number", "left_semi"))
+
+
+def _q_narrowed_moves(spark, sf_dir):
+    _, games, _, v = _seq(spark, sf_dir)
+    return explorer.move_counts(v.join(games.where("white_elo >= 2000").select("number"), "number", "left_semi"))
+
+
+def _q_moves(spark, sf_dir):
+    return explorer.move_counts(_seq(spark, sf_dir)[3], code=F.col("move"))
 
 
 def _q_lookup(spark, sf_dir):
@@ -128,7 +152,7 @@ def _q_lookup(spark, sf_dir):
 
 
 def _members(spark, sf_dir, key):
-    return explorer.games_of_position(_seq(spark, sf_dir)[2], key).select("number")
+    return explorer.games_of_position(_seq(spark, sf_dir)[3], key).select("number")
 
 
 def _q_run(spark, sf_dir):
@@ -136,18 +160,91 @@ def _q_run(spark, sf_dir):
     return fragment.first_run(plies, F.col("pos_key").bitwiseAND(F.lit(1)) == 1, length=3, first=4, last=60, move_number=F.col("ply"))
 
 
-def _bits(cond, spark, sf_dir):
-    return fragment.first_run(_seq(spark, sf_dir)[2], F.expr(cond), move_number=F.col("ply"))
+#: name -> (arguments of the fragment search, the condition in SQL)
+FRAGMENTS = {
+    "p22_look": ({"look": "Pg2,kb2"}, "(wp & {g2}) <> 0 AND (bk & {b2}) <> 0"),
+    "p22_or": ({"any_of": "Nf3,Bc4,rh1"}, "((wn & {f3}) | (wb & {c4}) | (br & {h1})) <> 0"),
+    "p22_exclude": ({"look": "Qd1", "exclude": "qd8,pe5", "no_black": "a1,b1"}, "(wq & {d1}) <> 0 AND (bq & {d8}) = 0 AND (bp & {e5}) = 0 AND ((bp | bn | bb | br | bq | bk) & ({a1} | {b1})) = 0"),
+    "p23_files": ({"look": "Rb5", "mirror": "horizontal"}, "(wr & ({b5} | {g5})) <> 0"),
+    "p23_ranks": ({"look": "Nb4", "no_white": "c1", "mirror": "vertical"}, "((wn & {b4}) <> 0 AND ((wp | wn | wb | wr | wq | wk) & {c1}) = 0) OR ((bn & {b5}) <> 0 AND ((bp | bn | bb | br | bq | bk) & {c8}) = 0)"),
+    "p23_both": ({"look": "Ka2", "mirror": "both"}, "(wk & ({a2} | {h2})) <> 0 OR (bk & ({a7} | {h7})) <> 0"),
+    "p24_material": ({"material_text": "P2,n..1,Q1..2,r2.."}, "bit_count(wp) = 2 AND bit_count(bn) <= 1 AND bit_count(wq) BETWEEN 1 AND 2 AND bit_count(br) >= 2"),
+    "p26_masks": ({"look": "Pf3,nd5", "material_text": "B2"}, "(wp & {f3}) <> 0 AND (bn & {d5}) <> 0 AND bit_count(wb) = 2"),
+}
+
+
+def _fragment(name, spark, sf_dir):
+    """With the masks of the games, which must not change what is found."""
+    plies = _pieces(spark, sf_dir)
+    return fragment.search(plies, **FRAGMENTS[name][0], game_masks=fragment.masks(plies))
+
+
+def _fragment_sql(cond: str) -> str:
+    named = {f + r: f"{1 << (8 * i + j)}::BIGINT" for i, r in enumerate("12345678") for j, f in enumerate("abcdefgh")}
+    return f"WITH {SEQ}{PIECES} SELECT number, min(ply)::INT AS ply FROM b WHERE {cond.format(**named)} GROUP BY number"
 
 
 def _q_masks(spark, sf_dir):
-    return _seq(spark, sf_dir)[2].groupBy("number").agg(F.bit_or("pos_key").alias("held"), F.min(F.bit_count("pos_key")).cast("int").alias("least"), F.max(F.bit_count("pos_key")).cast("int").alias("most"))
+    return fragment.masks(_pieces(spark, sf_dir)).select("number", "wp", "bk", "least_wp", "most_wp", "least_bk", "most_bk")
 
 
-def _q_masked(spark, sf_dir):
-    plies = _seq(spark, sf_dir)[2]
-    may = plies.groupBy("number").agg(F.bit_or("pos_key").alias("held")).where("held & 12 = 12").select("number")
-    return fragment.first_run(plies.join(may, "number", "left_semi"), F.expr("pos_key & 12 = 12"), move_number=F.col("ply"))
+def _q_buckets(spark, sf_dir):
+    plies = _pieces(spark, sf_dir)
+    targets = plies.where("pos_key IN (5, 77, 130)").select("pos_key", "structure").distinct()
+    return explorer.games_by_structure(plies, explorer.structure_buckets(plies), targets)
+
+
+def _q_structure(spark, sf_dir):
+    return explorer.structure_buckets(_pieces(spark, sf_dir)).groupBy("number").agg(F.count("*").alias("structures"))
+
+
+def _q_departed(spark, sf_dir):
+    d = explorer.departures(_seq(spark, sf_dir)[2], F.expr("15 - pos_key"))
+    return d.where(explorer.allows(F.split("departed", " ").cast("array<int>"), 0b0110, 4)).select("number")
+
+
+def _q_acknowledged(spark, sf_dir):
+    _, games, _, v = _seq(spark, sf_dir)
+    members = explorer.games_of_position(v, 6)
+    return explorer.acknowledged(members, games.where("white_elo >= 2000"))
+
+
+def _q_heads(spark, sf_dir):
+    records = _db(spark, sf_dir).records.withColumn("moves", F.col("moves") * 997).withColumn("white_id", F.col("white_id") * 5_000_011)
+    return search.heads(records).select("number", "fits")
+
+
+def _q_states(spark, sf_dir):
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    return verify.state_counts(s.select(F.element_at(F.array(*map(F.lit, (*verify.STATES, "other"))), (F.col("s_suppkey") % 8 + 1).cast("int")).alias("state")))
+
+
+def _q_latencies(spark, sf_dir):
+    return verify.latencies(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_returnflag", "l_quantity")
+
+
+def _q_union_first(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    k = F.col("o_orderkey")
+    entries = lambda m: o.where(k % m == 0).select(F.concat(F.lit("/games/"), (k % 4099).cast("string")).alias("path"), F.concat(F.lit(f"{m}-"), k.cast("string")).alias("name"), k.alias("pos"))
+    return databases.first_of(entries(7), entries(5), entries(2))
+
+
+def _q_signs(spark, sf_dir):
+    """Titles with signs, letters that were signs, and layout marks put in by number."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    k = F.col("p_partkey")
+    put = F.element_at(F.array(*map(F.lit, ("\ue028d4", "Кл\ue008ев", "\ue02d\ue02dStartBracket\ue02dx\ue02dEndBracket\ue02d", "\ue005!", "×ернов", "Л×c3", "\ue020"))), (k % 7 + 1).cast("int"))
+    return p.select(k.alias("id"), signs.signs_read(F.concat(put, F.lit(" "), "p_name")).alias("title"), signs.language_code((k % 300).cast("int")).alias("language"))
+
+
+def _q_profile(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    k = F.col("p_partkey")
+    flag, value = (k % 3).cast("int"), (k % 41 - 20).cast("int")
+    h, m, s = scalars.time_spent(F.unhex(F.substring(F.md5(k.cast("string")), 1, 8)))
+    sha = scalars.digests(F.col("p_name").cast("binary"))[1]
+    return p.select(k.alias("id"), scalars.profile_value(flag, value).alias("profile"), scalars.mate_in_moves(flag, value).alias("mate"), h.alias("h"), m.alias("m"), s.alias("s"), sha.alias("sha"))
 
 
 def _q_line(spark, sf_dir):
@@ -156,7 +253,7 @@ def _q_line(spark, sf_dir):
 
 
 def _q_text_links(spark, sf_dir):
-    db = adapters.tpch(spark, sf_dir)
+    db = _db(spark, sf_dir)
     games = search.resolved(db, {"white", "black", "event"})
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
     k = F.col("c_custkey")
@@ -170,13 +267,13 @@ def _q_text_links(spark, sf_dir):
 
 
 def _q_title_links(spark, sf_dir):
-    db = adapters.tpch(spark, sf_dir)
+    db = _db(spark, sf_dir)
     ln = spark.range(0, 20).select(F.col("id").alias("link_id"), F.concat(F.lit(" Essay "), F.col("id").cast("string"), F.lit(" ")).alias("link_title"))
     return links.title_links(ln, db.records)
 
 
 def _q_twins(spark, sf_dir):
-    a = adapters.tpch(spark, sf_dir).records.select("number", "result", "eco", "moves")
+    a = _db(spark, sf_dir).records.select("number", "result", "eco", "moves")
     n = F.col("number")
     b = a.where(n % 101 != 0).select(n, F.when(n % 50 == 0, "*").otherwise(F.col("result")).alias("result"), F.when(n % 75 == 0, None).otherwise(F.col("eco")).alias("eco"), F.least("moves", F.lit(40)).alias("moves"))
     return links.twin_differences(a, b.where(n % 2 == 1).unionByName(b.where(n % 2 == 0)), ["result", "eco", "moves"])
@@ -188,7 +285,7 @@ def _q_census(spark, sf_dir):
 
 
 def _q_scalars(spark, sf_dir):
-    r = adapters.tpch(spark, sf_dir).records
+    r = _db(spark, sf_dir).records
     k = F.col("number")
     code = k * 37 % 65536
     y, m, d = scalars.packed_date(k * 613 % (1 << 21))
@@ -236,7 +333,7 @@ def _q_merged(spark, sf_dir):
 
 
 def _suggested(field, prefix, spark, sf_dir):
-    return suggest.suggest(adapters.tpch(spark, sf_dir), field, prefix)
+    return suggest.suggest(_db(spark, sf_dir), field, prefix)
 
 
 def _suggest_sql(source: str, prefix: str) -> str:
@@ -269,9 +366,10 @@ MORE = {
     "a08_suggest_annotator": (partial(_suggested, "annotator", ""), _suggest_sql("SELECT number, annotator AS name FROM rec WHERE kind = 'game'", "")),
     "a09_name_groups": (_q_name_groups, 'SELECT p_name AS name, min(p_partkey) AS "group", count(*) AS ids FROM part WHERE p_name <> \'\' GROUP BY p_name'),
     "a10_name_ranks": (_q_name_ranks, "WITH n AS (SELECT upper(p_name) AS name FROM part UNION SELECT p_name FROM part UNION SELECT n_name FROM nation) SELECT name, dense_rank() OVER (ORDER BY lower(name)) AS rank FROM n WHERE name <> ''"),
-    "w01_visits": (lambda s, d: _seq(s, d)[3], _e("SELECT number, pos_key, ply, nullif(move, '-') AS move FROM visits")),
+    "w01_visits": (lambda s, d: _seq(s, d)[3].select("number", "pos_key", "ply", "move"), _e("SELECT number, pos_key, ply, nullif(move, '-') AS move FROM visits")),
     "a02_position_counts": (lambda s, d: explorer.position_counts(_seq(s, d)[3], _seq(s, d)[1]), _e(f"SELECT pos_key, {_COUNTS} FROM visits JOIN games USING (number) GROUP BY pos_key")),
-    "a03_moves": (lambda s, d: explorer.move_counts(_seq(s, d)[3], _seq(s, d)[1]), _e(f", c AS (SELECT pos_key, move, {_COUNTS}, min(number) AS first_number FROM visits JOIN games USING (number) WHERE move <> '-' GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY pos_key ORDER BY games DESC, first_number) AS rank FROM c")),
+    "a03_moves": (_q_moves, _e(f", c AS (SELECT pos_key, move, {_COUNTS}, min(number) AS first_number FROM visits JOIN games USING (number) WHERE move <> '-' GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY pos_key ORDER BY games DESC, move) AS rank FROM c")),
+    "a04_narrowed_moves": (_q_narrowed_moves, _e(f", c AS (SELECT pos_key, move, {_COUNTS}, min(number) AS first_number FROM visits JOIN games USING (number) WHERE move <> '-' AND white_elo >= 2000 GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY pos_key ORDER BY games DESC, first_number) AS rank FROM c")),
     "a05_top12": (lambda s, d: explorer.top_games(_seq(s, d)[3], _seq(s, d)[1]), _e(", r AS (SELECT pos_key, number, least(CASE WHEN white_elo > 0 AND black_elo > 0 THEN (white_elo + black_elo) // 2 ELSE white_elo + black_elo END, 4095)::INT AS rating FROM visits JOIN games USING (number)), t AS (SELECT *, row_number() OVER (PARTITION BY pos_key ORDER BY rating DESC, number DESC) AS rank FROM r) SELECT pos_key, rank, number, rating FROM t WHERE rank <= 12")),
     "a06_featured12": (_q_featured, _e(f", a AS (SELECT max({_DAY}) AS anchor FROM every WHERE kind = 'game' AND NOT deleted), r AS (SELECT pos_key, number, {_DAY} AS day, (CASE WHEN white_elo <= 0 THEN 1500 ELSE white_elo END + CASE WHEN black_elo <= 0 THEN 1500 ELSE black_elo END)::INT AS total, anchor FROM visits JOIN games USING (number), a), s AS (SELECT *, CASE WHEN day >= anchor - INTERVAL 1 YEAR AND total >= 5400 THEN 3 WHEN day >= anchor - INTERVAL 3 YEAR AND total >= 5200 THEN 2 WHEN day >= anchor - INTERVAL 5 YEAR AND total >= 4800 THEN 1 ELSE 0 END::INT AS tier FROM r), t AS (SELECT *, row_number() OVER (PARTITION BY pos_key ORDER BY tier DESC, total DESC, number DESC) AS rank FROM s) SELECT pos_key, rank, number, tier, total FROM t WHERE rank <= 12")),
     "a15_anchor": (lambda s, d: explorer.anchor(_seq(s, d)[0]), _e(f"SELECT max({_DAY}) AS anchor FROM every WHERE kind = 'game' AND NOT deleted")),
@@ -279,24 +377,30 @@ MORE = {
     "w05_depth": (lambda s, d: explorer.visits(_seq(s, d)[2], 20), _e(", v AS (SELECT number, pos_key, min(ply) AS ply, arg_min(coalesce(move, '-'), ply) AS move FROM lines WHERE ply <= 20 GROUP BY ALL) SELECT number, pos_key, ply, nullif(move, '-') AS move FROM v")),
     "j04_narrowed": (_q_narrowed, _e(f"SELECT pos_key, {_COUNTS} FROM visits JOIN games USING (number) WHERE white_elo >= 2000 GROUP BY pos_key")),
     "j06_batch_lookup": (_q_lookup, _e(f", t AS (SELECT unnest([3, 5, 99])::BIGINT AS pos_key), c AS (SELECT pos_key, {_COUNTS} FROM visits JOIN games USING (number) GROUP BY pos_key) SELECT t.pos_key, coalesce(games, 0) AS games, coalesce(white, 0) AS white, coalesce(draws, 0) AS draws, coalesce(black, 0) AS black FROM t LEFT JOIN c USING (pos_key)")),
-    "p21_games_of_position": (lambda s, d: explorer.games_of_position(_seq(s, d)[2], 6), _e("SELECT number, min(ply) AS ply FROM lines WHERE pos_key = 6 GROUP BY number")),
+    "p21_games_of_position": (lambda s, d: explorer.games_of_position(_seq(s, d)[3], 6), _e("SELECT number, min(ply) AS ply FROM lines WHERE pos_key = 6 GROUP BY number")),
     "u01_union": (lambda s, d: _members(s, d, 3).union(_members(s, d, 5)).distinct(), _e("SELECT DISTINCT number FROM lines WHERE pos_key IN (3, 5)")),
     "u02_intersect": (lambda s, d: _members(s, d, 3).intersect(_members(s, d, 5)), _e("SELECT number FROM lines WHERE pos_key = 3 INTERSECT SELECT number FROM lines WHERE pos_key = 5")),
     "u03_complement": (lambda s, d: _members(s, d, 3).join(_members(s, d, 5), "number", "left_anti"), _e("SELECT number FROM lines WHERE pos_key = 3 EXCEPT SELECT number FROM lines WHERE pos_key = 5")),
-    "p22_look": (partial(_bits, "pos_key & 6 = 6"), _run_sql("(pos_key & 6) = 6")),
-    "p22_or": (partial(_bits, "pos_key & 9 != 0"), _run_sql("(pos_key & 9) <> 0")),
-    "p22_exclude": (partial(_bits, "pos_key & 3 = 0 AND ply > 0"), _run_sql("(pos_key & 3) = 0 AND ply > 0")),
     "p25_run": (_q_run, _run_sql("(pos_key & 1) = 1 AND ply BETWEEN 4 AND 60", 3)),
-    "p26_masks": (_q_masked, _run_sql("(pos_key & 12) = 12")),
-    "a13_mask_rows": (_q_masks, _e("SELECT number, bit_or(pos_key) AS held, min(bit_count(pos_key))::INT AS least, max(bit_count(pos_key))::INT AS most FROM lines GROUP BY number")),
+    "a13_mask_rows": (_q_masks, f"WITH {SEQ}{PIECES} SELECT number, bit_or(wp) AS wp, bit_or(bk) AS bk, min(bit_count(wp))::TINYINT AS least_wp, max(bit_count(wp))::TINYINT AS most_wp, min(bit_count(bk))::TINYINT AS least_bk, max(bit_count(bk))::TINYINT AS most_bk FROM b GROUP BY number"),
+    "j07_structure_join": (_q_buckets, f"WITH {SEQ}{PIECES} SELECT pos_key, number, min(ply) AS ply FROM b WHERE pos_key IN (5, 77, 130) GROUP BY pos_key, number"),
+    "f22_structures": (_q_structure, f"WITH {SEQ}{PIECES}, s AS (SELECT DISTINCT number, wp, bp, {', '.join(f'bit_count({side + kind}) AS n_{side + kind}' for kind in 'nbrq' for side in 'wb')} FROM b) SELECT number, count(*) AS structures FROM s GROUP BY number"),
+    "p27_departure_order": (_q_departed, _e(", s AS (SELECT number, ply, lag(15 - pos_key) OVER (PARTITION BY number ORDER BY ply) AS was, 15 - pos_key AS now FROM lines), f AS (SELECT number, bit, min(ply) AS ply FROM s, unnest([0, 1, 2, 3]) AS t(bit) WHERE ((was >> bit) & 1) = 1 AND ((now >> bit) & 1) = 0 GROUP BY number, bit), r AS (SELECT number, bit, row_number() OVER (PARTITION BY number ORDER BY ply, bit) AS i FROM f) SELECT number FROM r WHERE i <= 2 GROUP BY number HAVING count(*) = 2 AND bool_and(bit IN (0, 3))")),
+    "r06_acknowledged": (_q_acknowledged, _e("SELECT count(DISTINCT number) AS games, count(DISTINCT CASE WHEN white_elo >= 2000 THEN number END) AS total FROM lines JOIN games USING (number) WHERE pos_key = 6")),
+    "r08_heads": (_q_heads, f"WITH {REC} SELECT number, (kind = 'text' OR moves * 997 <= 32767) AND (kind <> 'game' OR o_custkey::BIGINT * 2 * 5000011 <= 2147483647) AS fits FROM rec JOIN orders ON o_orderkey + 1 = number"),
+    "a16_states": (_q_states, "SELECT " + ", ".join(f'count_if(s_suppkey % 8 = {i})::BIGINT AS "{s}"' for i, s in enumerate(verify.STATES)) + " FROM supplier"),
+    "a19_latencies": (_q_latencies, "WITH l AS (SELECT l_returnflag, list(l_quantity ORDER BY l_quantity) AS v, count(l_quantity) AS n FROM lineitem WHERE l_quantity IS NOT NULL GROUP BY l_returnflag) SELECT l_returnflag, n, v[n // 2 + 1] AS median, v[n * 95 // 100 + 1] AS p95, v[n] AS max FROM l"),
+    "u05_union_first": (_q_union_first, "WITH e AS (SELECT '/games/' || (o_orderkey % 4099) AS path, m || '-' || o_orderkey AS name, i::INT AS list, o_orderkey AS pos FROM orders, (VALUES (0, 7), (1, 5), (2, 2)) AS t(i, m) WHERE o_orderkey % m = 0) SELECT path, name, list, pos FROM e QUALIFY row_number() OVER (PARTITION BY path ORDER BY list, pos, name) = 1"),
+    "s16_signs": (_q_signs, "SELECT p_partkey AS id, (['♘d4', 'Клюев', '(x)', '!', 'Чернов', 'Л×c3', chr(57376)])[p_partkey % 7 + 1] || ' ' || p_name AS title, CASE p_partkey % 300 WHEN 0 THEN 'en' WHEN 1 THEN 'de' WHEN 2 THEN 'fr' WHEN 3 THEN 'es' WHEN 4 THEN 'it' WHEN 5 THEN 'nl' WHEN 6 THEN 'pt' WHEN 7 THEN 'any' WHEN 12 THEN 'pl' WHEN 18 THEN 'el' ELSE CASE WHEN p_partkey % 300 >= 256 THEN 'cb-' || (p_partkey % 300 - 256) ELSE 'cb-l' || (p_partkey % 300) END END AS language FROM part"),
+    "f25_records": (_q_profile, "WITH x AS (SELECT p_partkey AS k, p_name, (p_partkey % 3)::INT AS flag, (p_partkey % 41 - 20)::INT AS v, md5(p_partkey::VARCHAR) AS d FROM part), t AS (SELECT *, ('0x' || substr(d, 3, 2))::INT AS s, ('0x' || substr(d, 5, 2))::INT AS m, ('0x' || substr(d, 7, 2))::INT AS h FROM x) SELECT k AS id, CASE WHEN flag = 0 THEN v WHEN flag = 1 AND v > 0 THEN 30000 - v WHEN flag = 1 AND v < 0 THEN -30000 - v ELSE 32767 END::INT AS profile, CASE WHEN flag = 1 AND v <> 0 THEN sign(v) * ((abs(v) + 1) // 2) END::INT AS mate, CASE WHEN s < 60 AND m < 60 THEN h END AS h, CASE WHEN s < 60 AND m < 60 THEN m END AS m, CASE WHEN s < 60 AND m < 60 THEN s END AS s, sha256(p_name) AS sha FROM t"),
     "r03_line": (_q_line, _e("SELECT number, string_agg(move, ' ' ORDER BY ply) AS line FROM lines WHERE move IS NOT NULL AND ply < 8 GROUP BY number")),
     "a14_structures": (_q_structures, _e(", s AS (SELECT number, pos_key & 3 AS structure, ply, lag(pos_key & 3) OVER (PARTITION BY number ORDER BY ply) AS b FROM lines WHERE ply > 20) SELECT number, structure, ply FROM s WHERE b IS NULL OR b <> structure")),
     "w08_departures": (_q_departures, _e(", s AS (SELECT number, ply, lag(15 - pos_key) OVER (PARTITION BY number ORDER BY ply) AS was, 15 - pos_key AS now FROM lines), g AS (SELECT number, ply, bit FROM s, unnest([0, 1, 2, 3]) AS t(bit) WHERE ((was >> bit) & 1) = 1 AND ((now >> bit) & 1) = 0), f AS (SELECT number, bit, min(ply) AS ply FROM g GROUP BY number, bit) SELECT number, string_agg(bit::VARCHAR, ' ' ORDER BY ply, bit) AS departed FROM f GROUP BY number")),
     "j08_text_links": (_q_text_links, f"WITH {REC}, l AS (SELECT c_custkey AS link_id, CASE WHEN c_custkey % 3 <> 0 THEN c_name ELSE '' END AS w, CASE WHEN c_custkey % 3 = 0 THEN 'Supplier#' || lpad((c_custkey % 7)::VARCHAR, 9, '0') ELSE '' END AS b FROM customer) SELECT link_id, min(number) AS number FROM l JOIN rec ON kind = 'game' AND number <= 100000 AND (w = '' OR w = white) AND (b = '' OR b = black) GROUP BY link_id"),
     "j09_title_links": (_q_title_links, f"WITH {REC} SELECT i AS link_id, min(number) AS number FROM range(20) AS t(i) JOIN rec ON kind = 'text' AND event = 'Essay ' || i GROUP BY i"),
     "j10_twin_diff": (_q_twins, f"WITH {REC}, a AS (SELECT number, result, nullif(eco, '') AS eco, moves FROM rec), b AS (SELECT number, CASE WHEN number % 50 = 0 THEN '*' ELSE result END AS result, CASE WHEN number % 75 = 0 THEN NULL ELSE eco END AS eco, least(moves, 40) AS moves FROM a WHERE number % 101 <> 0), j AS (SELECT a.number, CASE WHEN b.number IS NULL THEN 'only left' ELSE concat_ws(',', CASE WHEN a.result IS DISTINCT FROM b.result THEN 'result' END, CASE WHEN a.eco IS DISTINCT FROM b.eco THEN 'eco' END, CASE WHEN a.moves IS DISTINCT FROM b.moves THEN 'moves' END) END AS difference FROM a LEFT JOIN b USING (number)) SELECT * FROM j WHERE difference <> ''"),
-    "a17_verify": (lambda s, d: links.verify_counts(adapters.tpch(s, d).records), _rec("true", "count(*) AS records, count_if(kind = 'game')::BIGINT AS games, count_if(kind = 'text')::BIGINT AS texts, count_if(kind = 'analysis')::BIGINT AS analyses, count_if(deleted)::BIGINT AS deleted, count_if(chess960)::BIGINT AS chess960, count_if(eco = '')::BIGINT AS no_eco, count_if(contains(date_text, '?'))::BIGINT AS partial_dates, count_if(kind = 'game' AND white_elo <= 0 AND black_elo <= 0)::BIGINT AS unrated, sum(moves)::BIGINT AS full_moves")),
-    "b01_info": (lambda s, d: verify.info(adapters.tpch(s, d)), "SELECT (SELECT count(*) FROM orders) AS records, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS players, (SELECT count(*) FROM part) AS tournaments, (SELECT count(*) FROM nation) AS annotators"),
+    "a17_verify": (lambda s, d: links.verify_counts(_db(s, d).records), _rec("true", "count(*) AS records, count_if(kind = 'game')::BIGINT AS games, count_if(kind = 'text')::BIGINT AS texts, count_if(kind = 'analysis')::BIGINT AS analyses, count_if(deleted)::BIGINT AS deleted, count_if(chess960)::BIGINT AS chess960, count_if(eco = '')::BIGINT AS no_eco, count_if(contains(date_text, '?'))::BIGINT AS partial_dates, count_if(kind = 'game' AND white_elo <= 0 AND black_elo <= 0)::BIGINT AS unrated, sum(moves)::BIGINT AS full_moves")),
+    "b01_info": (lambda s, d: verify.info(_db(s, d)), "SELECT (SELECT count(*) FROM orders) AS records, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS players, (SELECT count(*) FROM part) AS tournaments, (SELECT count(*) FROM nation) AS annotators"),
     "a18_census": (_q_census, "SELECT event_type, hour(ts)::INT AS hour, count(*) AS items FROM events GROUP BY ALL"),
     "f_scalars": (_q_scalars, f"WITH {REC}, x AS (SELECT *, number * 37 % 65536 AS code, number::BIGINT * 613 % 2097152 AS p FROM rec) SELECT number, CASE WHEN code BETWEEN 128 AND 64127 THEN chr((65 + (code // 128 - 1) // 100)::INT) || lpad(((code // 128 - 1) % 100)::VARCHAR, 2, '0') END AS eco_of_code, (CASE WHEN p >> 9 > 0 THEN lpad((p >> 9)::VARCHAR, 4, '0') ELSE '????' END) || '.' || (CASE WHEN ((p >> 5) & 15) > 0 THEN lpad(((p >> 5) & 15)::VARCHAR, 2, '0') ELSE '??' END) || '.' || (CASE WHEN (p & 31) > 0 THEN lpad((p & 31)::VARCHAR, 2, '0') ELSE '??' END) AS date_of_pack, least(CASE WHEN white_elo > 0 AND black_elo > 0 THEN (white_elo + black_elo) // 2 ELSE white_elo + black_elo END, 4095)::INT AS average, nullif(y, 0) AS year, CASE WHEN number % 12 <= 0 THEN '' WHEN number % 5 > 0 THEN (number % 12) || '(' || (number % 5) || ')' ELSE (number % 12)::VARCHAR END AS round_of FROM x"),
     "f_tags": (_q_tags, "WITH x AS (SELECT o_orderkey AS k FROM orders), y AS (SELECT k, CASE WHEN k % 7 IN (0, 1) THEN 0 WHEN k % 7 = 2 THEN k % 9000 ELSE k % 5000 + 60 * (k % 40) END AS total FROM x) SELECT k AS id, CASE WHEN k % 7 = 0 THEN 128 WHEN total > 0 AND total <= 600 THEN 32 WHEN total > 0 AND total < 3600 THEN 64 ELSE 0 END::INT AS bits, CASE WHEN k % 12000 <= 9999 THEN k % 12000 ELSE 0 END::INT AS elo, rtrim(translate(base64(k::VARCHAR::BLOB), '+/', '-_'), '=') AS b64 FROM y"),
@@ -354,7 +458,7 @@ def queries() -> dict:
     for key in ORDERS:
         for way in ("asc", "desc"):
             out[f"o03_sort_{key.lower()}_{way}"] = partial(_sorted, f"-chess960 sort:{key}-{way}")
-    return out | {k: f for k, (f, _) in MORE.items()} | CHESS
+    return out | {k: f for k, (f, _) in MORE.items()} | {k: partial(_fragment, k) for k in FRAGMENTS} | CHESS
 
 
 def oracle_sql() -> dict[str, str]:
@@ -363,4 +467,4 @@ def oracle_sql() -> dict[str, str]:
         for way in ("asc", "desc"):
             by = ", ".join(f"{c} {way}" for c in cols)
             out[f"o03_sort_{key.lower()}_{way}"] = _rec("true", f"number, row_number() OVER (ORDER BY {by}, number) AS rank")
-    return out | {k: sql for k, (_, sql) in MORE.items()}
+    return out | {k: sql for k, (_, sql) in MORE.items()} | {k: _fragment_sql(cond) for k, (_, cond) in FRAGMENTS.items()}
