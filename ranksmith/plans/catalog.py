@@ -286,11 +286,11 @@ def _q_census(spark, sf_dir):
 
 def _q_scalars(spark, sf_dir):
     r = _db(spark, sf_dir).records
-    k = F.col("number")
+    k = F.col("number").cast("long")  # products of an int would overflow from 3.5 million records on
     code = k * 37 % 65536
     y, m, d = scalars.packed_date(k * 613 % (1 << 21))
     return r.select(
-        k,
+        "number",
         scalars.eco_text(code).alias("eco_of_code"),
         scalars.date_text(y, m, d).alias("date_of_pack"),
         explorer.average_rating().alias("average"),

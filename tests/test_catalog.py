@@ -32,6 +32,23 @@ def test_query(spark, duck, name):
     assert got == sorted((tuple(x[names.index(c)] for c in cols) for x in r.fetchall()), key=repr)
 
 
+def test_scalars_of_large_numbers(spark, tmp_path):
+    """Numbers of which products leave 32 bits, as in the driver's larger tables."""
+    import duckdb
+
+    c = duckdb.connect()
+    for t in "region nation customer supplier part orders lineitem events".split():
+        key = {"orders": "o_orderkey", "lineitem": "l_orderkey"}.get(t)
+        c.execute(f"COPY (SELECT * {f'REPLACE ({key} + 8_999_000 AS {key})' if key else ''} FROM '{DATA}/{t}.parquet') TO '{tmp_path}/{t}.parquet'")
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    df = catalog.queries()["f_scalars"](spark, str(tmp_path))
+    assert dict(df.dtypes)["number"] == "int"
+    r = c.execute(SQL["f_scalars"])
+    names = [d[0] for d in r.description]
+    got = sorted((tuple(x[n] for n in names) for x in df.collect()), key=repr)
+    assert got == sorted(r.fetchall(), key=repr) and len(got) >= 1000
+
+
 def test_entry_imports_without_the_optional_parts():
     import subprocess
     import sys
