@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _MADE, classed, components, local_roots, materialize, mix64, n_partitions, named_roots, release, table, text_buffer, tidy, word_hashes
+from .common import _MADE, _delete, classed, components, local_roots, materialize, mix64, n_partitions, named_roots, release, table, text_buffer, tidy, word_hashes
 
 SHINGLE, BITS, SEED = 4, 4, 42
 #: Shingle hashes turned into bit counts at a time.
@@ -239,21 +239,31 @@ def dedup(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFram
 # --- near copies by similarity ---------------------------------------------------------------
 #
 # Two texts are near copies if the Jaccard similarity of their sets of shingles is at least
-# `similarity`, computed from the sets. Candidates come from an exact prefix filter: with all
-# shingles in one order, two sets of similarity t share one of the first n - ceil(t n) + 1
-# shingles of each (n: its size), whatever their sizes, and where they share their first one
-# enough of both is left. Any order gives the same result; common shingles come last in it (by
-# their counts in a sample of texts), so that keys are rare. A key with over GROUP sets is hot:
-# its sets are compared with a few leaders, in turns, and then all pairs that are not yet in one
-# component.
+# `similarity`, computed from the sets. Candidates come in two ways. The first is the method above:
+# fingerprints, their deletion variants and `links` at BITS bits. The links found are tested on
+# the sets. It finds no more than half of the pairs at a similarity of 0.8, so the second is an exact
+# prefix filter for what is left: with all shingles in one order, two sets of similarity t share one
+# of the first n - ceil(t n) + 1 shingles of each (n: its size), whatever their sizes, and where
+# they share their first one enough of both is left. Any order gives the same result; common
+# shingles come last in it (by their counts in a sample of texts), so that keys are rare. A key
+# with over GROUP sets is hot: its sets are compared with a few leaders first, and then with all
+# that are not yet in one component, in tiles.
+#
+# Before sets are compared, candidates are sorted out by SimHash sketches of 64 * LANES bits. A bit
+# differs with a probability of at most 0.1875 (sets of 4 and 5 shingles; 0.156 from 32 shingles on)
+# where the similarity is 0.8, so a pair that is similar has over `_far` differing bits with a
+# probability under 1e-10. Everything else is exact.
 
 NEAR_SHINGLE, SIMILARITY = 5, 0.8
 #: Texts sampled for the order, the least count there of a common shingle and how many of them
 #: are told apart; sets under a key up to which all its pairs are candidates at once; bits of
 #: the filter that sorts out sets of no candidate.
 ORDER_SAMPLE, COMMON, COMMONS, GROUP, FILTER_BITS = 8192, 4, 1 << 16, 16, 1 << 24
-#: Leaders of a hot key, turns of them, and the pairs a row at which no turn is needed any more.
-LEADERS, TURNS, AFEW = 8, 3, 64
+#: Leaders of a hot key, turns in which the rest of its rows meet, and the pairs of a row that each
+#: turn but the last gives at most.
+LEADERS, TURNS, AFEW = 8, 2, 16
+#: 64-bit lanes of a sketch, and shingles whose bits are counted at once (16 bits a count).
+LANES, _COUNTED = 8, (1 << 16) - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _EPS = 1e-6
 
@@ -279,6 +289,40 @@ def _node(shingles: np.ndarray) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """SimHash bits of sets of hashes, as LANES numbers of 64 bits each."""
+    out = np.zeros((len(sets), LANES), np.uint64)
+    off = np.cumsum([0, *map(len, sets)])
+    a = 0
+    while a < len(sets):
+        b = max(a + 1, int(np.searchsorted(off, off[a] + _COUNTED, "right")) - 1)
+        h = np.concatenate(sets[a:b])
+        start = off[a:b] - off[a] if b - a > 1 else np.arange(0, len(h), _COUNTED)
+        for lane in range(LANES):
+            x = mix64(h + np.uint64(int(_ODD) * (lane + 1) % (1 << 64)))
+            count = np.zeros((len(start), 64), np.int64)
+            for i in range(16):  # four counts of 16 bits in each number
+                four = np.add.reduceat((x >> np.uint64(i)) & np.uint64(0x0001000100010001), start)
+                count[:, i::16] = four[:, None] >> np.array([0, 16, 32, 48], np.uint64) & np.uint64(0xFFFF)
+            if b - a == 1:
+                count = count.sum(0, keepdims=True)
+            more = count * 2 > np.diff(off[a : b + 1])[:, None]
+            out[a:b, lane] = np.packbits(more, axis=1, bitorder="little").view(np.uint64)[:, 0]
+        a = b
+    return out
+
+
+def _lanes(col: pa.Array) -> np.ndarray:
+    """Sketches held as binary values, one row each."""
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint64).reshape(len(col), LANES)
+
+
+def _far(n, m):
+    """Differing bits of two sketches of sets of n and m shingles up to which they can be similar."""
+    return np.where(np.minimum(n, m) < 32, 157, 136)
+
+
 def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Common shingles (sorted) and their counts in a sample of docs (text, digest)."""
     every = max(1, docs.count() // ORDER_SAMPLE)
@@ -310,8 +354,8 @@ def _in_order(sets: list[np.ndarray], common: np.ndarray, count: np.ndarray) ->
 
 def _enough(n, i, m, j, similarity: float):
     """Whether sets of n and m shingles whose first common one is at places i and j can be
-    similar, as columns."""
-    return F.least(n - i, m - j) >= (n + m) * (similarity / (1 + similarity)) - _EPS
+    similar."""
+    return np.minimum(n - i, m - j) >= (n + m) * (similarity / (1 + similarity)) - _EPS
 
 
 def _pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray, similarity: float) -> list[np.ndarray]:
@@ -338,7 +382,7 @@ def _pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray, similarity: float)
 
 
 def _cold_pairs(keyed: DataFrame, hot: DataFrame | None, similarity: float) -> DataFrame:
-    """(u, v): candidates among rows of keyed (key, node, n), of which hot (node) are under hot
+    """(u, v, n, m): candidates among rows of keyed (key, node, n), of which hot (node) are under hot
     keys. Up to where the shorter of two prefixes ends, all common shingles are known: the keys
     the two share. Past it, at most the rest of one of them is common."""
     names = ["u", "v", "n", "m", "c"]
@@ -364,18 +408,44 @@ def _cold_pairs(keyed: DataFrame, hot: DataFrame | None, similarity: float) -> D
     rest = F.greatest(F.ceil(F.col("n") * similarity - _EPS), F.ceil(F.col("m") * similarity - _EPS)) - 1
     least = (F.col("n") + F.col("m")) * (similarity / (1 + similarity)) - _EPS - rest
     if hot is None:
-        return met.where(F.col("c") >= least).select("u", "v")
+        return met.where(F.col("c") >= least).select("u", "v", "n", "m")
     more = hot.groupBy("node").agg(F.count("*").alias("h"))
     for end in ("u", "v"):
         met = met.join(more.select(F.col("node").alias(end), F.col("h").alias(f"h{end}")), end, "left")
-    return met.where(F.col("c") + F.least(F.coalesce("hu", F.lit(0)), F.coalesce("hv", F.lit(0))) >= least).select("u", "v")
+    return met.where(F.col("c") + F.least(F.coalesce("hu", F.lit(0)), F.coalesce("hv", F.lit(0))) >= least).select("u", "v", "n", "m")
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float, name: str) -> DataFrame:
-    """Those of pairs (u, v) of nodes whose sets are similar. Sets are made anew from docs (text)
-    and kept for candidates only: all of them would take more room than the texts."""
-    since = len(_MADE)
-    pairs = materialize(pairs.distinct(), f"{name}-pairs")
+def _variant_pairs(nodes: DataFrame) -> DataFrame:
+    """(u, v, n, m): candidates by the links of fingerprints (`links`), of nodes (node, size, fp). The
+    least node of a fingerprint stands for it, and meets the others of its fingerprint."""
+    node = nodes.select("node", "size", "fp")
+    least = materialize(node.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("p"), F.count("*").alias("n")), "near-fps")
+    one = lambda end: least.select(F.col("fp").alias(end), F.col("p").alias(f"p{end}"))
+    across = links(least.select("fp")).distinct().join(one("u"), "u").join(one("v"), "v").select(F.least("pu", "pv").alias("a"), F.greatest("pu", "pv").alias("b"))
+    some = least.where("n > 1").select("fp", "p", "n")
+    within = classed(node, some, "fp", "near-same").select("p", F.struct("node", "size").alias("b")).where("p.node != b.node").withColumnRenamed("p", "a")
+    return across.unionByName(within).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.col("a.size").cast("long").alias("n"), F.col("b.size").cast("long").alias("m"))
+
+
+def _sketched(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(u, v, d): those of pairs (u, v, n, m) whose sketches, d bits apart, are near enough."""
+
+    def run(batches):
+        for b in batches:
+            d = np.bitwise_count(_lanes(b.column(4)) ^ _lanes(b.column(5))).sum(1, dtype=np.int64)
+            n, m = (b.column(c).to_numpy(zero_copy_only=False) for c in (2, 3))
+            ok = d <= _far(n, m)
+            yield pa.RecordBatch.from_arrays([pa.array(b.column(c).to_numpy(zero_copy_only=False)[ok]) for c in (0, 1)] + [pa.array(d[ok])], names=["u", "v", "d"])
+        tidy()
+
+    held = lambda end: nodes.select(F.col("node").alias(end), F.col("lanes").alias(f"l{end}"))
+    both = pairs.join(held("u"), "u").join(held("v"), "v").select("u", "v", "n", "m", "lu", "lv")
+    return both.mapInArrow(run, "u bigint, v bigint, d bigint")
+
+
+def _set_table(pairs: DataFrame, docs: DataFrame, shingle: int, name: str) -> DataFrame:
+    """(node, set) of the nodes of pairs (u, v), made anew from docs (text): the sets of all texts
+    would take more room than the texts."""
     slot = F.pmod("node", F.lit(FILTER_BITS))
     ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node")))
     part = 1 << 15  # bits of one bitmap
@@ -394,56 +464,34 @@ def _similar(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float,
                 if bits[(x % FILTER_BITS) >> 3] >> (x & 7) & 1 and x not in seen:
                     seen.add(x)
                     keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([node[i] for i in keep], pa.int64()), pa.array([sets[i].tobytes() for i in keep], pa.binary()), pa.array([_odd(sets[i]) for i in keep], pa.binary())], names=["node", "set", "odd"])
+            yield pa.RecordBatch.from_arrays([pa.array([node[i] for i in keep], pa.int64()), pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["node", "set"])
             del sets
             tidy()
 
-    held = materialize(docs.select("text").mapInArrow(some, "node bigint, set binary, odd binary"), f"{name}-sets")
+    return materialize(docs.select("text").mapInArrow(some, "node bigint, set binary"), f"{name}-sets")
 
-    def chosen(test):
-        def run(batches):
-            for b in batches:
-                yield b.select([0, 1]).filter(pa.array([test(x.as_buffer(), y.as_buffer()) for x, y in zip(b.column(2), b.column(3))], pa.bool_()))
-            tidy()
 
-        return run
+def _similar(pairs: DataFrame, held: DataFrame, similarity: float, name: str) -> DataFrame:
+    """Those of pairs (u, v) of nodes whose sets, of held (node, set), are similar."""
+    since = len(_MADE)
 
-    def may(x, y):
-        return _apart(x, y) <= _most(np.frombuffer(x, np.int64, 1)[0] + np.frombuffer(y, np.int64, 1)[0], similarity)
+    def run(batches):
+        for b in batches:
+            ok = [exact(x.as_buffer(), y.as_buffer()) for x, y in zip(b.column(2), b.column(3))]
+            yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+        tidy()
 
     def exact(x, y):
         x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
         both = len(np.intersect1d(x, y, assume_unique=True))
         return both / (len(x) + len(y) - both) >= similarity
 
-    left = _attached(pairs, held.select("node", F.col("odd").alias("x")).dropDuplicates(["node"]), f"{name}-odd")
-    left = materialize(left.mapInArrow(chosen(may), "u bigint, v bigint"), f"{name}-left")
-    ends = left.select(F.col("u").alias("node")).unionByName(left.select(F.col("v").alias("node"))).distinct()
-    sets = held.join(ends, "node", "left_semi").select("node", F.col("set").alias("x")).dropDuplicates(["node"])
-    found = materialize(_attached(left, sets, f"{name}-set").mapInArrow(chosen(exact), "u bigint, v bigint"), f"{name}-links")
-    release(docs.sparkSession, since, found)
+    sets = held.select("node", F.col("set").alias("x")).dropDuplicates(["node"])
+    found = materialize(_attached(pairs, sets, f"{name}-set").mapInArrow(run, "u bigint, v bigint"), f"{name}-links")
+    release(pairs.sparkSession, since, found)
     return found
 
 
-def _odd(shingles: np.ndarray) -> bytes:
-    """The size of a set, and a bit for each of at least 4 slots a shingle: whether it holds an
-    odd number. Two sets have at least as many shingles apart as bits."""
-    m = max(64, 1 << (4 * len(shingles) - 1).bit_length())
-    odd = np.bincount((shingles & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
-    return np.int64(len(shingles)).tobytes() + np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
-
-
-def _apart(x, y) -> int:
-    """Differing bits of two of _odd, the longer one folded."""
-    x, y = sorted((np.frombuffer(x, np.uint64)[1:], np.frombuffer(y, np.uint64)[1:]), key=len)
-    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
-
-
-def _most(total: int, similarity: float) -> int:
-    """Shingles apart up to which two sets of `total` in all can be similar."""
-    return int(total - 2 * math.ceil(total * similarity / (1 + similarity) - _EPS))
-
-
 def _attached(pairs: DataFrame, held: DataFrame, name: str) -> DataFrame:
     """(u, v, x, _x): pairs (u, v) with the x of both, of held (node, x). v may end very many."""
     right = pairs.groupBy("v").agg(F.count("*").alias("n")).join(held.withColumnRenamed("node", "v"), "v")
@@ -451,81 +499,183 @@ def _attached(pairs: DataFrame, held: DataFrame, name: str) -> DataFrame:
     return both.join(held.select(F.col("node").alias("u"), F.col("x").alias("_x")), "u").select("u", "v", "x", "_x")
 
 
-def _leaders(rows: DataFrame, salt: int) -> DataFrame:
-    """(key, p) of rows (key, node, n, i, score): p (node, n, i) of the first LEADERS of each key by
-    score, then hash. A text that others were made of has the most hot keys: its own are theirs."""
-    by = Window.partitionBy("key").orderBy(F.col("score").desc(), F.xxhash64("node", F.lit(salt)), "node")
+def _tested(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float, name: str, done: DataFrame | None = None) -> tuple[DataFrame | None, DataFrame]:
+    """(u, v): links that make the components of the similar ones of pairs (u, v, d) but for those of
+    done (u, v), None if there are no such pairs; and the pairs. The nearest pair of each node is
+    tested first, then those that these leave in different components."""
+    spark = pairs.sparkSession
+    pairs = pairs.groupBy("u", "v").agg(F.min("d").alias("d"))
+    pairs = materialize(pairs if done is None else pairs.join(done, ["u", "v"], "left_anti"), f"{name}-pairs")
+    if done is not None and not pairs.limit(1).count():
+        return None, pairs
+    held = _set_table(pairs, docs, shingle, name)
+    each = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "d"))
+    near = each.groupBy("u").agg(F.min(F.struct("d", "v")).alias("p")).select("u", F.col("p.v").alias("v"))
+    near = materialize(near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), f"{name}-nearest")
+    found = _similar(near, held, similarity, name)
+    rest = _rooted(pairs.select("u", "v").join(near, ["u", "v"], "left_anti"), components(found, f"{name}-part"))
+    rest = materialize(rest.where("ru != rv").select("u", "v"), f"{name}-rest")
+    if rest.limit(1).count():
+        found = found.unionByName(_similar(rest, held, similarity, f"{name}-more"))
+    _delete(spark, held._ranksmith_path)
+    return found, pairs.select("u", "v")
+
+
+def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """pairs (u, v) with the roots ru and rv of roots (node, root); a node without one is its own."""
+    for end in ("u", "v"):
+        pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")), end, "left").withColumn(f"r{end}", F.coalesce(f"r{end}", end))
+    return pairs
+
+
+def _star(rows: DataFrame, n_keys: int, similarity: float) -> DataFrame:
+    """(u, v, d): each of rows (key, node, n, i, lanes, score) with the nearest of the LEADERS of its key
+    that it can be similar to. Leaders are the first by score, then hash: a text that others were
+    made of has the most hot keys, its own are theirs."""
+    by = Window.partitionBy("key").orderBy(F.col("score").desc(), F.xxhash64("node"), "node")
     top = rows.withColumn("_place", F.row_number().over(by)).where(F.col("_place") <= LEADERS)
-    return top.select(F.col("key").alias("_key"), F.struct("node", "n", "i").alias("p"))
+    top = top.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("node", "n", "i", "lanes")).alias("p"))
+    hint = F.broadcast(top) if n_keys * LEADERS <= BROADCAST_KEYS else top
 
+    def run(batches):
+        for b in batches:
+            node, n, i = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(3))
+            p = b.column(4)
+            at = np.repeat(np.arange(b.num_rows), pc.list_value_length(p).to_numpy(zero_copy_only=False))
+            p = p.flatten()
+            pn, pm, pi = (pc.struct_field(p, f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("node", "n", "i"))
+            d = np.bitwise_count(_lanes(b.column(3))[at] ^ _lanes(pc.struct_field(p, "lanes"))).sum(1, dtype=np.int64)
+            ok = np.flatnonzero((node[at] != pn) & (d <= _far(n[at], pm)) & _enough(n[at], i[at], pm, pi, similarity))
+            ok = ok[np.lexsort((d[ok], at[ok]))]
+            ok = ok[np.diff(at[ok], prepend=-1) > 0]
+            u, v = node[at[ok]], pn[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.minimum(u, v), np.maximum(u, v), d[ok])], names=["u", "v", "d"])
+        tidy()
 
-def _star(rows: DataFrame, leaders: DataFrame, n_keys: int, similarity: float) -> DataFrame:
-    """(u, v): each of rows (key, node, n, i) with the leaders of its key."""
-    hint = F.broadcast(leaders) if n_keys * LEADERS <= BROADCAST_KEYS else leaders
-    star = rows.join(hint, F.col("key") == F.col("_key")).where(F.col("node") != F.col("p.node"))
-    star = star.where(_enough(F.col("n"), F.col("i"), F.col("p.n"), F.col("p.i"), similarity))
-    return star.select(F.least("node", "p.node").alias("u"), F.greatest("node", "p.node").alias("v")).distinct()
+    met = rows.join(hint, F.col("key") == F.col("_key")).select("node", "n", "i", "lanes", "p")
+    return met.mapInArrow(run, "u bigint, v bigint, d bigint")
+
+
+def _cross(left: DataFrame, most: int | None, similarity: float) -> DataFrame:
+    """(u, v, d, c): pairs of left (key, node, n, i, lanes, root, main, rows) with one key and two roots that
+    can be similar, the `most` nearest of each row, of c in all. Rows of the most frequent
+    component stay where they are, in tiles; the others go to each tile."""
+    cut = left.withColumn("tiles", F.ceil(F.col("rows") / TILE).cast("int"))
+    own = cut.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    away = cut.where("root != main").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    has = ["key", "tile", "visits", "node", "n", "i", "root", F.expr("root = main").alias("is_main"), "lanes"]
+    both = own.withColumn("visits", F.lit(False)).select(*has).unionByName(away.withColumn("visits", F.lit(True)).select(*has))
+    both = both.repartition(n_partitions(left.sparkSession), "key", "tile").sortWithinPartitions("key", "tile", "visits")
+
+    def group(visits, node, n, i, root, is_main, lanes):
+        k = int(np.searchsorted(visits, True))  # those of the tile, then those that visit it
+        size = max(1, (1 << 21) // max(1, k))
+        for a in range(k, len(node), size):
+            z = slice(a, a + size)
+            ok = (root[z, None] != root[None, :k]) & (is_main[None, :k] | (node[z, None] < node[None, :k]))
+            ok &= _enough(n[z, None], i[z, None], n[None, :k], i[None, :k], similarity)
+            x, y = np.nonzero(ok)
+            d = np.bitwise_count(lanes[a + x] ^ lanes[y]).sum(1, dtype=np.int64)
+            near = d <= _far(n[a + x], n[y])
+            x, y, d = a + x[near], y[near], d[near]
+            c = np.bincount(x, minlength=len(node))[x]
+            if most is not None and len(x):
+                o = np.lexsort((d, x))
+                x, y, d, c = x[o], y[o], d[o], c[o]
+                first = np.flatnonzero(np.diff(x, prepend=-1))
+                place = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
+                x, y, d, c = (w[place < most] for w in (x, y, d, c))
+            if len(x):
+                yield np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), d, c
+
+    def groups(cols):
+        new = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
+        at = np.concatenate([[0], np.flatnonzero(new) + 1, [len(cols[0])]])
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+            if cols[2][b - 1] and b - a > 1:
+                yield from group(*(c[a:b] for c in cols[2:]))
+
+    def run(batches):
+        held, size = [], 0
+        for b in _ended(batches):
+            if b is not None:
+                held.append([b.column(c).to_numpy(zero_copy_only=False).copy() for c in range(8)] + [_lanes(b.column(8))])
+                size += b.num_rows
+                if size < _BUFFER // 2:
+                    continue
+            if not size:
+                continue
+            cols = [np.concatenate(x) for x in zip(*held)]
+            last = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
+            at = len(last) if b is None else int(np.argmax(last))  # the last group can go on
+            held, size = [[x[at:].copy() for x in cols]], size - at
+            found = list(groups([x[:at] for x in cols])) if at else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["u", "v", "d", "c"])
+        tidy()
+
+    return both.mapInArrow(run, "u bigint, v bigint, d bigint, c bigint")
+
+
+def _ended(batches):
+    yield from batches
+    yield None
 
 
 def _near_links(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(u, v): links that make the components of nodes (node, size, keys: the first shingles)."""
+    """(u, v): links that make the components of nodes (node, size, fp, lanes, keys: the first
+    shingles)."""
     spark = nodes.sparkSession
     keyed = nodes.select("node", F.col("size").alias("n"), F.posexplode("keys").alias("i", "key"))
     many = keyed.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > GROUP).withColumnRenamed("key", "_key")
     many = materialize(many, "near-hot")
     n_hot = many.count()
+    variants = materialize(_variant_pairs(nodes), "near-variants")
     if not n_hot:
-        return _similar(_cold_pairs(keyed, None, similarity), docs, shingle, similarity, "near")
+        cold = _cold_pairs(keyed, None, similarity)
+        return _tested(_sketched(variants.unionByName(cold), nodes), docs, shingle, similarity, "near")[0]
     hint = F.broadcast(many) if n_hot <= BROADCAST_KEYS else many
     on = F.col("key") == F.col("_key")
-    hot = materialize(keyed.join(hint, on).drop("_key"), "near-hot-rows")
-    score = hot.groupBy("node").agg(F.sum("rows").alias("score"))
-    scored = materialize(hot.join(score, "node"), "near-hot-scored")
-    release(spark, len(_MADE) - 2, scored)
-    hot = scored
-    first = _cold_pairs(keyed.join(hint, on, "left_anti"), hot, similarity).unionByName(_star(hot, _leaders(hot, 0), n_hot, similarity))
-    links = _similar(first, docs, shingle, similarity, "near")
-
-    # What is left of the hot keys: the pairs across components. While those are many, leaders of
-    # a key's most frequent component meet its other rows, and leaders of these all of its rows.
+    since = len(_MADE)
+    wide = nodes.select("node", F.col("size").alias("n"), "lanes", F.posexplode("keys").alias("i", "key"))
+    rows = materialize(wide.join(hint, on).drop("_key"), "near-hot-rows")
+    score = rows.groupBy("node").agg(F.sum("rows").alias("score"))
+    hot = materialize(rows.join(score, "node"), "near-hot-scored")
+    release(spark, since, hot)
+    cold = _cold_pairs(keyed.join(hint, on, "left_anti"), hot, similarity)
+    first = _sketched(variants.unionByName(cold), nodes).unionByName(_star(hot, n_hot, similarity))
+    links, done = _tested(first, docs, shingle, similarity, "near")
+
+    # What is left of the hot keys: the pairs across components.
     for turn in range(1, TURNS + 1):
-        left, n_main, pairs, rows = _apart_rows(hot, links, turn)
+        left, n_main = _apart_rows(hot, links, turn)
         if not n_main:
             return links
-        if turn == TURNS or pairs <= AFEW * rows:
-            break
-        main, other = left.where("root = main"), left.where("root != main")
-        more = _star(other, _leaders(main, turn), n_main, similarity).unionByName(_star(left, _leaders(other, turn), n_main, similarity))
-        found = _similar(more, docs, shingle, similarity, f"near-{turn}")
-        if not found.limit(1).count():
-            break
-        links = links.unionByName(found)
-
-    # Rows of the most frequent component stay where they are, in tiles; the others go to each.
-    left = left.withColumn("tiles", F.ceil(F.col("rows") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    apart = left.where("root != main").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    o, a = apart.alias("o"), left.alias("a")
-    cross = o.join(a, (F.col("o.key") == F.col("a.key")) & (F.col("o.tile") == F.col("a.tile")) & (F.col("o.root") != F.col("a.root")))
-    # Of two rows that are both apart, one order is enough.
-    cross = cross.where((F.col("a.root") == F.col("a.main")) | (F.col("o.node") < F.col("a.node")))
-    cross = cross.where(_enough(F.col("o.n"), F.col("o.i"), F.col("a.n"), F.col("a.i"), similarity))
-    return links.unionByName(_similar(cross.select(F.col("o.node").alias("u"), F.col("a.node").alias("v")), docs, shingle, similarity, "near-rest"))
+        few = max(1, int(AFEW))
+        more = materialize(_cross(left, None if turn == TURNS else few, similarity), f"near-cross{turn}")
+        most = more.agg(F.max("c")).first()[0]
+        if most is None:
+            return links
+        found, pairs = _tested(more, docs, shingle, similarity, f"near-{turn}", done)
+        if found is not None:
+            links = links.unionByName(found)
+        if most <= few:  # no pair was left for another turn
+            return links
+        done = done.unionByName(pairs)
+    return links
 
 
-def _apart_rows(hot: DataFrame, links: DataFrame, turn: int) -> tuple[DataFrame, int, int, int]:
+def _apart_rows(hot: DataFrame, links: DataFrame, turn: int) -> tuple[DataFrame, int]:
     """The rows of hot whose key has more than one component of links, with root and main (the
-    key's most frequent root); how many such keys there are, their pairs across main and the rest,
-    and their rows."""
+    key's most frequent root), and how many such keys there are."""
     roots = components(links, f"near-cc{turn}").withColumnRenamed("node", "_node")
-    placed = materialize(hot.join(roots, F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("root", "node")).drop("_node"), "near-placed")
+    placed = materialize(hot.join(roots, F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("root", "node")).drop("_node", "score"), "near-placed")
     each = placed.groupBy("key", "root").agg(F.count("*").alias("c"))
     main = each.groupBy("key").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("all")).where("m.c < all")
-    main = materialize(main.select(F.col("key").alias("_key"), F.col("m.root").alias("main"), (F.col("all") - F.col("m.c")).alias("others"), "all"), "near-main")
-    n, pairs, rows = main.agg(F.count("*"), F.sum(F.col("others") * F.col("all")), F.sum("all")).first()
-    if not n:
-        return hot, 0, 0, 0
+    main = materialize(main.select(F.col("key").alias("_key"), F.col("m.root").alias("main")), "near-main")
+    n = main.count()
     left = placed.join(F.broadcast(main) if n <= BROADCAST_KEYS else main, F.col("key") == F.col("_key"))
-    return materialize(left.select("key", "node", "n", "i", "score", "rows", "root", "main"), "near-left"), n, pairs, rows
+    return left.select("key", "node", "n", "i", "rows", "root", "main", "lanes"), n
 
 
 def _near_classes(docs: DataFrame, similarity: float, shingle: int) -> tuple[DataFrame, DataFrame]:
@@ -535,22 +685,24 @@ def _near_classes(docs: DataFrame, similarity: float, shingle: int) -> tuple[Dat
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _digest().alias("digest"))
     common, count = _common(src.select("text", "digest"), shingle)
 
-    def sketches(batches):
+    def marks(batches):
         for b in batches:
             sets = shingle_sets(b.column(1), shingle)
             node = pa.array([_node(s) for s in sets], pa.int64())
+            lanes = pa.array([x.tobytes() for x in sketches(sets)], pa.binary())
+            fp = np.fromiter((fingerprint(x.as_py()) for x in b.column(1).cast(pa.large_binary())), np.uint64, b.num_rows)
             sets = _in_order(sets, common, count)
             keys = [s[: len(s) - math.ceil(similarity * len(s) - _EPS) + 1].view(np.int64) for s in sets]
             off = np.cumsum([0, *map(len, keys)])
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             size = pa.array([len(s) for s in sets], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), node, size, pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat, pa.int64()))], names=["doc_id", "digest", "node", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), node, size, pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat, pa.int64())), pa.array(fp.view(np.int64)), lanes], names=["doc_id", "digest", "node", "size", "keys", "fp", "lanes"])
             del sets, keys, flat
             tidy()
 
-    marked = src.mapInArrow(sketches, "doc_id bigint, digest bigint, node bigint, size int, keys array<bigint>")
+    marked = src.mapInArrow(marks, "doc_id bigint, digest bigint, node bigint, size int, keys array<bigint>, fp bigint, lanes binary")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
-    nodes = marked.groupBy("node").agg(first, F.count("*").alias("n"), F.min("size").alias("size"), F.min("keys").alias("keys"))
+    nodes = marked.groupBy("node").agg(first, F.count("*").alias("n"), F.min("size").alias("size"), F.min("keys").alias("keys"), F.min("fp").alias("fp"), F.min("lanes").alias("lanes"))
     nodes = materialize(nodes, "near-nodes")
     roots = components(_near_links(nodes, src, shingle, similarity), "near-cc")
     linked = named_roots(nodes.select("node", "first"), roots, "first", "near-roots")

@@ -577,6 +577,32 @@ def test_near_copies_by_exact_similarity(spark):
     assert len(set(g)) == 60
 
 
+def test_near_copies_by_fingerprints_alone(spark, monkeypatch):
+    """The operator's own method gives links to the near copies: without any prefix key."""
+    docs, same = [], []
+    for k in range(30):
+        w = [f"w{k}x{i}" for i in range(400)]
+        v = w[:200] + ["x"] + w[201:]
+        docs += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+        a, b = (simhash.fingerprint(t.encode()) for _, t in docs[-2:])
+        same.append(bin(a ^ b).count("1") <= simhash.BITS)
+    assert 5 < sum(same)
+    none = "u bigint, v bigint, n bigint, m bigint"
+    monkeypatch.setattr(simhash, "_cold_pairs", lambda keyed, hot, similarity: spark.createDataFrame([], none))
+    out = dict(map(tuple, simhash.near_copies(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()))
+    assert [out[2 * k + 1] == 2 * k for k in range(30)] == same
+
+
+def test_sketches_against_counts():
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 1 << 63, n).astype(np.uint64)) for n in (1, 2, 5, 70_000, 3, 131_080)]
+    for s, got in zip(sets, simhash.sketches(sets)):
+        for lane in range(simhash.LANES):
+            x = simhash.mix64(s + np.uint64(int(simhash._ODD) * (lane + 1) % (1 << 64)))
+            bits = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            assert int(got[lane]) == sum(1 << i for i in range(64) if bits[i] * 2 > len(s))
+
+
 def test_near_copies_of_hot_keys(spark, monkeypatch):
     import random
 
