@@ -262,6 +262,8 @@ ORDER_SAMPLE, COMMON, COMMONS, GROUP, FILTER_BITS = 8192, 4, 1 << 16, 16, 1 << 2
 #: Leaders of a hot key, turns in which the rest of its rows meet, and the pairs of a row that each
 #: turn but the last gives at most.
 LEADERS, TURNS, AFEW = 8, 2, 16
+#: Hot keys of a set before one of them that are looked at, so that a pair comes by few of its keys.
+BEFORE = 4
 #: 64-bit lanes of a sketch, and shingles whose bits are counted at once (16 bits a count).
 LANES, _COUNTED = 8, (1 << 16) - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -528,6 +530,15 @@ def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs
 
 
+def _scored(rows: DataFrame) -> DataFrame:
+    """rows (key, node, n, i, lanes, rows) with the score of each node, the rows of all its hot keys,
+    and the BEFORE hot keys before each, b0 and on; 0 is none."""
+    of = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("lanes").alias("lanes"), F.sum("rows").alias("score"), F.sort_array(F.collect_list(F.struct("i", "key", "rows"))).alias("ks"))
+    each = of.select("node", "n", "lanes", "score", "ks", F.posexplode("ks").alias("p", "k"))
+    before = [F.coalesce(F.get("ks.key", F.col("p") - 1 - b), F.lit(0)).alias(f"b{b}") for b in range(BEFORE)]
+    return each.select("k.key", "node", "n", "k.i", "lanes", "k.rows", "score", *before)
+
+
 def _star(rows: DataFrame, n_keys: int, similarity: float) -> DataFrame:
     """(u, v, d): each of rows (key, node, n, i, lanes, score) with the nearest of the LEADERS of its key
     that it can be similar to. Leaders are the first by score, then hash: a text that others were
@@ -559,15 +570,17 @@ def _star(rows: DataFrame, n_keys: int, similarity: float) -> DataFrame:
 def _cross(left: DataFrame, most: int | None, similarity: float) -> DataFrame:
     """(u, v, d, c): pairs of left (key, node, n, i, lanes, root, main, rows) with one key and two roots that
     can be similar, the `most` nearest of each row, of c in all. Rows of the most frequent
-    component stay where they are, in tiles; the others go to each tile."""
+    component stay where they are, in tiles; the others go to each tile. A pair that shares one of
+    the hot keys just before meets under that key as well, and is left to it: by the first key that
+    two rows share they always come."""
     cut = left.withColumn("tiles", F.ceil(F.col("rows") / TILE).cast("int"))
     own = cut.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     away = cut.where("root != main").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    has = ["key", "tile", "visits", "node", "n", "i", "root", F.expr("root = main").alias("is_main"), "lanes"]
+    has = ["key", "tile", "visits", "node", "n", "i", "root", F.expr("root = main").alias("is_main"), "lanes", *(f"b{b}" for b in range(BEFORE))]
     both = own.withColumn("visits", F.lit(False)).select(*has).unionByName(away.withColumn("visits", F.lit(True)).select(*has))
     both = both.repartition(n_partitions(left.sparkSession), "key", "tile").sortWithinPartitions("key", "tile", "visits")
 
-    def group(visits, node, n, i, root, is_main, lanes):
+    def group(visits, node, n, i, root, is_main, lanes, before):
         k = int(np.searchsorted(visits, True))  # those of the tile, then those that visit it
         size = max(1, (1 << 21) // max(1, k))
         for a in range(k, len(node), size):
@@ -578,6 +591,9 @@ def _cross(left: DataFrame, most: int | None, similarity: float) -> DataFrame:
             d = np.bitwise_count(lanes[a + x] ^ lanes[y]).sum(1, dtype=np.int64)
             near = d <= _far(n[a + x], n[y])
             x, y, d = a + x[near], y[near], d[near]
+            one, two = before[x][:, :, None], before[y][:, None, :]
+            new = ~((one == two) & (one != 0)).any((1, 2))
+            x, y, d = x[new], y[new], d[new]
             c = np.bincount(x, minlength=len(node))[x]
             if most is not None and len(x):
                 o = np.lexsort((d, x))
@@ -599,7 +615,7 @@ def _cross(left: DataFrame, most: int | None, similarity: float) -> DataFrame:
         held, size = [], 0
         for b in _ended(batches):
             if b is not None:
-                held.append([b.column(c).to_numpy(zero_copy_only=False).copy() for c in range(8)] + [_lanes(b.column(8))])
+                held.append([b.column(c).to_numpy(zero_copy_only=False).copy() for c in range(8)] + [_lanes(b.column(8)), np.stack([b.column(9 + c).to_numpy(zero_copy_only=False) for c in range(BEFORE)], 1)])
                 size += b.num_rows
                 if size < _BUFFER // 2:
                     continue
@@ -639,8 +655,7 @@ def _near_links(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: flo
     since = len(_MADE)
     wide = nodes.select("node", F.col("size").alias("n"), "lanes", F.posexplode("keys").alias("i", "key"))
     rows = materialize(wide.join(hint, on).drop("_key"), "near-hot-rows")
-    score = rows.groupBy("node").agg(F.sum("rows").alias("score"))
-    hot = materialize(rows.join(score, "node"), "near-hot-scored")
+    hot = materialize(_scored(rows), "near-hot-scored")
     release(spark, since, hot)
     cold = _cold_pairs(keyed.join(hint, on, "left_anti"), hot, similarity)
     first = _sketched(variants.unionByName(cold), nodes).unionByName(_star(hot, n_hot, similarity))
@@ -675,7 +690,7 @@ def _apart_rows(hot: DataFrame, links: DataFrame, turn: int) -> tuple[DataFrame,
     main = materialize(main.select(F.col("key").alias("_key"), F.col("m.root").alias("main")), "near-main")
     n = main.count()
     left = placed.join(F.broadcast(main) if n <= BROADCAST_KEYS else main, F.col("key") == F.col("_key"))
-    return left.select("key", "node", "n", "i", "rows", "root", "main", "lanes"), n
+    return left.select("key", "node", "n", "i", "rows", "root", "main", "lanes", *(f"b{b}" for b in range(BEFORE))), n
 
 
 def _near_classes(docs: DataFrame, similarity: float, shingle: int) -> tuple[DataFrame, DataFrame]:
