@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -81,12 +82,16 @@ _MADE: list[str] = []
 
 def release(spark: SparkSession, since: int, *but: DataFrame) -> None:
     """Delete the tables made since len(_MADE) was `since`, but for those of `but`. What has not
-    been run yet must not need them."""
+    been run yet must not need them. The plans, broadcasts and shuffle files that made them go
+    too: Spark keeps these until the driver collects its garbage, which it puts off until its
+    heap is full."""
     keep = [df._ranksmith_path for df in but]
     for path in _MADE[since:]:
         if path not in keep:
             _delete(spark, path)
     _MADE[since:] = keep
+    gc.collect()  # Python's DataFrames hold plans in the JVM
+    spark.sparkContext._jvm.System.gc()
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -221,23 +226,56 @@ def local_roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes, nodes[root]
 
 
+def _pairs_of(batches):
+    """The columns u and v of batches, joined to about _HELD rows."""
+    held, n = [], 0
+    for b in batches:
+        held.append([b.column(c).to_numpy(zero_copy_only=False).copy() for c in range(2)])
+        n += b.num_rows
+        if n >= _HELD:
+            yield [np.concatenate(x) for x in zip(*held)]
+            held, n = [], 0
+    if n:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+def _thinned(batches):
+    """Batches (u, v), u above v, that link the same nodes: a forest of each _HELD edges."""
+    for u, v in _pairs_of(batches):
+        node, root = local_roots(u, v)
+        up = node != root
+        yield pa.RecordBatch.from_arrays([pa.array(node[up]), pa.array(root[up])], names=["u", "v"])
+    tidy()
+
+
+def _rooted_all(batches):
+    """(node, root) of all nodes of the edges (u, v) of batches, which number EDGES at most."""
+    every = list(_pairs_of(batches))
+    if every:
+        node, root = local_roots(*(np.concatenate(x) for x in zip(*every)))
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["node", "root"])
+    tidy()
+
+
 def components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> DataFrame:
     """(node, root) of every node of edges (u, v): root is the smallest node reachable.
 
-    Alternating large-star and small-star rounds: an edge table is rewritten until it is a set
-    of stars, in a number of rounds that grows with the logarithm of the longest path. Every
-    round is one table in the shared folder; to the driver come two numbers and the hubs, nodes
+    Every partition of edges is thinned to a forest first. What is left, if at most EDGES edges,
+    is one task's work and three jobs: each job leaves its plans and metrics in the driver.
+    More edges take alternating large-star and small-star rounds: an edge table is rewritten until
+    it is a set of stars, in a number of rounds that grows with the logarithm of the longest path.
+    Every round is one table in the shared folder; to the driver come two numbers and the hubs, nodes
     with over 1 in HOT of the edges, which are joined apart.
     """
     spark = edges.sparkSession
-    cur = (
-        edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        .where("u != v")
-        .distinct()
-    )
     since = len(_MADE)
-    cur = materialize(cur, name)
+    ends = [F.col(c).cast("long").alias(c) for c in ("u", "v")]
+    cur = materialize(edges.select(*ends).where("u != v").mapInArrow(_thinned, "u bigint, v bigint"), name)
     n, seen = cur.count(), None
+    if n <= EDGES:
+        roots = materialize(cur.coalesce(1).mapInArrow(_rooted_all, "node bigint, root bigint"), name)
+        release(spark, since, roots)
+        return roots
     for _ in range(max_rounds):
         few = lambda df: df.coalesce(max(1, -(-n // EDGES)))  # noqa: E731, B023
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -266,8 +304,10 @@ def components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> Data
     return roots.unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-#: Edges of one task in a round of components: with few edges there are few tasks.
+#: Edges of one task of components: with few edges there are few tasks.
 EDGES = 1 << 18
+#: Edges that a task holds while it thins them.
+_HELD = 1 << 20
 #: A node with fewer edges than this is no hub, however few edges there are.
 LEAST_HUB = 256
 

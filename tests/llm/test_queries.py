@@ -543,6 +543,39 @@ def test_components_with_hubs(spark, monkeypatch, least):
     assert sorted(map(tuple, out)) == [(x, least_of[k]) for x, k in zip(nodes, g)]
 
 
+@pytest.mark.parametrize(("edges_a_task", "held"), [(1 << 18, 1 << 20), (1 << 18, 7), (4, 7)])
+def test_components_in_one_task_or_rounds(spark, monkeypatch, edges_a_task, held):
+    from ranksmith.llm import common
+
+    monkeypatch.setattr(common, "EDGES", edges_a_task)
+    monkeypatch.setattr(common, "_HELD", held)
+    monkeypatch.setattr(common, "LEAST_HUB", 2)
+    monkeypatch.setattr(common, "HOT", 4)
+    r = np.random.default_rng(7)
+    edges = [(-5, i) for i in range(100, 160)] + [(i + 1, i) for i in range(300, 330)] + [(8, 8), (100, -5), (100, -5)]
+    edges += [tuple(map(int, e)) for e in r.integers(-900, -800, (60, 2))] + [(None, 4), (4, None)]
+    real = [e for e in edges if None not in e and e[0] != e[1]]
+    nodes = sorted({x for e in real for x in e})
+    g = groups(len(nodes), [(nodes.index(u), nodes.index(v)) for u, v in real])
+    least_of = {}
+    for x, k in zip(nodes, g):
+        least_of[k] = min(x, least_of.get(k, x))
+    out = common.components(spark.createDataFrame(edges, "u bigint, v bigint").repartition(3)).collect()
+    assert sorted(map(tuple, out)) == [(x, least_of[k]) for x, k in zip(nodes, g)]
+
+
+def test_components_of_few_edges_take_few_jobs(spark):
+    from ranksmith.llm import common
+
+    sc = spark.sparkContext
+    sc.setJobGroup("components", "the jobs of a path of 200 nodes")
+    out = common.components(spark.createDataFrame([(i, i + 1) for i in range(200)], "u bigint, v bigint"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    assert 0 < len(sc.statusTracker().getJobIdsForGroup("components")) <= 6
+    assert sorted(map(tuple, out.collect())) == [(i, 0) for i in range(201)]
+
+
 def near_groups(texts):
     """Components of texts by the exact similarity of their five-word shingles."""
 
